@@ -1,20 +1,432 @@
-"""Named queries over the tables of a folder, and the SQL that must give the same rows."""
+"""Named queries over the tables of a folder; each reads whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mathloom.operators import flatten
+from mathloom.functions import latex as L
+from mathloom.functions import vocab
+from mathloom.operators import detect as D
+from mathloom.operators import flatten, images, mathml, parse, render, stats
+from mathloom.plans import oracle, pipeline
 from mathloom.runtime import table
+from mathloom.sources import export
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+FLAGSHIP = "quality_metrics"
 
+
+def query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def _detected(spark: SparkSession, sf: str) -> DataFrame:
+    return D.detect(table(spark, sf, "documents"))
+
+
+def _formulas(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "formulas").select("formula_id", "latex").where("latex IS NOT NULL")
+
+
+# Detection
+
+
+@query
+def detect_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All formulas of all documents, with place and confidence."""
+    return _detected(spark, sf).select("doc_id", "start", "end", "math_type", "latex", "raw", "confidence")
+
+
+def _of_kind(kind: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _detected(spark, sf).where(F.col("math_type") == kind).select("doc_id", "start", "end", "latex", "confidence")
+
+    run.__name__ = f"detect_{kind}"
+    run.__doc__ = f"The formulas of type {kind}."
+    return run
+
+
+for _kind in ("display", "inline", "equation", "align", "matrix"):
+    query(_of_kind(_kind))
+
+
+@query
+def detect_intended(spark: SparkSession, sf: str) -> DataFrame:
+    """The formulas as meant: no second row for the inside of another, escaped dollars left alone."""
+    return D.detect(table(spark, sf, "documents"), semantics="intended").select("doc_id", "ordinal", "start", "end", "math_type", "latex")
+
+
+@query
+def confidence_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Formulas by confidence band."""
+    return _detected(spark, sf).groupBy(L.confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query
+def confident_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """The formulas from a least confidence on."""
+    return D.detect(table(spark, sf, "documents"), min_confidence=0.8).select("doc_id", "start", "math_type", "confidence")
+
+
+@query
+def environment_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Environments begun in each document."""
+    return D.environments(table(spark, sf, "documents"))
+
+
+# Aggregations
+
+
+@query
+def type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.type_counts(_detected(spark, sf))
+
+
+@query
+def doc_type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.type_counts(_detected(spark, sf), ("doc_id",))
+
+
+@query
+def quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals, bands and quality counters over the whole collection."""
+    return stats.quality(_detected(spark, sf))
+
+
+@query
+def extraction_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The same per document."""
+    return stats.quality(_detected(spark, sf), ("doc_id",))
+
+
+@query
+def extraction_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with counts by type as a map."""
+    return stats.extraction_validation(_detected(spark, sf), ("doc_id",))
+
+
+@query
+def content_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: totals of all kinds of content, kinds of formulas and diagrams, languages."""
+    tables = (table(spark, sf, t) for t in ("formulas", "chemicals", "code_blocks", "diagrams"))
+    s = stats.content_statistics(*tables)
+    return s.select("doc_id", *(c for c in s.columns if c.startswith("total_")), F.size("formula_types").cast("bigint").alias("formula_kinds"), F.size("diagram_types").cast("bigint").alias("diagram_kinds"), F.concat_ws(",", "languages").alias("languages"))
+
+
+@query
+def stats_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The text report of each document."""
+    return stats.stats_report(_detected(spark, sf))
+
+
+# Normal forms
+
+
+@query
+def normalize_aggressive(spark: SparkSession, sf: str) -> DataFrame:
+    return _formulas(spark, sf).select("formula_id", L.normalize(F.col("latex"), aggressive=True).alias("normal"))
+
+
+@query
+def normalize_default(spark: SparkSession, sf: str) -> DataFrame:
+    return _formulas(spark, sf).select("formula_id", L.normalize(F.col("latex")).alias("normal"))
+
+
+@query
+def normalize_preserve(spark: SparkSession, sf: str) -> DataFrame:
+    return _formulas(spark, sf).select("formula_id", L.normalize(F.col("latex"), preserve_spacing=True).alias("normal"))
+
+
+@query
+def formula_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return _formulas(spark, sf).select("formula_id", L.formula_hash(F.col("latex")).alias("hash"))
+
+
+@query
+def dedup_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per hash: the first formula and the number of copies."""
+    return stats.duplicate_groups(_formulas(spark, sf), L.formula_hash(F.col("latex")), "formula_id").select("hash", "first_id", "copies")
+
+
+# Tokens and parses
+
+
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = F.posexplode(L.lexical_tokens(F.col("latex"))).alias("ordinal", "token")
+    return _formulas(spark, sf).select("formula_id", pairs)
+
+
+@query
+def lexical_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _tokens(spark, sf).withColumn("kind", L.token_kind(F.col("token")))
+
+
+@query
+def token_type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _tokens(spark, sf).groupBy(L.token_kind(F.col("token")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def greek_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Greek letters by occurrences and formulas; a formula's letters are counted before they are spread."""
+    names = F.regexp_extract_all("latex", F.lit(r"(?s)\\([a-zA-Z]+|.)"), F.lit(1))
+    greek = F.filter(names, lambda n: n.isin(*sorted(vocab.GREEK)))
+    pairs = F.transform(F.array_distinct(greek), lambda g: F.struct(g.alias("letter"), F.size(F.filter(greek, lambda h: h == g)).alias("k")))
+    rows = _formulas(spark, sf).select(F.inline(pairs))
+    return rows.groupBy("letter").agg(F.sum("k").alias("n"), F.count("*").alias("formulas"))
+
+
+@query
+def unknown_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands outside the vocabulary, by the formulas that have them."""
+    names = F.array_distinct(F.regexp_extract_all("latex", F.lit(r"(?s)\\([a-zA-Z]+|.)"), F.lit(1)))
+    rows = _formulas(spark, sf).select(F.explode(names).alias("command"))
+    known = F.col("command").isin(*sorted(vocab.KNOWN_COMMANDS)) | F.col("command").startswith("text")
+    return rows.where(F.col("command").rlike("^[a-zA-Z]+$") & ~known).groupBy("command").agg(F.count("*").alias("formulas"))
+
+
+@query
+def brace_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Braces without a partner in each formula."""
+    return _formulas(spark, sf).select("formula_id", L.brace_errors(F.col("latex")).alias("errors"))
+
+
+@query
+def parse_structure(spark: SparkSession, sf: str) -> DataFrame:
+    """Validity, complexity, size and depth of each formula."""
+    return parse.parse(_formulas(spark, sf)).drop("latex")
+
+
+@query
+def parse_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors and warnings of each formula, a row each."""
+    parsed = parse.parse(_formulas(spark, sf), ("errors", "warnings"))
+    both = F.concat(*(F.transform(c, lambda f, level=level: F.struct(F.lit(level).alias("level"), f["type"].alias("type"), f["message"].alias("message"), f["position"].alias("position"), f["token_index"].alias("token_index"))) for c, level in (("errors", "error"), ("warnings", "warning"))))
+    return parsed.select("formula_id", F.inline(both))
+
+
+@query
+def parse_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree of each distinct formula as rows."""
+    return parse.parse_distinct(_formulas(spark, sf), ("nodes",)).select("latex", F.inline("nodes"))
+
+
+@query
+def parse_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The tokens of each distinct formula, optional arguments included."""
+    tokens = F.inline(F.transform("tokens", lambda t: F.struct(t["type"].alias("type"), t["value"].alias("value"), t["position"].alias("position"), t["length"].alias("length"), F.to_json(t["metadata"]).alias("metadata"))))
+    return parse.parse_distinct(_formulas(spark, sf), ("tokens",)).select("latex", tokens)
+
+
+@query
+def complexity_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters behind each formula's complexity."""
+    return parse.parse(_formulas(spark, sf), ("counts", "complexity_score")).select("formula_id", "counts.*", "complexity_score")
+
+
+def _by_tokens(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
+    parsed = parse.parse_distinct(_formulas(spark, sf), ("tokens", "tree_depth", "complexity_score")).select("latex", *(c.alias(n) for n, c in columns.items()))
+    return _formulas(spark, sf).join(parsed, "latex").drop("latex")
+
+
+@query
+def simple_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_tokens(spark, sf, is_simple=parse.is_simple(F.col("tokens"), F.col("tree_depth"), F.col("complexity_score")))
+
+
+@query
+def render_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_tokens(spark, sf, size=parse.render_size(F.col("tokens"), F.col("tree_depth"))).select("formula_id", "size.width", "size.height")
+
+
+@query
+def components(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct parts of each distinct formula."""
+    return parse.parse_distinct(_formulas(spark, sf), ("tokens",)).select("latex", parse.components(F.col("tokens")).alias("c")).select("latex", "c.*")
+
+
+@query
+def macro_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Macros that code blocks define."""
+    return parse.macro_definitions(table(spark, sf, "code_blocks"), ("code_id",), "code").select("code_id", "macro", "args", "body")
+
+
+@query
+def document_macros(spark: SparkSession, sf: str) -> DataFrame:
+    """LaTeX code parsed with the macros of its document."""
+    code = table(spark, sf, "code_blocks").where("lower(language) = 'latex'")
+    return parse.parse_with_document_macros(code, "doc_id", "ordinal", "code").select("doc_id", "ordinal", "is_valid", "macro_count")
+
+
+# MathML
+
+
+@query
+def mathml_reference(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "formulas").select("formula_id", "latex", "math_type")
+    return mathml.to_mathml(rows, "reference", display=F.col("math_type") == "display").select("formula_id", "mathml")
+
+
+@query
+def mathml_intended(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "formulas").select("formula_id", "latex", "math_type")
+    return mathml.to_mathml(rows, "intended", display=F.col("math_type") == "display").select("formula_id", "mathml")
+
+
+@query
+def mathml_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """Validity and errors of the stored MathML."""
+    return mathml.validate(table(spark, sf, "formulas").select("formula_id", "mathml")).drop("mathml")
+
+
+@query
+def mathml_optimize(spark: SparkSession, sf: str) -> DataFrame:
+    return mathml.optimise_documents(table(spark, sf, "formulas").select("formula_id", "mathml")).drop("mathml")
+
+
+# Pipeline and export
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    return pipeline.process(table(spark, sf, "documents"), source_file="source")
+
+
+@query
+def process_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One result per document."""
+    return _results(spark, sf).select("doc_id", "source_file", "success", "statistics.total_formulas", F.size("warnings").alias("warnings"))
+
+
+@query
+def parse_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """The warnings of all documents."""
+    return _results(spark, sf).select("doc_id", F.inline("warnings")).select("doc_id", "type", "formula", F.size("errors").alias("errors"))
+
+
+def _export(format: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        results = _results(spark, sf)
+        return export.exported(results if format == "json" else results.where("size(formulas) > 0"), format)
+
+    run.__name__ = f"export_{format}"
+    return run
+
+
+for _format in export.FORMATS:
+    query(_export(_format))
+
+
+# Recognition and rendering
+
+
+@query
+def ocr_text_to_latex(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "chemicals").where("text IS NOT NULL").select("chem_id", L.text_to_latex(F.col("text")).alias("latex"))
+
+
+@query
+def ocr_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean of the values above 0, here of page numbers, as a share of 1."""
+    return stats.ocr_confidence(table(spark, sf, "formulas").where("doc_id IS NOT NULL"), ("doc_id",), "page_number")
+
+
+@query
+def render_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return _formulas(spark, sf).select("formula_id", L.render_cache_key(F.col("latex")).alias("general_key"), L.compile_cache_key(F.col("latex")).alias("compile_key"))
+
+
+@query
+def region_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions of formulas that are neither too small nor too large, padded."""
+    p = F.col("position")
+    page = (F.lit(2000), F.lit(1_000_000))
+    rows = table(spark, sf, "formulas").where(p.isNotNull() & images.keep_box(p["width"], p["height"], *page))
+    return rows.select("formula_id", images.padded_box(p["x"], p["y"], p["width"], p["height"], *page).alias("b")).select("formula_id", "b.*")
+
+
+@query
+def image_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The sizes that drawings would be recognised at."""
+    side = {s: F.regexp_extract("content", rf'{s}="(\d+)"', 1).try_cast("int").alias(s[0]) for s in ("width", "height")}
+    rows = table(spark, sf, "diagrams").select("diagram_id", *side.values()).where("w > 0 AND h > 0")
+    return rows.select("diagram_id", images.fitted_size(F.col("w"), F.col("h")).alias("s")).select("diagram_id", "s.*")
+
+
+@query
+def diagram_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Which branch would draw each diagram."""
+    kind = F.regexp_replace(F.lower("diagram_type"), "_plot$", "")
+    return table(spark, sf, "diagrams").select("diagram_id", render.diagram_route(kind).alias("r")).select("diagram_id", "r.*")
+
+
+@query
+def plot_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of every function plot, summed up."""
+    parts = [F.regexp_extract("content", r"^y = (\d+)\*x\^(\d+) ([+-] \d+)$", g) for g in (1, 2, 3)]
+    rows = table(spark, sf, "diagrams").select("diagram_id", *(F.replace(x, F.lit(" "), F.lit("")).try_cast("double").alias(n) for x, n in zip(parts, "apc", strict=True))).where("a IS NOT NULL")
+    points = render.polynomial_points(F.col("a"), F.col("p"), F.col("c"), F.lit(-10.0), F.lit(10.0))
+    ys = F.transform(points, lambda q: q["y"])
+    return rows.select("diagram_id", F.size(points).alias("points"), F.array_min(ys).alias("lowest"), F.array_max(ys).alias("highest"))
+
+
+# Compositions
+
+
+@query
+def formulas_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Formulas by language and type; the language travels with the document, so nothing is joined."""
+    found = D.detect(table(spark, sf, "documents"), ("doc_id", "lang"))
+    return found.groupBy("lang", "math_type").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+
+
+@query
+def formulas_of_rated(spark: SparkSession, sf: str) -> DataFrame:
+    """Rated documents with their numbers of formulas; both sides are reduced before they meet."""
+    rated = table(spark, sf, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+    n = table(spark, sf, "formulas").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("formulas"))
+    return rated.join(n, "doc_id", "left").fillna(0, ["formulas"])
+
+
+@query
+def first_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three formulas of each document; their ordinal says which, no sort is needed."""
+    return _detected(spark, sf).where("ordinal < 3").select("doc_id", "start", "latex", (F.col("ordinal") + 1).alias("n"))
+
+
+@query
+def failed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of processing runs by type."""
+    errors = table(spark, sf, "results").select("doc_id", F.explode("errors").alias("e"))
+    return errors.groupBy(F.col("e.type").alias("error_type")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+# Nested records
+
+
+@query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each list item of every payload with the path of its parent."""
     return flatten.object_links(table(spark, sf, "stem_content"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
-SQL: dict[str, str] = {}
-FLAGSHIP = "p3_found"
+@query
+def p3_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat tables written by tag and read with their schemas: rows, parents and filled columns of each."""
+    folder = flatten.write_tables(table(spark, sf, "stem_content"))
+    parts = []
+    for tag in sorted(flatten.TABLE_SCHEMAS):
+        rows = flatten.read_table(spark, folder, tag)
+        filled = sum((F.col(c).isNotNull().cast("int") for c in rows.columns[3:]), F.lit(0))
+        parts.append(rows.agg(F.lit(tag).alias("tag"), F.count("*").alias("n"), F.count_if(F.col("parent_path") == "").alias("roots"), F.sum(filled).alias("filled")))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
+
+
+SQL: dict[str, str] = {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}
