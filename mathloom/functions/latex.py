@@ -9,11 +9,17 @@ from mathloom.functions.vocab import MATH_MARKS, OCR_REPLACEMENTS
 
 #: White space as Unicode knows it; Java's own \s is that of ASCII.
 SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same for text that is all ASCII: one range table, where several ranges cost Java many times as much.
+ASCII_SPACE = r"[\x09-\x0d\x1c-\x20]"
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def strip(text: Column) -> Column:
     """``text`` without Unicode white space at its ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.when(is_ascii(text), F.regexp_replace(text, rf"^{ASCII_SPACE}+|{ASCII_SPACE}+$", "")).otherwise(F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", ""))
 
 
 def presence(text: Column, parts: tuple[str, ...]) -> Column:
@@ -49,9 +55,11 @@ def normalize(latex: Column, preserve_spacing: bool = False, aggressive: bool =
     """One spelling of spaces around operators and scripts; ``aggressive`` also drops sizing and spacing commands."""
 
     def sub(text: Column, pattern: str, to: str) -> Column:
-        return F.regexp_replace(text, pattern.replace(r"\s", SPACE), to)
+        return F.regexp_replace(text, pattern.replace(r"\s", ASCII_SPACE), to)
 
-    out = sub(strip(latex), r"\s+", " ")
+    # All white space becomes a blank anyway; with the rare kinds gone first, the rules need ASCII only.
+    out = F.when(is_ascii(latex), latex).otherwise(F.regexp_replace(latex, SPACE, " "))
+    out = sub(sub(out, r"\s+", " "), r"^\s|\s$", "")
     for name in ("limits", "nolimits", *(("left", "right") if aggressive else ())):
         out = sub(out, rf"\\{name}\s*", "")
     if not preserve_spacing:
@@ -64,7 +72,7 @@ def normalize(latex: Column, preserve_spacing: bool = False, aggressive: bool =
             out = sub(out, r"(?<=[0-9])\s*\\,\s*(?=[0-9])", " ")
     out = sub(out, r"\s*([_^])\s*", "$1")
     out = sub(out, r"\s*([+\-*/=<>])\s*", " $1 ")
-    return strip(sub(out, r"\s+", " "))
+    return sub(sub(out, r"\s+", " "), r"^\s|\s$", "")
 
 
 def formula_hash(latex: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.functions.latex import confidence, position
+from mathloom.runtime import spread
 
 # Type and pattern of each kind of formula, tried in this order.
 PATTERNS = (
@@ -87,7 +88,7 @@ def detect(documents: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
 
     docs = documents.select(*keys, F.col(text).alias("__text")).where(F.col("__text").contains("$") | F.col("__text").contains("\\"))
     schema = ", ".join(f"`{k}` {t}" for k, t in documents.select(*keys).dtypes)
-    found = docs.mapInArrow(run, f"{schema}, {_FOUND}".replace(" end int", " `end` int"))
+    found = spread(docs).mapInArrow(run, f"{schema}, {_FOUND}".replace(" end int", " `end` int"))
     found = found.withColumns({"confidence": confidence(F.col("raw")), "page_number": F.lit(page_number), "position": position(F.col("start"))})
     return found if min_confidence is None else found.where(F.col("confidence") >= min_confidence)
 

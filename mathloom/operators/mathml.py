@@ -1,8 +1,8 @@
 """LaTeX to MathML, validation and optimisation of MathML.
 
 Two semantics.  ``reference`` is what the converter is observed to give: an error document for
-every formula that isn't blank, a JVM expression here.  ``intended`` is a full conversion, run
-in Arrow batches over the distinct formulas and joined back.
+every formula that isn't blank, a JVM expression here.  ``intended`` is a full conversion in Arrow
+batches; each task remembers the formulas it met.
 
 Defined results: NULL and formulas over 10,000 characters give NULL; a blank formula gives an
 empty ``math`` element; text that XML can't hold gives NULL under ``reference`` and loses those
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from mathloom.functions import vocab
 from mathloom.functions.latex import strip
 from mathloom.operators.grammar import Token, macros_of, tokenize
+from mathloom.runtime import memoised, spread
 
 _ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F￾￿]"
 _illegal = re.compile(_ILLEGAL)
@@ -380,14 +381,15 @@ def reference_mathml(latex: Column, display: Column | bool = False) -> Column:
     return F.when((F.length(latex) > vocab.MATHML_INPUT_LIMIT) | shown.rlike(_ILLEGAL), None).when(strip(latex) == "", F.concat(head, F.lit("/>\n"))).otherwise(failed)
 
 
-def _apply(values: DataFrame, function, schema: str, types: list[pa.DataType], names: list[str]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _function(function, result: pa.DataType, sql: str):
+    """An Arrow function that applies ``function`` to the values that aren't NULL, each once a task as far as memory goes."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = memoised(function)
         for batch in batches:
-            rows = [function(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*batch.schema.names, *names])
+            yield pa.array([None if x is None else known(x) for x in batch.to_pylist()], result)
 
-    return values.mapInArrow(run, schema)
+    return F.arrow_udf(run, sql)
 
 
 def to_mathml(formulas: DataFrame, semantics: str = "reference", latex: str = "latex", display: Column | None = None, optimize: bool = True, symbols: dict | None = None) -> DataFrame:
@@ -397,28 +399,19 @@ def to_mathml(formulas: DataFrame, semantics: str = "reference", latex: str = "l
         return formulas.withColumn("mathml", reference_mathml(F.col(latex), block))
     if semantics != "intended":
         raise ValueError(f"unknown semantics: {semantics}")
-    rows = formulas.drop("mathml").withColumn("__display", block)
-    distinct = rows.select(F.col(latex).alias("__latex"), F.col("__display").alias("__block")).where("__latex IS NOT NULL").distinct()
-    done = _apply(distinct, lambda x, b: (convert(x, b, optimize, symbols),), "__latex string, __block boolean, mathml string", [pa.string()], ["mathml"])
-    return rows.join(done, (rows[latex] == done["__latex"]) & (rows["__display"] == done["__block"]), "left").drop("__latex", "__block", "__display")
+    done = _function(lambda x: convert(x, False, optimize, symbols), pa.string(), "string")(F.col(latex))
+    rows = spread(formulas.drop("mathml")).withColumn("mathml", done)
+    # Only the root element tells the modes apart.
+    return rows.withColumn("mathml", F.when(block, F.regexp_replace("mathml", '^(<math [^>]*display=")inline"', '$1block"')).otherwise(F.col("mathml")))
 
 
 def validate(documents: DataFrame, mathml: str = "mathml", semantics: str = "intended") -> DataFrame:
     """``documents`` with is_valid and errors of their MathML; NULL where there is none."""
-    rows = documents.drop("is_valid", "errors")
-    distinct = rows.select(F.col(mathml).alias("__mathml")).where("__mathml IS NOT NULL").distinct()
-
-    def one(text: str) -> tuple[bool, list[str]]:
-        errors = validate_mathml(text, semantics)
-        return not errors, errors
-
-    done = _apply(distinct, one, "__mathml string, is_valid boolean, errors array<string>", [pa.bool_(), pa.list_(pa.string())], ["is_valid", "errors"])
-    return rows.join(done, rows[mathml] == done["__mathml"], "left").drop("__mathml")
+    errors = _function(lambda x: validate_mathml(x, semantics), pa.list_(pa.string()), "array<string>")
+    rows = spread(documents.drop("is_valid", "errors")).withColumn("errors", errors(F.col(mathml)))
+    return rows.withColumn("is_valid", F.when(F.col("errors").isNotNull(), F.size("errors") == 0))
 
 
 def optimise_documents(documents: DataFrame, mathml: str = "mathml") -> DataFrame:
     """``documents`` with a column ``optimised``."""
-    rows = documents.drop("optimised")
-    distinct = rows.select(F.col(mathml).alias("__mathml")).where("__mathml IS NOT NULL").distinct()
-    done = _apply(distinct, lambda x: (optimise_mathml(x),), "__mathml string, optimised string", [pa.string()], ["optimised"])
-    return rows.join(done, rows[mathml] == done["__mathml"], "left").drop("__mathml")
+    return spread(documents.drop("optimised")).withColumn("optimised", _function(optimise_mathml, pa.string(), "string")(F.col(mathml)))

@@ -1,8 +1,8 @@
 """Parsing of formulas as a DataFrame operator, and what follows from a parse.
 
-``parse`` runs the grammar in Arrow batches over the distinct formulas only and joins the
-results back, so a formula that a third of all rows hold is parsed a few times, not a million
-times.  Only the parts that are asked for leave Python.
+``parse`` runs the grammar in Arrow batches where the rows are: nothing is shuffled or joined.
+Each task remembers the formulas it met, so one that a third of all rows hold is parsed once a
+task.  Only the formulas go to Python and only the parts that are asked for come back.
 
 Defined results: NULL parses to NULLs; an empty formula is valid, of no tokens and depth 0.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from mathloom.functions import vocab
 from mathloom.operators import grammar
+from mathloom.runtime import memoised, spread
 
 _FINDING = pa.struct([("type", pa.string()), ("message", pa.string()), ("position", pa.int32()), ("token_index", pa.int32())])
 _TOKEN = pa.struct([("type", pa.string()), ("value", pa.string()), ("position", pa.int32()), ("length", pa.int32()), ("metadata", pa.map_(pa.string(), pa.string()))])
@@ -52,31 +53,33 @@ PARTS = {
 SUMMARY = ("is_valid", "complexity_score", "token_count", "tree_depth", "original_length", "comment_count", "has_macros")
 
 
-def _runner(parts: tuple[str, ...], remove_comments: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[] for _ in parts]
-            for latex in batch.column(0).to_pylist():
-                parsed = grammar.parse(latex, remove_comments)
-                for column, part in zip(columns, parts, strict=True):
-                    column.append(PARTS[part][2](parsed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, PARTS[p][0]) for c, p in zip(columns, parts, strict=True))], names=["latex", *parts])
+def _parser(parts: tuple[str, ...], remove_comments: bool):
+    """An Arrow function from formulas to structs of the asked parts."""
+    kind = pa.struct([(p, PARTS[p][0]) for p in parts])
+    sql = "STRUCT<" + ",".join(f"{p}:{PARTS[p][1]}" for p in parts) + ">"
 
-    return run
+    # By its hints it takes and gives an iterator of batches, so a task has one memory.
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def one(latex: str) -> dict:
+            parsed = grammar.parse(latex, remove_comments)
+            return {p: PARTS[p][2](parsed) for p in parts}
 
+        known = memoised(one)
+        for batch in batches:
+            yield pa.array([None if x is None else known(x) for x in batch.to_pylist()], kind)
 
-def parse_distinct(formulas: DataFrame, parts: tuple[str, ...] = SUMMARY, latex: str = "latex", remove_comments: bool = True) -> DataFrame:
-    """latex and the asked parts of its parse, for each distinct formula."""
-    distinct = formulas.select(F.col(latex).alias("latex")).where("latex IS NOT NULL").distinct()
-    schema = "latex STRING, " + ", ".join(f"{p} {PARTS[p][1]}" for p in parts)
-    return distinct.mapInArrow(_runner(tuple(parts), remove_comments), schema)
+    return F.arrow_udf(run, sql)
 
 
 def parse(formulas: DataFrame, parts: tuple[str, ...] = SUMMARY, latex: str = "latex", remove_comments: bool = True) -> DataFrame:
     """``formulas`` with the asked parts of their parse; columns of these names are replaced."""
-    parsed = parse_distinct(formulas, parts, latex, remove_comments).withColumnRenamed("latex", "__latex")
-    kept = formulas.drop(*parts)
-    return kept.join(parsed, kept[latex] == parsed["__latex"], "left").drop("__latex")
+    rows = spread(formulas.drop(*parts)).withColumn("__parsed", _parser(tuple(parts), remove_comments)(F.col(latex)))
+    return rows.select(*(c for c in rows.columns if c != "__parsed"), *(F.col("__parsed")[p].alias(p) for p in parts))
+
+
+def parse_distinct(formulas: DataFrame, parts: tuple[str, ...] = SUMMARY, latex: str = "latex", remove_comments: bool = True) -> DataFrame:
+    """latex and the asked parts of its parse, for each distinct formula."""
+    return parse(formulas.select(F.col(latex).alias("latex")).where("latex IS NOT NULL").distinct(), parts, "latex", remove_comments)
 
 
 def is_simple(tokens: Column, depth: Column, complexity: Column) -> Column:

@@ -20,6 +20,7 @@ from mathloom.functions.latex import confidence, position
 from mathloom.operators import grammar
 from mathloom.operators.detect import find
 from mathloom.operators.mathml import convert, reference_mathml
+from mathloom.runtime import memoised, spread
 
 _FINDING = pa.struct([("type", pa.string()), ("message", pa.string()), ("position", pa.int32()), ("token_index", pa.int32())])
 _FORMULA = pa.struct([("ordinal", pa.int32()), ("start", pa.int32()), ("math_type", pa.string()), ("latex", pa.string()), ("raw", pa.string()), ("mathml", pa.string())])
@@ -51,16 +52,16 @@ def process(documents: DataFrame, config: ProcessConfig = ProcessConfig(), keys:
     intended = config.convert_to_mathml and config.semantics == "intended"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        errors_of = memoised(lambda latex: [e._asdict() for e in grammar.parse(latex).errors])
+        mathml_of = memoised(lambda latex: convert(latex) if intended else None)
         for batch in batches:
             formulas, warnings = [], []
             for value in batch.column(n).to_pylist():
                 here, findings = [], []
                 for ordinal, start, _, kind, latex, raw in find(value, config.semantics) if value and config.extract_formulas else ():
-                    parsed = grammar.parse(latex)
-                    if parsed.errors:
-                        findings.append({"type": "parse_warning", "formula": latex, "errors": [e._asdict() for e in parsed.errors]})
-                    mathml = convert(latex) if intended else None
-                    here.append({"ordinal": ordinal, "start": start, "math_type": kind, "latex": latex, "raw": raw, "mathml": mathml})
+                    if errors := errors_of(latex):
+                        findings.append({"type": "parse_warning", "formula": latex, "errors": errors})
+                    here.append({"ordinal": ordinal, "start": start, "math_type": kind, "latex": latex, "raw": raw, "mathml": mathml_of(latex)})
                 formulas.append(here)
                 warnings.append(findings)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *batch.columns[n + 1 :], pa.array(formulas, pa.list_(_FORMULA)), pa.array(warnings, pa.list_(_WARNING))], names=[*keys, "source_file", "formulas", "warnings"])
@@ -68,7 +69,7 @@ def process(documents: DataFrame, config: ProcessConfig = ProcessConfig(), keys:
     source = F.lit(None).cast("string") if source_file is None else F.col(source_file)
     rows = documents.select(*keys, F.col(text).alias("__text"), source.alias("source_file"))
     schema = ", ".join(f"`{k}` {t}" for k, t in documents.select(*keys).dtypes)
-    nested = rows.mapInArrow(run, f"{schema}, source_file string, {_NESTED}")
+    nested = spread(rows).mapInArrow(run, f"{schema}, source_file string, {_NESTED}")
 
     def full(f: Column) -> Column:
         mathml = f["mathml"] if intended or not config.convert_to_mathml else reference_mathml(f["latex"])

@@ -230,8 +230,8 @@ def complexity_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _by_tokens(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
-    parsed = parse.parse_distinct(_formulas(spark, sf), ("tokens", "tree_depth", "complexity_score")).select("latex", *(c.alias(n) for n, c in columns.items()))
-    return _formulas(spark, sf).join(parsed, "latex").drop("latex")
+    parsed = parse.parse(_formulas(spark, sf), ("tokens", "tree_depth", "complexity_score"))
+    return parsed.select("formula_id", *(c.alias(n) for n, c in columns.items()))
 
 
 @query
@@ -246,8 +246,8 @@ def render_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """The distinct parts of each distinct formula."""
-    return parse.parse_distinct(_formulas(spark, sf), ("tokens",)).select("latex", parse.components(F.col("tokens")).alias("c")).select("latex", "c.*")
+    """The distinct parts of each formula."""
+    return parse.parse(_formulas(spark, sf), ("tokens",)).select("formula_id", parse.components(F.col("tokens")).alias("c")).select("formula_id", "c.*")
 
 
 @query

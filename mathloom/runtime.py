@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +55,24 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer splits than there are cores.
+
+    Row groups can't be split, so costly Python over a small file would run in one task.  A scan
+    with enough splits, a plan that already shuffles and a stream stay as they are.
+    """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def memoised(function: Callable, most: int = 20_000) -> Callable:
+    """``function`` with a bounded memory of its results.
+
+    Frequent values are computed once a task instead of once a row, without the shuffle and the
+    join that computing over distinct values would take.
+    """
+    return lru_cache(maxsize=most)(function)
