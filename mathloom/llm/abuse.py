@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.llm.visual import one_form
+from mathloom.runtime import spread
 
 #: Most rated documents of either kind in the sample, taken by the hash of their ids.
 MOST_TOXIC, MOST_CLEAN = 4_000, 10_000
@@ -221,7 +222,7 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", "source", "score", "flagged"])
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
-    return docs.mapInArrow(run, "doc_id bigint, source string, score double, flagged boolean")
+    return spread(docs).mapInArrow(run, "doc_id bigint, source string, score double, flagged boolean")
 
 
 def source_rates(scores: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.llm.visual import _PLAIN, one_form
+from mathloom.runtime import spread
 
 # What formatting is, as patterns for both Java and Python.
 _SPACING = r"(?i)(\\\\)|\\(?:left|right|qquad|quad)(?![A-Za-z])|\\[,;:!]"
@@ -106,7 +107,7 @@ def canonical(records: DataFrame, kind: str) -> DataFrame:
 
     records = records.select(F.col("id").cast("bigint").alias("id"), "value").where("value IS NOT NULL")
     is_odd = odd(F.col("value"))
-    by_python = records.where(is_odd).mapInArrow(run, "id bigint, value string, canonical string")
+    by_python = spread(records.where(is_odd)).mapInArrow(run, "id bigint, value string, canonical string")
     return records.where(~is_odd).withColumn("canonical", plain(F.col("value"))).unionByName(by_python)
 
 

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mathloom.runtime import cut
+
 #: A summary's rows: counters, and one with item NULL that holds the rows seen and the most that was subtracted.
 SUMMARY = "field_name string, node bigint, item string, kept bigint, seen bigint, lost bigint"
 _SCHEMA = pa.schema([("field_name", pa.string()), ("node", pa.int64()), ("item", pa.string()), ("kept", pa.int64()), ("seen", pa.int64()), ("lost", pa.int64())])
@@ -95,7 +97,9 @@ def frequent_items(rows: DataFrame, share: float = 0.01, capacity: int | None =
     if capacity * share < 1:
         raise ValueError("capacity is too small for the share")
     rows = rows.select("field_name", "item").where("item IS NOT NULL")
-    level, parts = rows.mapInArrow(_summarise(capacity), SUMMARY), rows.rdd.getNumPartitions()
+    # The summaries are written once; their partitions, those of the rows, tell how deep the tree is.
+    level = cut(rows.mapInArrow(_summarise(capacity), SUMMARY))
+    parts = level.rdd.getNumPartitions()
     while True:
         parts = -(-parts // FAN_IN)
         # A group holds at most FAN_IN summaries, that is FAN_IN * (capacity + 1) rows.
@@ -124,7 +128,7 @@ def exact_frequent(rows: DataFrame, share: float = 0.01, capacity: int | None =
     Only rows whose hash is among the candidates' are counted.  There are at most
     1 / (share - 1 / (capacity + 1)) candidates a field, of which only 8-byte hashes are broadcast.
     """
-    candidates = frequent_items(rows, share, capacity)
+    candidates = cut(frequent_items(rows, share, capacity))  # used twice, found once
     hashes = candidates.select("field_name", F.xxhash64("item").alias("h"))
     rows = rows.select("field_name", "item").where("item IS NOT NULL").withColumn("h", F.xxhash64("item"))
     counted = rows.join(F.broadcast(hashes), ["field_name", "h"], "left_semi").groupBy("field_name", "item").agg(F.count("*").alias("n"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mathloom.runtime import spread
+
 _WORD = re.compile(r"[^\W_]+")
 #: Characters of items in a block; its automaton then takes some 300 MB at the very most.
 BLOCK_CHARS = 4_000_000
@@ -117,7 +119,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, words: int = 12, blo
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
         rows = sorted((r.item_id, r.text) for r in own.toLocalIterator())
-        found = docs.mapInArrow(_scan((hash(tuple(rows)), words), rows, words), MATCHES)
+        found = spread(docs).mapInArrow(_scan((hash(tuple(rows)), words), rows, words), MATCHES)
         result = found if result is None else result.unionByName(found)
     return result
 

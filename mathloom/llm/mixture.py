@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mathloom.runtime import cut
+from mathloom.runtime import cut, spread
 
 TOKENIZER = os.environ.get("MATHLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the vocabulary's own pattern for splitting text, as published with it.
@@ -62,7 +62,7 @@ def _tokens(path: str):
 def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens) of documents (doc_id, source, text) that have a source and a text."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").where("source IS NOT NULL AND text <> ''")
-    return docs.mapInArrow(_tokens(path), SIZED)
+    return spread(docs).mapInArrow(_tokens(path), SIZED)
 
 
 def _place() -> Column:

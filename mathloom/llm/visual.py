@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mathloom.runtime import spread
+
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТХУЅІЈҮԚԜӀ", "aeopcyxsijhdqwlABEKMHOPCTXYSIJYQWI", strict=True))
 GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϹϳͿ", "oABEZHIKMNOPTYXcCjJ", strict=True))
@@ -148,7 +150,7 @@ def suspects(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *strings], names=["row_id", "field_name", "decoded", "mapped", "clean"])
 
     found = rows.select("row_id", "field_name", "value").where(F.col("value").isNotNull() & seen)
-    return found.mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, field_name string, decoded string, mapped string, clean string")
+    return spread(found).mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, field_name string, decoded string, mapped string, clean string")
 
 
 def canonical_forms(rows: DataFrame) -> DataFrame:
