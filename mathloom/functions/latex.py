@@ -68,7 +68,7 @@ def normalize(latex: Column, preserve_spacing: bool = False, aggressive: bool =
             out = sub(out, r"\\(?:quad|qquad)\s*", " ")
         else:
             out = sub(out, r"\\,(?![a-zA-Z])", " ")
-            out = sub(out, r"\\,\s*(?=d[a-z])", r"\\\\,")
+            out = sub(out, r"\\,\s*(?=d[a-z])", r"\\,")
             out = sub(out, r"(?<=[0-9])\s*\\,\s*(?=[0-9])", " ")
     out = sub(out, r"\s*([_^])\s*", "$1")
     out = sub(out, r"\s*([+\-*/=<>])\s*", " $1 ")

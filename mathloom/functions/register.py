@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from mathloom.operators import grammar, mathml
@@ -11,27 +12,27 @@ from mathloom.operators.detect import find
 from mathloom.runtime import ship
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def latex_complexity(latex: pd.Series) -> pd.Series:
     return latex.map(lambda x: None if x is None else grammar.parse(x).complexity)
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def latex_is_valid(latex: pd.Series) -> pd.Series:
     return latex.map(lambda x: None if x is None else not grammar.parse(x).errors)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def latex_to_mathml(latex: pd.Series, display: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else mathml.convert(x, bool(b)) for x, b in zip(latex, display, strict=True)], dtype="object")
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def mathml_is_valid(document: pd.Series) -> pd.Series:
     return document.map(lambda x: None if x is None else not mathml.validate_mathml(x))
 
 
-@udtf(returnType="ordinal int, start int, end_ int, math_type string, latex string")
+@udtf(returnType=T.StructType([T.StructField(n, k) for n, k in (("ordinal", T.IntegerType()), ("start", T.IntegerType()), ("end_", T.IntegerType()), ("math_type", T.StringType()), ("latex", T.StringType()))]))
 class DetectFormulas:
     """Formulas of a text, for LATERAL detect_formulas(text)."""
 

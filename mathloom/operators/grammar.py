@@ -226,11 +226,10 @@ def node_rows(root: Node) -> list[tuple]:
         node, parent, role, order, depth = stack.pop()
         own = len(rows)
         rows.append((own, parent, role, order, depth, node.type, node.value, node.name, node.position, node.nested))
-        below = [(c, own, "child", k, None if depth is None else depth + 1) for k, c in enumerate(node.children)]
+        below = [(node.base, own, "base", 0, None)] if node.base is not None else []
+        below += [(c, own, "child", k, None if depth is None else depth + 1) for k, c in enumerate(node.children)]
         if node.delimiter is not None:
             below.append((node.delimiter, own, "delimiter", 0, None))
-        if node.base is not None:
-            below.append((node.base, own, "base", 0, None))
         stack.extend(reversed(below))
     return rows
 

@@ -13,10 +13,11 @@ TEXT_SUFFIXES = (".txt", ".tex")
 SCHEMA = "source_file string, ordinal int, text string, error_type string, error string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def _full(spark: SparkSession, path: str) -> str | None:
+    """The full name of a file, or None if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString() if system.exists(target) else None
 
 
 def _suffix(path):
@@ -27,7 +28,7 @@ def _suffix(path):
 def _rows(files: DataFrame) -> DataFrame:
     """Text or error of files (source_file, ordinal, content)."""
     suffix = _suffix(F.col("source_file"))
-    text = F.col("content").cast("string")
+    text = F.coalesce(F.col("content").cast("string"), F.lit(""))  # a file without a byte is not read at all
     is_text = suffix.isin(*TEXT_SUFFIXES)
     good = is_text & F.is_valid_utf8(text)
     kind = F.when(~is_text, "unsupported_format").when(~F.is_valid_utf8(text), "decode_error")
@@ -43,26 +44,32 @@ def _rows(files: DataFrame) -> DataFrame:
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     """Every file under ``path``, each once; columns as in ``SCHEMA``, without an order.
 
-    Contents are read only of files whose suffix is that of a text.
+    Contents are read only of files whose suffix is that of a text.  A file without a byte gives no row.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+
+    def listed(**options: str) -> DataFrame:
+        return spark.read.format("binaryFile").options(recursiveFileLookup="true", **options).load(path)
+
     columns = [F.col("path").alias("source_file"), F.lit(None).cast("int").alias("ordinal")]
-    texts = reader.option("pathGlobFilter", "*.{txt,tex,TXT,TEX,Txt,Tex}").load(path).select(*columns, "content")
-    names = reader.load(path).select(*columns).withColumn("content", F.lit(None).cast("binary")).where(~_suffix(F.col("source_file")).isin(*TEXT_SUFFIXES))
+    texts = listed(pathGlobFilter="*.[tT][xXeE][tTxX]").where(_suffix(F.col("path")).isin(*TEXT_SUFFIXES)).select(*columns, "content")
+    names = listed().select(*columns).withColumn("content", F.lit(None).cast("binary")).where(~_suffix(F.col("source_file")).isin(*TEXT_SUFFIXES))
     return _rows(texts.unionByName(names))
 
 
 def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The files of a list in its order (``ordinal``), with error rows for missing ones; a path named twice is read for both."""
-    requested = [(p, i, _exists(spark, p)) for i, p in enumerate(paths)]
-    missing = [(p, i, None, "file_not_found", f"File not found: {p}") for p, i, there in requested if not there]
+    requested = [(p, i, _full(spark, p)) for i, p in enumerate(paths)]
+    missing = [(p, i, None, "file_not_found", f"File not found: {p}") for p, i, full in requested if full is None]
     result = spark.createDataFrame(missing, SCHEMA)
-    present = [(p, i) for p, i, there in requested if there]
+    present = [r for r in requested if r[2] is not None]
     if present:
-        wanted = spark.createDataFrame(present, "source_file string, ordinal int")
-        full = F.regexp_replace(F.col("path"), "^file:/+", "/")
-        found = spark.read.format("binaryFile").load([*dict.fromkeys(p for p, _ in present)]).select(full.alias("__path"), "content")
-        bare = F.regexp_replace(F.col("source_file"), "^file:/+", "/")
-        joined = wanted.join(found, F.col("__path").endswith(bare) & (F.substring_index("__path", "/", -1) == F.substring_index(bare, "/", -1)), "left").drop("__path")
-        result = result.unionByName(_rows(joined))
+        wanted = spark.createDataFrame(present, "source_file string, ordinal int, __path string")
+        # Contents are read only of texts.
+        texts = [*dict.fromkeys(full for p, _, full in present if p.lower().endswith(TEXT_SUFFIXES))]
+        if texts:
+            found = spark.read.format("binaryFile").load(texts).select(F.col("path").alias("__path"), "content")
+            wanted = wanted.join(found, "__path", "left")
+        else:
+            wanted = wanted.withColumn("content", F.lit(None).cast("binary"))
+        result = result.unionByName(_rows(wanted))
     return result
