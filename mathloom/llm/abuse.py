@@ -14,9 +14,9 @@ training follow, the second with the windows that the first finds worst.
 The classifier is fitted in one task on a bounded sample of rated documents, ``MOST_TOXIC`` and
 ``MOST_CLEAN`` of either kind; scoring covers every document and its whole text.
 
-Defined results: a NULL text has the score NULL and is not flagged; an empty one is scored as
-one blank; a document rated differently by different people, or not at all, trains nothing;
-without ratings of both kinds every document is scored 0 and not flagged.
+Defined results: a NULL text has the score NULL and is not flagged; a text that shows
+nothing, such as an empty one, has the score BIAS; a document rated differently by different people, or not at all, trains nothing;
+without ratings of both kinds no document is flagged.
 """
 
 from __future__ import annotations
@@ -37,20 +37,25 @@ MOST_TOXIC, MOST_CLEAN = 4_000, 10_000
 BITS, LENGTHS, WINDOW, FOLDS = 20, (2, 3, 4, 5), 48, 4
 #: Weight of the class-wide rate in a log-count ratio.
 PRIOR = 4.0
+#: Logit of a window that shows nothing; it is not learned, so that short texts, which show little,
+#: stay below ``FLAG``.
+BIAS = -6.0
 #: Logit from which a document is flagged.  The worst of many windows decides and training weighs
 #: a window rated clean several times one rated toxic, so the odds are not even at 0.
 FLAG = -4.0
 
 # Digits and signs written for the letters they look like.
-_LEET = str.maketrans("4310571@$!", "aeiostlasi")
+_LEET = str.maketrans("4310571@$!", "aeiostiasi")
 _leet = re.compile(r"\S*[4310571@$!]\S*")
 _spelled = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[.\-_*][^\W\d_]){2,}(?![^\W\d_])")
 _repeated = re.compile(r"([^\W\d_])\1{2,}")
 
 
 def _unleet(match) -> str:
-    word = match[0]
-    return word.translate(_LEET) if 2 * sum(c.isalpha() for c in word) >= len(word) else word
+    core = match[0].rstrip("!?.,;:")
+    if 2 * sum(c.isalpha() for c in core) < len(core):
+        return match[0]
+    return core.translate(_LEET) + match[0][len(core) :]
 
 
 def plain_text(text: str) -> str:
@@ -108,31 +113,28 @@ def _ratios(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
     return (np.log((toxic + PRIOR * rate) / (clean + PRIOR * (1 - rate))) - np.log(rate / (1 - rate))).astype(np.float32)
 
 
-def logistic(examples: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on features scaled by ``ratios``, by full-batch AdaGrad."""
+def logistic(examples: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic regression on features scaled by ``ratios``, by full-batch AdaGrad."""
     ids = np.concatenate(examples)
     rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e) for e in examples])
     scaled, y = ratios[ids], toxic.astype(np.float32)
     cost = np.where(toxic, 0.15 / max(y.mean(), 1e-9), 1.0) / len(y)
     start = 0.1
-    v, bias = np.full(2**BITS, start), -2.0
-    v_seen, bias_seen = np.full(2**BITS, 1e-8), 1e-8
+    v, v_seen = np.full(2**BITS, start), np.full(2**BITS, 1e-8)
     for _ in range(steps):
-        z = np.bincount(rows, scaled * v[ids], len(examples)) + bias
+        z = np.bincount(rows, scaled * v[ids], len(examples)) + BIAS
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
         slope = np.bincount(ids, error[rows] * scaled, 2**BITS) + 1e-6 * (v - start)
         v_seen += slope**2
-        bias_seen += error.sum() ** 2
         v -= 0.05 * slope / np.sqrt(v_seen)
-        bias -= 0.3 * error.sum() / np.sqrt(bias_seen)
-    return (ratios * v).astype(np.float32), float(bias)
+    return (ratios * v).astype(np.float32)
 
 
 def fit(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float]:
     """Weights and bias from plain texts and their ratings (0 or 1)."""
     y = np.asarray(toxic, bool)
     if not y.any() or y.all() or len(y) < 2 * FOLDS:
-        return np.zeros(2**BITS, np.float32), 0.0
+        return np.zeros(2**BITS, np.float32), BIAS
     fold = np.arange(len(texts)) % FOLDS
     # Rated toxic and clean each spread evenly over the folds.
     order = np.argsort(~y, kind="stable")
@@ -156,22 +158,22 @@ def fit(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float]:
         if 3 * (stands_out & y).sum() >= y.sum():
             break
     rng = np.random.default_rng(7)
-    weights, bias = np.zeros(2**BITS, np.float32), 0.0
+    weights = np.zeros(2**BITS, np.float32)
     for turn in range(2):
         if turn:
             worst = [worst_window(t, weights) for t in texts]
-            stands_out = np.array([s for s, _ in worst]) + bias > 0
+            stands_out = np.array([s for s, _ in worst]) + BIAS > 0
         chosen = [(i, worst[i][1]) for i in range(len(texts)) if stands_out[i] or not y[i]]
         chosen += [(i, int(rng.integers(max(1, len(texts[i]) - WINDOW)))) for i in np.flatnonzero(~y)]
         labels = np.array([y[i] for i, _ in chosen])
         if not labels.any():
-            break
+            return np.zeros(2**BITS, np.float32), BIAS
         examples = [features(_window(texts[i], at)) for i, at in chosen]
-        weights, bias = logistic(examples, labels, log_count_ratios(examples, labels))
+        weights = logistic(examples, labels, log_count_ratios(examples, labels))
     # Of a small sample the classifier knows too little for a fixed level; then hardly any of the
     # documents rated clean may be above it.
     level = np.quantile([worst_window(t, weights)[0] for t, toxic_ in zip(texts, y, strict=True) if not toxic_], 0.995)
-    return weights, bias - max(0.0, float(level) + bias - FLAG)
+    return weights, BIAS - max(0.0, float(level) + BIAS - FLAG)
 
 
 def rated_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def fitted(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     row = rated_sample(documents, labels).repartition(1).mapInArrow(run, "weights binary, bias double").first()
     if row is None:
-        return np.zeros(2**BITS, np.float32), 0.0
+        return np.zeros(2**BITS, np.float32), BIAS
     return np.frombuffer(bytes(row.weights), np.float32), row.bias
 
 
