@@ -6,6 +6,7 @@ Image libraries and services are not part of this engine.  A backend is any obje
 
 from __future__ import annotations
 
+import base64
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mathloom.functions.latex import text_to_latex
+
 
 @dataclass(frozen=True)
 class OCRConfig:
@@ -40,6 +43,64 @@ class OCRBackend(Protocol):
     def recognize(self, content: bytes) -> dict: ...
 
 
+class HttpOCR:
+    """A recognition service that takes an image as JSON and replies with formulas.
+
+    ``post(url, headers, body, timeout)`` gives the reply as a dict, with ``status`` and
+    ``retry_after`` where the service was busy; it is all this engine needs of a client.
+    """
+
+    name = "http"
+
+    def __init__(self, url: str, headers: dict[str, str], post: Callable[[str, dict, dict, int], dict], config: OCRConfig = OCRConfig()):
+        self.url, self.headers, self.post, self.config = url, headers, post, config
+
+    def is_available(self) -> bool:
+        return bool(self.url and self.headers and all(self.headers.values()))
+
+    def recognize(self, content: bytes) -> dict:
+        body = {
+            "src": "data:image/png;base64," + base64.b64encode(content).decode(),
+            "formats": ["latex_styled", "mathml", "asciimath"],
+            "ocr": ["math", "text"],
+        }
+        reply = with_retries(lambda: self.post(self.url, self.headers, body, self.config.timeout), self.config)
+        return {
+            "latex": reply.get("latex_styled", ""),
+            "confidence": float(reply.get("latex_confidence", 0.0)),
+            "mathml": reply.get("mathml"),
+            "asciimath": reply.get("asciimath"),
+            "error": reply.get("error"),
+        }
+
+
+class LocalOCR:
+    """Text recognition by an installed program, if its library is there; the text becomes LaTeX in ``recognize``."""
+
+    name = "local"
+
+    def is_available(self) -> bool:
+        try:
+            import PIL  # noqa: F401
+            import pytesseract
+
+            pytesseract.get_tesseract_version()
+        except Exception:  # a missing program shows in many ways
+            return False
+        return True
+
+    def recognize(self, content: bytes) -> dict:
+        import io
+
+        import pytesseract
+        from PIL import Image
+
+        image = Image.open(io.BytesIO(content))
+        words = [float(c) for c in pytesseract.image_to_data(image, output_type=pytesseract.Output.DICT)["conf"] if float(c) > 0]
+        text = pytesseract.image_to_string(image, config="--oem 3 --psm 6")
+        return {"text": text, "confidence": sum(words) / len(words) / 100 if words else 0.0}
+
+
 RESULT = "latex string, confidence double, text string, mathml string, asciimath string, error string, backend string"
 _FIELDS = ("latex", "confidence", "text", "mathml", "asciimath", "error", "backend")
 _TYPES = (pa.string(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
@@ -120,7 +181,7 @@ def recognize(images: DataFrame, backends: list[OCRBackend], config: OCRConfig =
                 result = {"error": None} | backend.recognize(content) | {"backend": backend.name}
             except Exception as e:  # a backend may fail in any way; that is a row, not the end of the job
                 result = {"latex": "", "confidence": 0.0, "error": str(e), "backend": backend.name}
-            if result.get("latex") and result.get("confidence", 0) > 0 and not result.get("error") or not config.enable_fallback:
+            if (result.get("latex") or result.get("text")) and result.get("confidence", 0) > 0 and not result.get("error") or not config.enable_fallback:
                 break
         return result
 
@@ -132,4 +193,5 @@ def recognize(images: DataFrame, backends: list[OCRBackend], config: OCRConfig =
     keyed = images.drop(*_FIELDS).withColumn("__key", F.sha2("content", 256))
     distinct = keyed.groupBy(F.col("__key").alias("__hash")).agg(F.first("content").alias("content"))
     done = distinct.mapInArrow(run, f"__hash string, {RESULT}")
+    done = done.withColumn("latex", F.coalesce("latex", text_to_latex(F.col("text"))))
     return keyed.join(done, keyed["__key"] == done["__hash"], "left").drop("__key", "__hash")

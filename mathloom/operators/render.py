@@ -116,3 +116,31 @@ def linspace(low: Column, high: Column, n: int = 1000) -> Column:
 def polynomial_points(coefficient: Column, power: Column, constant: Column, low: Column, high: Column, n: int = 1000) -> Column:
     """Points of ``coefficient * x^power + constant``, the form of stored function plots."""
     return F.transform(linspace(low, high, n), lambda x: F.struct(x.alias("x"), (coefficient * F.pow(x, power) + constant).alias("y")))
+
+
+def vector_grid(low: Column, high: Column, n: int = 20) -> Column:
+    """The points of an ``n`` by ``n`` grid, row by row."""
+    axis = linspace(low, high, n)
+    return F.flatten(F.transform(axis, lambda y: F.transform(axis, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def _scaled(points: Column, width: int, height: int) -> Column:
+    """Points inside the picture, y upwards; a single value lies in the middle."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+
+    def along(v: Column, values: Column, size: int) -> Column:
+        low, high = F.array_min(values), F.array_max(values)
+        return F.when(high > low, (v - low) / (high - low) * size).otherwise(F.lit(size / 2))
+
+    return F.transform(points, lambda p: F.struct(along(p["x"], xs, width).alias("x"), (F.lit(height) - along(p["y"], ys, height)).alias("y")))
+
+
+def svg_plot(kind: Column, points: Column, title: Column, width: int = 800, height: int = 600) -> Column:
+    """A function's curve or a scatter of points (x, y) as SVG, a JVM expression; NULL for another kind or no points."""
+    at = _scaled(points, width, height)
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), "&", "&amp;"), "<", "&lt;")
+    pair = F.array_join(F.transform(at, lambda p: F.concat(F.format_string("%.2f", p["x"]), F.lit(","), F.format_string("%.2f", p["y"]))), " ")
+    dots = F.array_join(F.transform(at, lambda p: F.concat(F.lit('<circle r="3" cx="'), F.format_string("%.2f", p["x"]), F.lit('" cy="'), F.format_string("%.2f", p["y"]), F.lit('"/>'))), "")
+    body = F.when(kind == "function", F.concat(F.lit('<polyline fill="none" stroke="black" points="'), pair, F.lit('"/>'))).when(kind == "scatter", dots)
+    svg = F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><title>'), text, F.lit("</title>"), body, F.lit("</svg>"))
+    return F.when(F.size(points) > 0, svg)
