@@ -9,10 +9,11 @@ Defined results: NULL parses to NULLs; an empty formula is valid, of no tokens a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathloom.functions import vocab
@@ -169,29 +170,50 @@ def macro_definitions(formulas: DataFrame, keys: tuple[str, ...], latex: str = "
     return formulas.where(F.col(latex).contains("\\")).select(*keys, F.inline(F.concat(new, old)))
 
 
-def parse_with_document_macros(formulas: DataFrame, document: str = "doc_id", order: str = "ordinal", latex: str = "latex") -> DataFrame:
+def _macros_before(formulas: DataFrame, chunk: int) -> DataFrame:
+    """(document, place, macros) of the formulas that use macros defined before them; macros is a JSON object.
+
+    An as-of join of uses to definitions by document and name, as a prefix scan: within chunks of
+    places by a window, between chunks by a window over one row a chunk.  So a document with a
+    third of all formulas, or a macro defined in each of them, is no task's whole work.
+    """
+    value = F.to_json(F.array(F.col("args").cast("string"), F.col("body")))
+    defined = macro_definitions(formulas, ("document", "place")).select("document", "place", F.col("macro").alias("name"), value.alias("defined"))
+    # Of several definitions in one formula the last counts; the parse of that formula knows its own.
+    defined = defined.groupBy("document", "place", "name").agg(F.max("defined").alias("defined"))
+    names = F.explode(F.array_distinct(F.regexp_extract_all("latex", F.lit(r"\\([a-zA-Z]+)"), F.lit(1)))).alias("name")
+    used = formulas.where(F.col("latex").contains("\\")).select("document", "place", names)
+    used = used.join(defined.select("document", "name").distinct(), ["document", "name"], "left_semi")
+    both = used.withColumn("defined", F.lit(None).cast("string")).unionByName(defined).withColumn("chunk", F.floor(F.col("place") / chunk))
+    chunks = both.groupBy("document", "name", "chunk").agg(F.max_by(F.when(F.col("defined").isNotNull(), F.col("defined")), F.when(F.col("defined").isNotNull(), F.col("place"))).alias("last"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = before.partitionBy("document", "name").orderBy("chunk")
+    carried = chunks.withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).drop("last")
+    # A definition sorts after the uses at its own place, where it doesn't count yet.
+    inside = before.partitionBy("document", "name", "chunk").orderBy("place", F.col("defined").isNotNull())
+    scanned = both.withColumn("here", F.last("defined", ignorenulls=True).over(inside)).where("defined IS NULL")
+    known = scanned.join(carried, ["document", "name", "chunk"]).withColumn("known", F.coalesce("here", "carried")).where("known IS NOT NULL")
+    return known.groupBy("document", "place").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("name", "known")))).alias("macros"))
+
+
+def parse_with_document_macros(formulas: DataFrame, document: str = "doc_id", order: str = "ordinal", latex: str = "latex", chunk: int = 20_000) -> DataFrame:
     """Validity and macro use where macros hold from their definition to the end of their document.
 
-    A document is folded in order.  Only documents that define a macro are grouped, and of those
-    only the formulas with a backslash; a document without macros parses as any formula does.
-    Columns: document, order, latex, is_valid, macro_count.
+    Columns: document, order, latex, is_valid, macro_count.  Formulas without a document or an order have
+    only their own macros; of formulas at the same place neither knows the other's.
     """
     own = formulas.select(F.col(document).alias("document"), F.col(order).alias("place"), F.col(latex).alias("latex")).where("latex IS NOT NULL")
-    defines = own.where(F.col("latex").rlike(r"\\newcommand\{\\[a-zA-Z]+\}|\\def\\[a-zA-Z]+\{")).select("document").distinct()
-
-    def fold(batch: pa.Table) -> pa.Table:
-        rows = batch.sort_by([("place", "ascending"), ("latex", "ascending")])
-        macros: dict[str, tuple[int, str]] = {}
-        valid, used = [], []
-        for text in rows["latex"].to_pylist():
-            parsed = grammar.parse(text, macros=macros)
-            macros = parsed.macros
-            valid.append(not parsed.errors)
-            used.append(parsed.counts["macros"])
-        return rows.append_column("is_valid", pa.array(valid, pa.bool_())).append_column("macro_count", pa.array(used, pa.int32()))
-
-    types = dict(own.dtypes)
-    schema = f"document {types['document']}, place {types['place']}, latex string, is_valid boolean, macro_count int"
-    grouped = own.join(defines, "document", "left_semi").groupBy("document").applyInArrow(fold, schema)
-    alone = parse(own.join(defines, "document", "left_anti"), ("is_valid",)).withColumn("macro_count", F.lit(0))
-    return grouped.unionByName(alone).withColumnsRenamed({"document": document, "place": order, "latex": latex})
+    known = _macros_before(own.where("document IS NOT NULL AND place IS NOT NULL"), chunk)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        def one(text: str, macros: str | None) -> dict:
+            before = {n: (int(v[0]), v[1]) for n, v in ((n, json.loads(v)) for n, v in json.loads(macros or "{}").items())}
+            parsed = grammar.parse(text, macros=before)
+            return {"is_valid": not parsed.errors, "macro_count": parsed.counts["macros"]}
+
+        known = memoised(one)
+        for texts, macros in batches:
+            yield pa.array([known(t, m) for t, m in zip(texts.to_pylist(), macros.to_pylist(), strict=True)], pa.struct([("is_valid", pa.bool_()), ("macro_count", pa.int32())]))
+
+    rows = own.join(known, ["document", "place"], "left").withColumn("parsed", F.arrow_udf(run, "struct<is_valid:boolean,macro_count:int>")("latex", "macros"))
+    return rows.select(F.col("document").alias(document), F.col("place").alias(order), F.col("latex").alias(latex), "parsed.is_valid", "parsed.macro_count")

@@ -69,8 +69,21 @@ def test_macro_definitions(spark):
     assert {tuple(r) for r in parse.macro_definitions(df, ("id",)).collect()} == {(1, "a", 2, "x\ny"), (1, "b", 0, "z")}
 
 
-def test_document_macros(spark):
-    rows = [(1, 0, r"\newcommand{\a}{x}"), (1, 1, r"\a + \a"), (2, 0, r"\a"), (2, 1, None), (3, 0, "}")]
+@pytest.mark.parametrize("chunk", [1, 2, 20_000])
+def test_document_macros(spark, chunk):
+    rows = [
+        (1, 0, r"\newcommand{\a}{x}"), (1, 1, r"\a + \a"), (1, 2, r"\def\a{y} \def\b{z}"), (1, 5, r"\a \b"), (1, 6, r"\b}"),
+        (2, 0, r"\a"), (2, 1, None), (3, 0, "}"), (None, 0, r"\a"), (4, None, r"\def\c{x}\c"), (5, 3, r"\c"), (5, 4, r"\def\c{x}"),
+    ]
     df = spark.createDataFrame(rows, "doc_id int, ordinal int, latex string")
-    got = {(r.doc_id, r.ordinal): (r.is_valid, r.macro_count) for r in parse.parse_with_document_macros(df).collect()}
-    assert got == {(1, 0): (True, 1), (1, 1): (True, 2), (2, 0): (True, 0), (3, 0): (False, 0)}
+    got = {(r.doc_id, r.ordinal): (r.is_valid, r.macro_count) for r in parse.parse_with_document_macros(df, chunk=chunk).collect()}
+    # A definition names its macro once in itself.
+    want = {(1, 0): (True, 1), (1, 1): (True, 2), (1, 2): (True, 2), (1, 5): (True, 2), (1, 6): (False, 1), (2, 0): (True, 0), (3, 0): (False, 0), (None, 0): (True, 0), (4, None): (True, 2), (5, 3): (True, 0), (5, 4): (True, 1)}
+    assert got == want
+    ordered = df.where("doc_id = 1").orderBy("ordinal").collect()
+    macros, folded = {}, {}
+    for r in ordered:
+        p = grammar.parse(r.latex, macros=macros)
+        macros = p.macros
+        folded[1, r.ordinal] = (not p.errors, p.counts["macros"])
+    assert folded == {k: v for k, v in got.items() if k[0] == 1}
