@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.llm.visual import _PLAIN, one_form
-from mathloom.runtime import spread
+from mathloom.runtime import cut, spread
 
 # What formatting is, as patterns for both Java and Python.
 _SPACING = r"(?i)(\\\\)|\\(?:left|right|qquad|quad)(?![A-Za-z])|\\[,;:!]"
@@ -62,10 +62,14 @@ def json_text(code: str) -> str | None:
 
     Scalars keep their spelling: 1.0 and 1.00 differ.
     """
-    try:
-        if not isinstance(json.loads(code), dict):
-            return None
-    except (ValueError, RecursionError):
+    for text in (code, code.lower()):
+        try:
+            if not isinstance(json.loads(text), dict):
+                return None
+            break
+        except (ValueError, RecursionError):
+            continue
+    else:
         return None
     # Innermost first, without recursion: each open container gathers the texts of its members.
     stack: list[tuple[str, list[str]]] = [("", [""])]
@@ -127,14 +131,20 @@ def collisions(groups: DataFrame) -> DataFrame:
     return groups.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
 
 
-def copy_members(rows: DataFrame, buckets: int = 16) -> DataFrame:
+def copy_members(rows: DataFrame, hot: int = 1024, least: int = 10_000) -> DataFrame:
     """(first_id, copy_id) of every member but the first of the groups whose stored texts differ.
 
-    A group can hold a third of all rows, so the rows are joined to their groups by a salted key:
-    each group of several texts stands once in every bucket, each row looks in its own.
+    A group can hold a third of all rows.  Groups of more than ``least`` rows and more than one of
+    ``hot`` parts of all rows in such groups are joined where the rows are: there are fewer than ``hot`` of them, 32
+    bytes each.  Only the rows of other groups are shuffled.  The hashed rows are written once.
     """
-    groups = copy_groups(rows).where("differ").select("digest", "check", "first_id")
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    salted = rows.select("id", "digest", "check", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("salt"))
-    found = salted.join(spread, ["digest", "check", "salt"]).where("id <> first_id")
-    return found.select("first_id", F.col("id").alias("copy_id"))
+    rows = cut(rows)
+    groups = cut(copy_groups(rows).where("differ").select("digest", "check", "first_id", "copies"))
+    limit = max(least, (groups.agg(F.sum("copies")).first()[0] or 0) / hot)
+    key = ["digest", "check"]
+    large = groups.where(F.col("copies") > limit).drop("copies")
+    small = groups.where(F.col("copies") <= limit).drop("copies")
+    found = rows.join(F.broadcast(large), key, "left_anti").join(small, key).select("first_id", "id")
+    if not large.isEmpty():
+        found = found.unionByName(rows.join(F.broadcast(large), key).select("first_id", "id"))
+    return found.where("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
