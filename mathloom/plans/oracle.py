@@ -26,7 +26,7 @@ def _confidence(x: str) -> str:
     return f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN length({x}) BETWEEN 2 AND 1000 THEN {base} + 0.1::DOUBLE ELSE {base} END))"
 
 
-def _matches(n: int) -> str:
+def _matches(n: int, table: str = "documents") -> str:
     kind, pattern = PATTERNS[n]
     p = _quoted(pattern)
     # Where a match begins: the pieces of text up to it and the matches before it.
@@ -35,18 +35,35 @@ def _matches(n: int) -> str:
            length(array_to_string(list_slice(s, 1, k), '')) + length(array_to_string(list_slice(f, 1, k - 1), '')) AS start
     FROM (SELECT doc_id, f, g, s, unnest(range(1, len(f) + 1)) AS k
           FROM (SELECT doc_id, regexp_extract_all(text, {p}, 0) AS f, regexp_extract_all(text, {p}, 1) AS g, string_split_regex(text, {p}) AS s
-                FROM documents WHERE text IS NOT NULL) a
+                FROM {table} WHERE text IS NOT NULL) a
           WHERE len(f) > 0) b"""
 
 
-DETECTED = (
-    "WITH found AS ("
-    + " UNION ALL ".join(_matches(n) for n in range(len(PATTERNS)))
-    + f"""),
+def _detected(table: str = "documents", before: str = "") -> str:
+    found = " UNION ALL ".join(_matches(n, table) for n in range(len(PATTERNS)))
+    return f"""WITH {before} found AS ({found}),
 detected AS (
   SELECT doc_id, start::INT AS start, (start + length(whole))::INT AS "end", math_type, {_strip("raw")} AS latex, raw, {_confidence("raw")} AS confidence FROM found)
 """
+
+
+DETECTED = _detected()
+# Formulas of every kind, put after the documents' texts; # stands for the document's number.
+TEMPLATES = (
+    "$x_{#} + y^{2} = z$",
+    "$$E = mc^2 + #$$",
+    r"\[ \frac{a_#}{b} \]",
+    r"\( \sqrt{x^2 + y^2} \)",
+    r"\begin{pmatrix} a & b \\ c & # \end{pmatrix}",
+    r"\begin{align} x &= # \\ y &= 2 \end{align}",
+    r"\begin{equation} \int_0^{\infty} e^{-x^2} \, dx = \frac{\sqrt{\pi}}{#} \end{equation}",
+    r"\begin{equation*} \sum_{i=1}^n i = \prod\limits_{j=1}^m \left( j \right) \end{equation*}",
+    r"\begin{align*} \alpha + \beta &= \gamma \quad # \end{align*}",
+    r"$\text{Hello } x + y$",
+    "$x^{y^z} < #$",
+    r"Price: \$100 and $\hat{x}$",
 )
+_AUGMENTED = "augmented AS (SELECT doc_id, text || chr(10) || CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN replace({_quoted(t)}, '#', doc_id::VARCHAR)" for i, t in enumerate(TEMPLATES)) + " END AS text FROM documents),"
 _BAND = "CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END"
 _SYMBOLS = " OR ".join(f"contains(latex, {_quoted(s)})" for s in ("+", "-", "=", "\\", "^", "_"))
 _QUALITY = f"""count(*) AS total, count(*) FILTER (WHERE {_BAND} = 'high') AS high, count(*) FILTER (WHERE {_BAND} = 'medium') AS medium,
@@ -59,11 +76,16 @@ def _sub(x: str, pattern: str, to: str) -> str:
 
 
 def _normal(x: str, aggressive: bool, preserve: bool = False) -> str:
+    """The normal form; RE2 has no look-around, so a thin space is replaced with what follows it, some times over."""
     out = _sub(_strip(x), r"\s+", " ")
     for name in ("limits", "nolimits", *(("left", "right") if aggressive else ())):
         out = _sub(out, rf"\\{name}\s*", "")
     if aggressive:
         out = _sub(_sub(out, r"\\[,;:!]\s*", " "), r"\\(?:quad|qquad)\s*", " ")
+    elif not preserve:
+        for _ in range(6):
+            out = _sub(out, r"\\,([^a-zA-Z]|$)", r" \1")
+        out = _sub(out, r"\\,\s*(d[a-z])", r"\\,\1")
     out = _sub(_sub(out, r"\s*([_^])\s*", r"\1"), r"\s*([+\-*/=<>])\s*", r" \1 ")
     return _strip(_sub(out, r"\s+", " "))
 
@@ -106,6 +128,7 @@ first_seen AS (SELECT doc_id, math_type, count(*) AS n, min(start) AS first FROM
 SQL = {
     "detect_all": DETECTED + 'SELECT doc_id, start, "end", math_type, latex, raw, confidence FROM detected',
     **{f"detect_{kind}": DETECTED + f'SELECT doc_id, start, "end", latex, confidence FROM detected WHERE math_type = \'{kind}\'' for kind in ("display", "inline", "equation", "align", "matrix")},
+    "detect_augmented": _detected("augmented", _AUGMENTED) + 'SELECT doc_id, start, "end", math_type, latex, confidence FROM detected',
     "confidence_bands": DETECTED + f"SELECT {_BAND} AS band, count(*) AS n FROM detected GROUP BY 1",
     "confident_formulas": DETECTED + "SELECT doc_id, start, math_type, confidence FROM detected WHERE confidence >= 0.8",
     "type_counts": DETECTED + "SELECT math_type, count(*) AS n FROM detected GROUP BY math_type",
@@ -124,6 +147,7 @@ SQL = {
       FROM ids LEFT JOIN f ON ids.doc_id = f.doc_id LEFT JOIN c ON ids.doc_id = c.doc_id LEFT JOIN b ON ids.doc_id = b.doc_id LEFT JOIN d ON ids.doc_id = d.doc_id
       WHERE ids.doc_id IS NOT NULL""",
     "normalize_aggressive": f"SELECT formula_id, {_normal('latex', True)} AS normal FROM formulas WHERE latex IS NOT NULL",
+    "normalize_default": f"SELECT formula_id, {_normal('latex', False)} AS normal FROM formulas WHERE latex IS NOT NULL",
     "normalize_preserve": f"SELECT formula_id, {_normal('latex', False, True)} AS normal FROM formulas WHERE latex IS NOT NULL",
     "formula_hash": f"SELECT formula_id, substring(md5({_normal('latex', True)}), 1, 16) AS hash FROM formulas WHERE latex IS NOT NULL",
     "dedup_formulas": f"SELECT hash, min(formula_id) AS first_id, count(*) AS copies FROM (SELECT formula_id, substring(md5({_normal('latex', True)}), 1, 16) AS hash FROM formulas WHERE latex IS NOT NULL) x GROUP BY hash",
@@ -171,6 +195,8 @@ SQL = {
     "formulas_of_rated": """WITH rated AS (SELECT doc_id, avg(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS formulas FROM formulas WHERE doc_id IS NOT NULL GROUP BY doc_id)
       SELECT r.doc_id, r.quality, coalesce(n.formulas, 0) AS formulas FROM rated r LEFT JOIN n ON r.doc_id = n.doc_id""",
     "first_formulas": DETECTED + "SELECT doc_id, start, latex, n::INT AS n FROM (SELECT doc_id, start, latex, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM detected) x WHERE n <= 3",
+    "process_documents": DETECTED + """SELECT d.doc_id, d.source AS source_file, TRUE AS success, coalesce(n.n, 0)::INT AS total_formulas FROM documents d
+      LEFT JOIN (SELECT doc_id, count(*) AS n FROM detected GROUP BY doc_id) n ON d.doc_id = n.doc_id""",
     "failed_runs": "SELECT e.type AS error_type, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(errors) AS e FROM results WHERE errors IS NOT NULL) x GROUP BY 1",
 }
 

@@ -61,6 +61,14 @@ def detect_intended(spark: SparkSession, sf: str) -> DataFrame:
     return D.detect(table(spark, sf, "documents"), semantics="intended").select("doc_id", "ordinal", "start", "end", "math_type", "latex")
 
 
+@query
+def detect_augmented(spark: SparkSession, sf: str) -> DataFrame:
+    """The formulas of all documents, each with one more of the kinds that detection knows."""
+    added = F.get(F.array(*(F.lit(t) for t in oracle.TEMPLATES)), (F.col("doc_id") % len(oracle.TEMPLATES)).cast("int"))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n"), F.replace(added, F.lit("#"), F.col("doc_id").cast("string"))).alias("text"))
+    return D.detect(docs).select("doc_id", "start", "end", "math_type", "latex", "confidence")
+
+
 @query
 def confidence_bands(spark: SparkSession, sf: str) -> DataFrame:
     """Formulas by confidence band."""
@@ -299,7 +307,7 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def process_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One result per document."""
-    return _results(spark, sf).select("doc_id", "source_file", "success", "statistics.total_formulas", F.size("warnings").alias("warnings"))
+    return _results(spark, sf).select("doc_id", "source_file", "success", "statistics.total_formulas")
 
 
 @query
