@@ -135,6 +135,9 @@ SQL = {
     "doc_type_counts": DETECTED + "SELECT doc_id, math_type, count(*) AS n FROM detected GROUP BY doc_id, math_type",
     "quality_metrics": DETECTED + f"SELECT {_QUALITY} FROM detected",
     "extraction_quality": DETECTED + f"SELECT doc_id, {_QUALITY} FROM detected GROUP BY doc_id",
+    "extraction_validation": DETECTED + f""", types AS (SELECT doc_id, string_agg(math_type || ':' || n, ',' ORDER BY math_type) AS by_type FROM (SELECT doc_id, math_type, count(*) AS n FROM detected GROUP BY doc_id, math_type) x GROUP BY doc_id),
+      q AS (SELECT doc_id, {_QUALITY} FROM detected GROUP BY doc_id)
+      SELECT q.doc_id, total, high, medium, low, has_math_symbols, proper_length, balanced_delimiters, by_type, 0 AS potential_errors FROM q JOIN types t ON q.doc_id = t.doc_id""",
     "environment_counts": r"""SELECT doc_id, environment, count(*) AS n FROM (
       SELECT doc_id, unnest(regexp_extract_all(text, '\\begin\{(\w+\*?)\}', 1)) AS environment FROM documents WHERE text IS NOT NULL) x GROUP BY doc_id, environment""",
     "content_statistics": """WITH ids AS (
@@ -211,3 +214,28 @@ def _ocr(x: str) -> str:
 SQL["ocr_text_to_latex"] = f"""WITH replaced AS (SELECT chem_id, {_ocr("text")} AS t FROM chemicals WHERE text IS NOT NULL),
   parts AS (SELECT chem_id, t, string_split(t, '/') AS p FROM replaced)
   SELECT chem_id, CASE WHEN len(p) = 2 AND NOT contains(t, '\\') AND {_strip("p[1]")} <> '' AND {_strip("p[2]")} <> '' THEN '\\frac{{' || {_strip("p[1]")} || '}}{{' || {_strip("p[2]")} || '}}' ELSE t END AS latex FROM parts"""
+
+# Each step goes one level down; a bare object in a list field and a string of JSON under metadata are taken for what they hold.
+_LIST_FIELDS = "('formulas', 'chemical_formulas', 'code_blocks', 'diagrams', 'alternatives', 'boxes', 'refs', 'series', 'points', 'outputs', 'frames', 'revisions')"
+SQL["p3_found"] = f"""WITH RECURSIVE walk AS (
+  SELECT content_id, '' AS path, '' AS parent, payload::JSON AS v, FALSE AS is_item FROM (SELECT DISTINCT content_id, payload FROM stem_content WHERE json_valid(payload)) p
+  UNION ALL
+  SELECT content_id,
+         CASE WHEN bare THEN path || '/0' ELSE path END, parent,
+         v, (from_list OR bare) AND json_type(v) = 'OBJECT'
+  FROM (
+    SELECT content_id, path, parent, from_list, list_field AND json_type(v) = 'OBJECT' AS bare, v
+    FROM (
+      SELECT w.content_id, CASE WHEN w.path = '' THEN k.key ELSE w.path || '/' || k.key END AS path,
+             CASE WHEN w.is_item THEN w.path ELSE w.parent END AS parent, k.from_list,
+             NOT k.from_list AND k.key IN {_LIST_FIELDS} AS list_field,
+             CASE WHEN NOT k.from_list AND k.key = 'metadata' AND json_type(k.child) = 'VARCHAR' AND json_valid(json_extract_string(k.child, '$')) AND json_type(json_extract_string(k.child, '$')) = 'OBJECT'
+                  THEN json_extract_string(k.child, '$')::JSON ELSE k.child END AS v
+      FROM walk w, LATERAL (
+        SELECT key, json_extract(w.v, '$."' || key || '"') AS child, FALSE AS from_list FROM (SELECT unnest(json_keys(w.v)) AS key) a WHERE json_type(w.v) = 'OBJECT'
+        UNION ALL
+        SELECT i::VARCHAR, json_extract(w.v, '$[' || i || ']'), TRUE FROM (SELECT unnest(range(0, json_array_length(w.v)::BIGINT)) AS i) b WHERE json_type(w.v) = 'ARRAY') k
+    ) c
+  ) d WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+)
+SELECT DISTINCT content_id, path AS object_path, parent AS parent_path FROM walk WHERE is_item"""

@@ -114,8 +114,10 @@ def extraction_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def extraction_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with counts by type as a map."""
-    return stats.extraction_validation(_detected(spark, sf), ("doc_id",))
+    """The same with the counts by type, in order of the types, and the number of potential errors."""
+    pairs = F.array_sort(F.transform(F.map_entries("by_type"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
+    found = stats.extraction_validation(_detected(spark, sf), ("doc_id",))
+    return found.withColumns({"by_type": F.array_join(pairs, ","), "potential_errors": F.size("potential_errors")})
 
 
 @query
