@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Every value of both fields in its one form."""
-    rows = visual.melt(table(spark, sf, "formulas"))
-    odd = visual.canonical_forms(rows).select("row_id", "field_name", "canonical")
-    forms = rows.join(odd, ["row_id", "field_name"], "left")
-    return forms.select(F.col("row_id").alias("formula_id"), "field_name", F.coalesce("canonical", "value").alias("form"))
+    return visual.all_forms(visual.melt(table(spark, sf, "formulas"))).withColumnRenamed("row_id", "formula_id")
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +158,35 @@ item_runs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11),
 SELECT DISTINCT d.doc_id, i.item_id FROM doc_runs d JOIN item_runs i ON d.run = i.run
 """
 
+
+
+def _visual_sql() -> str:
+    """Problem 1 by patterns of the stored text: no form is made, only what makes a value a case is looked for."""
+    invisible = [*range(9), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0), 0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180F), *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, *range(0x2065, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0]
+    spaces = [0x0B, 0x0C, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+    def one_of(codes) -> str:
+        return "[" + "".join(rf"\x{{{c:X}}}" for c in codes) + "]"
+
+    marks: dict[str, list[str]] = {}
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) == 2 and unicodedata.normalize("NFC", parts) == chr(code) and parts[0].isalpha():
+            marks.setdefault(parts[1], []).append(parts[0])
+    composable = "|".join(f"{one_of(map(ord, bases))}{one_of(invisible)}*{one_of([ord(mark)])}" for mark, bases in sorted(marks.items()))
+    alike = one_of(ord(c) for c in (*visual.CYRILLIC, *visual.GREEK))
+    letter = rf"(?:[\p{{L}}\p{{M}}]|{one_of(invisible)})"
+    latin = r"[A-Za-z\x{C0}-\x{24F}]"
+    word = rf"{latin}{letter}*{alike}|{alike}{letter}*{latin}|(?:^|[^\p{{L}}\p{{M}}]){alike}+(?:$|[^\p{{L}}\p{{M}}])"
+    plain = "|".join((r"[\x{FF01}-\x{FF5E}]", one_of(invisible), one_of(spaces), composable, word))
+    codes = [*range(0xFF01, 0xFF5F), *invisible[1:], *spaces]
+    references = rf"&#(?:0*(?:{'|'.join(map(str, codes))})|[xX]0*(?i:{'|'.join(f'{c:X}' for c in codes)}));"
+    rows = ("latex", plain), ("mathml", f"{plain}|{references}")
+    return " UNION ALL ".join(f"SELECT formula_id, '{f}' AS field_name FROM formulas WHERE regexp_matches({f}, '{p}')" for f, p in rows)
+
+
 SQL = {
+    "p1_found": _visual_sql(),
     "p2_found": _ITEMS + "SELECT field_name, item FROM found",
     "p2_exact_counts": _ITEMS + "SELECT field_name, item, n, seen_rows FROM found",
     "p5_found": _TERMS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",

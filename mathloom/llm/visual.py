@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.runtime import spread
@@ -126,12 +126,16 @@ def _suspect_class() -> str:
 _PLAIN = r"[^\x20-\x7E\t\n\r]"
 
 
+def _odd() -> Column:
+    """The test in the JVM: characters or references that Python has to look at."""
+    return F.col("value").rlike(_PLAIN) | ((F.col("field_name") == "mathml") & F.col("value").contains("&#"))
+
+
 def suspects(rows: DataFrame) -> DataFrame:
     """Of rows (row_id, field_name, value), those that may have another form, with decoded, mapped and clean spelling.
 
     ``field_name`` "mathml" marks values in which numeric character references count.
     """
-    seen = F.col("value").rlike(_PLAIN) | ((F.col("field_name") == "mathml") & F.col("value").contains("&#"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suspect = re.compile(_suspect_class())
@@ -149,7 +153,7 @@ def suspects(rows: DataFrame) -> DataFrame:
             own = batch.take(pa.array(kept, pa.int32()))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *strings], names=["row_id", "field_name", "decoded", "mapped", "clean"])
 
-    found = rows.select("row_id", "field_name", "value").where(F.col("value").isNotNull() & seen)
+    found = rows.select("row_id", "field_name", "value").where(F.col("value").isNotNull() & _odd())
     return spread(found).mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, field_name string, decoded string, mapped string, clean string")
 
 
@@ -172,6 +176,25 @@ def canonical_forms(rows: DataFrame) -> DataFrame:
     )
 
 
+def all_forms(rows: DataFrame) -> DataFrame:
+    """(row_id, field_name, form) of all rows (row_id, field_name, value) that aren't NULL.
+
+    Only suspects are shuffled; values that are their own form pass through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suspect = re.compile(_suspect_class())
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            own = [i for i, (field, value) in enumerate(pairs) if not suspect.search(value) and (field != "mathml" or decode_references(value) is value)]
+            yield batch.take(pa.array(own, pa.int32())).rename_columns(["row_id", "field_name", "form"])
+
+    rows = rows.select("row_id", "field_name", "value").where("value IS NOT NULL")
+    plain = rows.where(~_odd()).withColumnRenamed("value", "form")
+    settled = spread(rows.where(_odd())).mapInArrow(run, plain.schema)
+    return plain.unionByName(settled).unionByName(canonical_forms(rows).select("row_id", "field_name", F.col("canonical").alias("form")))
+
+
 def melt(formulas: DataFrame, key: str = "formula_id", fields: tuple[str, ...] = ("latex", "mathml")) -> DataFrame:
     """(row_id, field_name, value) of the non-NULL values of some columns; other columns are not read."""
     pairs = F.inline(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields)))
