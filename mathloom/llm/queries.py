@@ -177,7 +177,7 @@ def _visual_sql() -> str:
     alike = one_of(ord(c) for c in (*visual.CYRILLIC, *visual.GREEK))
     letter = rf"(?:[\p{{L}}\p{{M}}]|{one_of(invisible)})"
     latin = r"[A-Za-z\x{C0}-\x{24F}]"
-    word = rf"{latin}{letter}*{alike}|{alike}{letter}*{latin}|(?:^|[^\p{{L}}\p{{M}}]){alike}+(?:$|[^\p{{L}}\p{{M}}])"
+    word = rf"{latin}{letter}*{alike}|{alike}{letter}*{latin}|(?:^|[^\p{{L}}\p{{M}}])(?:{alike}\p{{M}}*)+(?:$|[^\p{{L}}\p{{M}}])"
     plain = "|".join((r"[\x{FF01}-\x{FF5E}]", one_of(invisible), one_of(spaces), composable, word))
     codes = [*range(0xFF01, 0xFF5F), *invisible[1:], *spaces]
     references = rf"&#(?:0*(?:{'|'.join(map(str, codes))})|[xX]0*(?i:{'|'.join(f'{c:X}' for c in codes)}));"
