@@ -51,28 +51,23 @@ def confidence_band(score: Column) -> Column:
     return F.when(score >= 0.8, "high").when(score >= 0.5, "medium").when(score.isNotNull(), "low")
 
 
-def normalize(latex: Column, preserve_spacing: bool = False, aggressive: bool = False) -> Column:
-    """One spelling of spaces around operators and scripts; ``aggressive`` also drops sizing and spacing commands."""
+# The rules of the normal form, pattern and replacement, in order; \\s is any white space.
+_SIZING = (r"\\left\s*", ""), (r"\\right\s*", "")
+_LIMITS = (r"\\limits\s*", ""), (r"\\nolimits\s*", "")
+_SPACING_AWAY = (r"\\[,;:!]\s*", " "), (r"\\(?:quad|qquad)\s*", " ")
+_THIN_SPACES = (r"\\,(?![a-zA-Z])", " "), (r"\\,\s*(?=d[a-z])", r"\\,"), (r"(?<=[0-9])\s*\\,\s*(?=[0-9])", " ")
+_TIGHT_AND_WIDE = (r"\s*([_^])\s*", "$1"), (r"\s*([+\-*/=<>])\s*", " $1 ")
+_TRIMMED = (r"\s+", " "), (r"^\s|\s$", "")
 
-    def sub(text: Column, pattern: str, to: str) -> Column:
-        return F.regexp_replace(text, pattern.replace(r"\s", ASCII_SPACE), to)
 
+def normalize(latex: Column, preserve_spacing: bool = False, aggressive: bool = False) -> Column:
+    """One spelling of spaces around operators and scripts; ``aggressive`` also drops sizing and spacing commands."""
+    spacing = () if preserve_spacing else _SPACING_AWAY if aggressive else _THIN_SPACES
     # All white space becomes a blank anyway; with the rare kinds gone first, the rules need ASCII only.
     out = F.when(is_ascii(latex), latex).otherwise(F.regexp_replace(latex, SPACE, " "))
-    out = sub(sub(out, r"\s+", " "), r"^\s|\s$", "")
-    for name in ("limits", "nolimits", *(("left", "right") if aggressive else ())):
-        out = sub(out, rf"\\{name}\s*", "")
-    if not preserve_spacing:
-        if aggressive:
-            out = sub(out, r"\\[,;:!]\s*", " ")
-            out = sub(out, r"\\(?:quad|qquad)\s*", " ")
-        else:
-            out = sub(out, r"\\,(?![a-zA-Z])", " ")
-            out = sub(out, r"\\,\s*(?=d[a-z])", r"\\,")
-            out = sub(out, r"(?<=[0-9])\s*\\,\s*(?=[0-9])", " ")
-    out = sub(out, r"\s*([_^])\s*", "$1")
-    out = sub(out, r"\s*([+\-*/=<>])\s*", " $1 ")
-    return sub(sub(out, r"\s+", " "), r"^\s|\s$", "")
+    for pattern, to in (*_TRIMMED, *_LIMITS, *(_SIZING if aggressive else ()), *spacing, *_TIGHT_AND_WIDE, *_TRIMMED):
+        out = F.regexp_replace(out, pattern.replace(r"\s", ASCII_SPACE), to)
+    return out
 
 
 def formula_hash(latex: Column) -> Column:

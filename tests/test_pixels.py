@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathloom import schema
-from mathloom.operators import images, optional, pixels, render
+from mathloom.operators import images, optional, pixels, render, renderers
 
 
 def page():
@@ -106,3 +106,19 @@ def test_plots(spark):
 def test_schemas(spark):
     for name, ddl in schema.SCHEMAS.items():
         assert spark.createDataFrame([], ddl).columns, name
+
+
+def test_renderers_say_what_is_there(spark):
+    there = render.available([*renderers.LATEX, renderers.NodeMathML(), renderers.Molecule()])
+    assert set(there) == {"pdflatex", "matplotlib", "node", "molecule"}
+    df = spark.createDataFrame([(1, "x^2")], "id int, latex string")
+    row = render.render(df, [*renderers.LATEX]).first()
+    assert render.valid(row.asDict()) or (row.error == "No LaTeX renderer available") is not any(there[r.name] for r in renderers.LATEX)
+
+
+@pytest.mark.parametrize("output", ["line\n! Undefined.\nl.5 \\foo\n\nmore", "! a\nb\nc\n! d", "one\ntwo\n\nthree\nfour", "", "\n \n", "!"])
+def test_error_messages_agree(spark, output):
+    from mathloom.functions.latex import latex_error_message
+
+    got = spark.createDataFrame([(output,)], "v string").select(latex_error_message(F.col("v")).alias("m")).first().m
+    assert got == renderers.error_message(output)
