@@ -43,7 +43,12 @@ def encoding(path: str):
     if path not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
+        place = path
+        if not os.path.exists(place):  # the same file where the vocabularies are a package
+            import public_tokenizers
+
+            place = public_tokenizers.path(os.path.basename(path))
+        with open(place, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encodings[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
