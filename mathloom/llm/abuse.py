@@ -114,20 +114,28 @@ def _ratios(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
 
 
 def logistic(examples: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Weights of a logistic regression on features scaled by ``ratios``, by full-batch AdaGrad."""
-    ids = np.concatenate(examples)
-    rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e) for e in examples])
-    scaled, y = ratios[ids], toxic.astype(np.float32)
-    cost = np.where(toxic, 0.15 / max(y.mean(), 1e-9), 1.0) / len(y)
+    """Weights of a logistic regression on features scaled by ``ratios``, by full-batch AdaGrad.
+
+    Only features that occur are carried; an example without any is left out.
+    """
+    sizes = np.array([len(e) for e in examples])
+    y = toxic[sizes > 0].astype(np.float32)
+    starts = np.concatenate(([0], np.cumsum(sizes[sizes > 0])))
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
+    known, ids = np.unique(np.concatenate(examples), return_inverse=True)
+    scaled = ratios[known][ids]
+    cost = np.where(y > 0, 0.15 / max(y.mean(), 1e-9), 1.0) / len(y)
     start = 0.1
-    v, v_seen = np.full(2**BITS, start), np.full(2**BITS, 1e-8)
+    v, seen = np.full(len(known), start), np.full(len(known), 1e-8)
     for _ in range(steps):
-        z = np.bincount(rows, scaled * v[ids], len(examples)) + BIAS
+        z = np.add.reduceat(scaled * v[ids], starts[:-1]) + BIAS
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        slope = np.bincount(ids, error[rows] * scaled, 2**BITS) + 1e-6 * (v - start)
-        v_seen += slope**2
-        v -= 0.05 * slope / np.sqrt(v_seen)
-    return (ratios * v).astype(np.float32)
+        slope = np.bincount(ids, error[rows] * scaled, len(known)) + 1e-6 * (v - start)
+        seen += slope**2
+        v -= 0.05 * slope / np.sqrt(seen)
+    weights = np.zeros(2**BITS, np.float32)
+    weights[known] = ratios[known] * v
+    return weights
 
 
 def fit(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float]:
