@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.runtime import spread
+from mathloom.runtime import cut, spread
 
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТХУЅІЈҮԚԜӀ", "aeopcyxsijhdqwlABEKMHOPCTXYSIJYQWI", strict=True))
@@ -162,17 +162,28 @@ def canonical_forms(rows: DataFrame) -> DataFrame:
 
     SQL groups mapped values under the accent- and case-sensitive collation UNICODE.  The
     canonical member of a class is its shortest clean spelling, of these the smallest.
-    Partial aggregates go before the shuffle; a class with a third of all rows is one row in
-    the table of classes, and the join that gives it back is split by adaptive execution.
+    Partial aggregates go before the shuffle.  Suspects and classes are written once: Python sees
+    each value once, and with a table on either side of the join adaptive execution can split
+    the rows of a class that holds a third of all.
     """
+    spelled = cut(suspects(rows))
+    classes = cut(
+        rows.sparkSession.sql(
+            """
+            SELECT field_name, look, min(struct(n, clean)).clean AS canonical
+            FROM (SELECT field_name, mapped COLLATE UNICODE AS look, clean, char_length(clean) AS n FROM {spelled})
+            GROUP BY field_name, look
+            """,
+            spelled=spelled,
+        )
+    )
     return rows.sparkSession.sql(
         """
-        WITH spelled AS (SELECT field_name, mapped COLLATE UNICODE AS look, clean, char_length(clean) AS n FROM {suspects}),
-        class AS (SELECT field_name, look, min(struct(n, clean)).clean AS canonical FROM spelled GROUP BY field_name, look)
         SELECT s.row_id, s.field_name, s.decoded, c.canonical
-        FROM {suspects} s JOIN class c ON s.field_name = c.field_name AND s.mapped COLLATE UNICODE = c.look
+        FROM {spelled} s JOIN {classes} c ON s.field_name = c.field_name AND s.mapped COLLATE UNICODE = c.look
         """,
-        suspects=suspects(rows),
+        spelled=spelled,
+        classes=classes,
     )
 
 

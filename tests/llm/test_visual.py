@@ -81,7 +81,13 @@ def test_grouping_and_joining_back(spark):
 def test_collation_decides_the_classes(spark):
     plan = V.canonical_forms(V.melt(spark.createDataFrame([(1, "x\u200b", None)], "formula_id int, latex string, mathml string")))
     text = plan._jdf.queryExecution().toString()
-    assert "UNICODE" in text and "SortAggregate" in text and "BroadcastNestedLoop" not in text
+    assert "UNICODE" in text and "SortMergeJoin" in text and "NestedLoop" not in text
+
+
+def test_hot_class(spark):
+    df = spark.range(4000).selectExpr("id AS formula_id", "CASE WHEN id % 3 = 0 THEN concat('x', repeat('\u200b', id % 7)) ELSE concat(id, '\u00a0') END AS latex", "CAST(NULL AS STRING) AS mathml")
+    got = {r.row_id: r.canonical for r in V.canonical_forms(V.melt(df)).collect()}
+    assert all(got.get(i, "x") == ("x" if i % 3 == 0 else f"{i} ") for i in range(4000)) and len(got) > 3500
 
 
 def test_long_value(spark):
