@@ -5,7 +5,7 @@ compact tables of suffixes; a container that outgrows ``burst`` becomes a node w
 container for each next character.  A task emits each container as one row - a subtree: its
 prefix and its sorted suffixes with occurrences and records.  Where different tasks burst at
 different depths, all subtrees are split at the prefixes of one routing table, so matching
-subtrees meet in one task and are merged there.
+subtrees meet in one task and are merged there, in bounded memory.
 
 The routing table holds the prefixes under which more than 1/``ROUTES`` of all emitted terms
 lie, so at most ``ROUTES`` prefixes a length, found by a histogram that is refined only
@@ -165,25 +165,49 @@ def _split(heavy: dict[str, set[str]]):
     return run
 
 
-def _merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Matching subtrees as one: suffixes with summed counters."""
-    flat = pa.table({"suffix": pc.list_flatten(group["suffixes"]), "occurrences": pc.list_flatten(group["occurrences"]), "records": pc.list_flatten(group["records"])})
-    merged = flat.group_by("suffix").aggregate([("occurrences", "sum"), ("records", "sum")])
-    field, prefix = (k.as_py() for k in key)
-    terms = pc.binary_join_element_wise(pa.scalar(prefix), merged["suffix"], pa.scalar(""))
-    return pa.table({"field_name": pa.array([field] * len(merged), pa.string()), "term": terms, "occurrences": merged["occurrences_sum"], "records": merged["records_sum"]})
+COUNTS = "field_name string, term string, occurrences bigint, records bigint"
+_COUNTS = pa.schema([("field_name", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
+
+
+def _merge(most: int):
+    """Matching subtrees of a partition as one, its counters summed; emitted whenever they are more than ``most``."""
+
+    def compact(parts: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(parts).group_by(["field_name", "term"]).aggregate([("occurrences", "sum"), ("records", "sum")])
+        return pa.table([sums[c] for c in ("field_name", "term", "occurrences_sum", "records_sum")], schema=_COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            of = pc.list_parent_indices(batch.column("suffixes"))
+            terms = pc.binary_join_element_wise(batch.column("prefix").take(of), pc.list_flatten(batch.column("suffixes")), pa.scalar(""))
+            flat = pa.table([batch.column("field_name").take(of), terms, pc.list_flatten(batch.column("occurrences")), pc.list_flatten(batch.column("records"))], schema=_COUNTS)
+            held.append(flat)
+            size += len(flat)
+            if size > 2 * most:
+                held = [compact(held)]
+                size = len(held[0])
+                if size > most:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from compact(held).to_batches()
+
+    return run
 
 
 def count_terms(rows: DataFrame, burst: int = 2048, most: int = 500_000) -> DataFrame:
     """(field_name, term, occurrences, records) of rows (field_name, terms ARRAY<STRING>).
 
-    A task holds at most ``most`` terms and those of one batch.
+    A task holds at most some ``most`` terms and those of one batch, when counting and when merging; what a
+    merging task emits more than once is summed in the end.
     """
     rows = rows.select("field_name", F.array_compact("terms").alias("terms")).where("size(terms) > 0")
     rows = rows.withColumn("distinct_terms", F.array_distinct("terms"))
     subtrees = cut(rows.mapInArrow(_count(burst, most), SUBTREE))
     routed = subtrees.mapInArrow(_split(heavy_prefixes(subtrees)), SUBTREE)
-    return routed.groupBy("field_name", "prefix").applyInArrow(_merge, "field_name string, term string, occurrences bigint, records bigint")
+    merged = routed.repartition("field_name", "prefix").mapInArrow(_merge(most), COUNTS)
+    return merged.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marked(counts: DataFrame, totals: DataFrame, rare: int = 2, common: float = 0.15) -> DataFrame:
