@@ -11,6 +11,7 @@ single dollars; unclosed openers give nothing; repeated documents give their row
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +46,8 @@ def _last(text: str, closer: str) -> int:
 
 def find(text: str, semantics: str = "reference") -> list[tuple[int, int, int, str, str, str]]:
     """(ordinal, start, end, type, latex, raw) of the formulas in ``text``, by start."""
-    found, taken = [], []
+    found = []
+    begins, ends = [], []  # of the spans already taken, which don't overlap
     escaped = {m.end() - 1 for m in re.finditer(r"\\\$", text)} if semantics == "intended" else frozenset()
     if escaped:
         text = "".join("\0" if i in escaped else c for i, c in enumerate(text))
@@ -56,10 +58,19 @@ def find(text: str, semantics: str = "reference") -> list[tuple[int, int, int, s
             continue
         for m in pattern.finditer(text, 0, end + len(closer) + 16):
             if semantics == "intended":
-                if any(a < m.end() and m.start() < b for a, b in taken):
+                at = bisect_left(begins, m.end())
+                if at and ends[at - 1] > m.start():
                     continue
-                taken.append(m.span())
+                begins.insert(at, m.start())
+                ends.insert(at, m.end())
             found.append((m.start(), m.end(), kind, m[1].replace("\0", "$") if escaped else m[1]))
+        if begins:
+            # Blanked by line ends, so that no dollar of a formula pairs with one outside it.
+            pieces, at = [], 0
+            for a, b in zip(begins, ends, strict=True):
+                pieces += [text[at:a], "\n" * (b - a)]
+                at = b
+            text = "".join([*pieces, text[at:]])
     found.sort(key=lambda f: f[0])
     return [(i, a, b, kind, raw.strip(), raw) for i, (a, b, kind, raw) in enumerate(found)]
 

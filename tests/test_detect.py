@@ -48,6 +48,8 @@ def test_reference_semantics(text, expected):
         (r"Price is \$100 and formula is $x + y$", [(30, "inline", "x + y")]),
         (r"\[ \begin{pmatrix} $a$ \end{pmatrix} \]", [(0, "display", r"\begin{pmatrix} $a$ \end{pmatrix}")]),
         (r"$\$5 + x$", [(0, "inline", "$5 + x")]),
+        ("$$a$$ b $c$ $$d$$ and $e$", [(0, "display", "a"), (8, "inline", "c"), (12, "display", "d"), (22, "inline", "e")]),
+        (r"$a$ \[ b \] $c$", [(0, "inline", "a"), (4, "display", "b"), (12, "inline", "c")]),
     ],
 )
 def test_intended_semantics(text, expected):
@@ -61,6 +63,17 @@ def test_skipping_hopeless_openers_changes_nothing(parts):
     assert [(a, b, k, x) for _, a, b, k, x, _ in D.find(text)] == brute(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*TEMPLATES, "$", "$$", r"\\$", "text", "\n"]), max_size=12))
+def test_intended_spans_never_overlap(parts):
+    spans = [(a, b) for _, a, b, *_ in D.find(" ".join(parts), "intended")]
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_many_formulas_take_little_time():
+    assert len(D.find("$x$ and $$y$$ " * 20_000, "intended")) == 40_000
+
+
 def test_unclosed_openers_take_linear_time():
     text = r"\[ x " * 20_000 + r"\begin{equation} " * 20_000
     assert D.find(text) == []
