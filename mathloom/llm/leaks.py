@@ -5,9 +5,9 @@ Words are the longest runs of letters or digits in lower case; each word of the
 symbol of the automaton, all other words are one symbol that no item has, so a document is
 scanned once, word by word, and matches map to offsets in the original text.
 
-The automaton is built in each Python worker from the items, which reach it in the task's
-closure.  Items are taken in blocks of bounded size, each with an automaton of its own, so any
-number of items can be looked for.
+The automaton is built once in each Python worker from the items, which are broadcast in blocks
+of at most some ``BLOCK_CHARS`` characters.  Each block has an automaton of its own, so any number of items can
+be looked for.
 
 Defined results: a NULL or empty document or item has no match; an item of fewer words than
 ``words`` can't leak; items with equal passages are all reported; an empty table on either
@@ -91,9 +91,11 @@ def _passages(key: tuple, items: list[tuple[int, str]], words: int) -> Passages:
     return _built[key]
 
 
-def _scan(key: tuple, items: list[tuple[int, str]], words: int):
+def _scan(key: tuple, items, words: int):
+    """``items`` is the broadcast of a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = _passages(key, items, words)
+        passages = _passages(key, items.value, words)
         for batch in batches:
             rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in passages.matches(text.as_py())]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -119,7 +121,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, words: int = 12, blo
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
         rows = sorted((r.item_id, r.text) for r in own.toLocalIterator())
-        found = spread(docs).mapInArrow(_scan((hash(tuple(rows)), words), rows, words), MATCHES)
+        shared = documents.sparkSession.sparkContext.broadcast(rows)
+        found = spread(docs).mapInArrow(_scan((hash(tuple(rows)), words), shared, words), MATCHES)
         result = found if result is None else result.unionByName(found)
     return result
 
