@@ -33,10 +33,9 @@ def has_math_symbols(latex: Column) -> Column:
     return test
 
 
-def quality(formulas: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Total, confidence bands and quality counters; balanced_delimiters is always 0, as nothing fills it."""
+def _quality() -> list[Column]:
     band, latex = confidence_band(F.col("confidence")), F.col("latex")
-    return formulas.groupBy(*keys).agg(
+    return [
         F.count("*").alias("total"),
         F.count_if(band == "high").alias("high"),
         F.count_if(band == "medium").alias("medium"),
@@ -44,23 +43,33 @@ def quality(formulas: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         F.count_if(has_math_symbols(latex)).alias("has_math_symbols"),
         F.count_if(F.length(latex).between(2, 1000)).alias("proper_length"),
         F.lit(0).cast("bigint").alias("balanced_delimiters"),
-    )
+    ]
+
+
+_COUNTERS = ("total", "high", "medium", "low", "has_math_symbols", "proper_length", "balanced_delimiters")
+
+
+def quality(formulas: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Total, confidence bands and quality counters; balanced_delimiters is always 0, as nothing fills it."""
+    return formulas.groupBy(*keys).agg(*_quality())
 
 
 def extraction_validation(formulas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``quality`` with the counts by type as a map and the empty list of potential errors."""
-    types = type_map(formulas, keys, "math_type", "by_type")
-    return quality(formulas, keys).join(types, list(keys), "left").withColumn("potential_errors", F.array().cast("array<string>"))
+    """``quality`` with the counts by type as a map and the empty list of potential errors, in one pass."""
+    kinds = formulas.groupBy(*keys, "math_type").agg(*_quality())
+    pairs = F.collect_list(F.when(F.col("math_type").isNotNull(), F.struct(F.col("math_type").alias("k"), F.col("total").alias("v"))))
+    found = kinds.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in _COUNTERS), F.map_from_entries(F.array_sort(pairs)).alias("by_type"))
+    return found.withColumn("potential_errors", F.array().cast("array<string>"))
 
 
 def stats_report(formulas: DataFrame, keys: tuple[str, ...] = ("doc_id",), order: str = "start") -> DataFrame:
-    """The text report of each document; types come in order of first occurrence."""
-    kinds = formulas.groupBy(*keys, "math_type").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("first", "math_type", "n"))), lambda t: F.concat(F.lit("  - "), t["math_type"], F.lit(": "), t["n"].cast("string")))
-    types = kinds.groupBy(*keys).agg(F.concat_ws("\n", lines).alias("types"))
-    both = quality(formulas, keys).join(types, list(keys))
+    """The text report of each document, in one pass; types come in order of first occurrence."""
+    kinds = formulas.groupBy(*keys, "math_type").agg(*_quality(), F.min(order).alias("first"))
+    types = F.array_sort(F.collect_list(F.struct("first", "math_type", "total")))
+    both = kinds.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in _COUNTERS), types.alias("types"))
+    lines = F.transform("types", lambda t: F.concat(F.lit("  - "), t["math_type"], F.lit(": "), t["total"].cast("string")))
     report = F.concat(
-        F.lit("Total formulas detected: "), F.col("total").cast("string"), F.lit("\n\nBy type:\n"), F.col("types"),
+        F.lit("Total formulas detected: "), F.col("total").cast("string"), F.lit("\n\nBy type:\n"), F.concat_ws("\n", lines),
         F.lit("\n\nConfidence levels:\n  - High (≥0.8): "), F.col("high").cast("string"),
         F.lit("\n  - Medium (0.5-0.8): "), F.col("medium").cast("string"),
         F.lit("\n  - Low (<0.5): "), F.col("low").cast("string"),
@@ -71,15 +80,16 @@ def stats_report(formulas: DataFrame, keys: tuple[str, ...] = ("doc_id",), order
 def content_statistics(formulas: DataFrame, chemicals: DataFrame, code_blocks: DataFrame, diagrams: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document: totals of the four kinds of content, types of formulas and diagrams, code languages.
 
-    The four tables are reduced to one row a document and type before they meet.
+    The four tables meet as rows of document and type; these are counted before they are shuffled.
     """
     parts = []
     for name, table, kind in (("formulas", formulas, "math_type"), ("chemical_formulas", chemicals, None), ("code_blocks", code_blocks, "language"), ("diagrams", diagrams, "diagram_type")):
         rows = table.select(key, F.col(kind).alias("kind") if kind else F.lit(None).cast("string").alias("kind"))
-        parts.append(rows.groupBy(key, "kind").agg(F.count("*").alias("n")).withColumn("part", F.lit(name)))
+        parts.append(rows.where(F.col(key).isNotNull()).withColumn("part", F.lit(name)))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rows = rows.groupBy(key, "part", "kind").agg(F.count("*").alias("n"))
 
     def total(part: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("part") == part, F.col("n"))), F.lit(0)).alias(f"total_{part}")
@@ -88,7 +98,7 @@ def content_statistics(formulas: DataFrame, chemicals: DataFrame, code_blocks: D
         return F.array_sort(F.collect_list(F.when((F.col("part") == part) & F.col("kind").isNotNull(), F.struct(F.col("kind").alias("k"), F.col("n").alias("v")))))
 
     languages = F.sort_array(F.collect_set(F.when((F.col("part") == "code_blocks") & (F.col("kind") != ""), F.col("kind"))))
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(
+    return rows.groupBy(key).agg(
         total("formulas"), total("chemical_formulas"), total("code_blocks"), total("diagrams"),
         F.map_from_entries(kinds("formulas")).alias("formula_types"), F.map_from_entries(kinds("diagrams")).alias("diagram_types"), languages.alias("languages"),
     )

@@ -222,8 +222,8 @@ def parse_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parse_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The tree of each distinct formula as rows."""
-    return parse.parse_distinct(_formulas(spark, sf), ("nodes",)).select("latex", F.inline("nodes"))
+    """The tree of each distinct formula as rows; every tree has a root, so the outer form loses and adds nothing."""
+    return parse.parse_distinct(_formulas(spark, sf), ("nodes",)).select("latex", F.inline_outer("nodes"))
 
 
 @query

@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+        if not named and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mathloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
@@ -44,7 +44,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of a session, once; they may run elsewhere."""
+    """Give this package to the Python workers of a session, once; they may run elsewhere.
+
+    The driver serves the file itself; executors fetch it from there and need no common folder.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

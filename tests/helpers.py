@@ -22,6 +22,8 @@ def plain(value):
 def compare(spark, name, query, sql):
     ship(spark)
     df = query(spark, str(FOLDER))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "BatchEvalPython" not in plan, name
     columns = sorted(df.columns)
     rows = df.select(*(f"`{c}`" for c in columns)).collect()
     if sql is None:
