@@ -71,15 +71,32 @@ def _summarise(capacity: int):
     return run
 
 
+def _merged(capacity: int, group: pa.Table) -> Summary:
+    """One summary of those in ``group``, added batch by batch."""
+    merged = Summary(capacity)
+    for batch in group.combine_chunks().to_batches():
+        meta = pc.is_null(batch.column("item"))
+        counters, totals = batch.filter(pc.invert(meta)), batch.filter(meta)
+        merged.add(counters.column("item"), counters.column("kept"), pc.sum(totals.column("seen")).as_py() or 0, pc.sum(totals.column("lost")).as_py() or 0)
+    return merged
+
+
 def _merge(capacity: int):
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = Summary(capacity)
-        for batch in batches:
-            meta = pc.is_null(batch.column("item"))
-            counters = batch.filter(pc.invert(meta))
-            totals = batch.filter(meta)
-            merged.add(counters.column("item"), counters.column("kept"), pc.sum(totals.column("seen")).as_py() or 0, pc.sum(totals.column("lost")).as_py() or 0)
-        yield merged.rows(key[0].as_py(), key[1].as_py())
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_merged(capacity, group).rows(key[0].as_py(), key[1].as_py())], _SCHEMA)
+
+    return run
+
+
+def _finish(capacity: int, share: float):
+    """The last merge: the items that may have the share, each with the bound of its error and the rows seen."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        s = _merged(capacity, group)
+        low, n = s.kept.to_pylist(), max(s.seen, 1)
+        keep = pa.array([(k + s.lost) / n >= share for k in low], pa.bool_())
+        items, kept = s.items.filter(keep), s.kept.filter(keep)
+        return pa.table({"field_name": pa.array([key[0].as_py()] * len(items), pa.string()), "item": items, "approx_count": kept, "max_error": pa.array([s.lost] * len(items), pa.int64()), "seen_rows": pa.array([s.seen] * len(items), pa.int64())})
 
     return run
 
@@ -100,26 +117,12 @@ def frequent_items(rows: DataFrame, share: float = 0.01, capacity: int | None =
     # The summaries are written once; their partitions, those of the rows, tell how deep the tree is.
     level = cut(rows.mapInArrow(_summarise(capacity), SUMMARY))
     parts = level.rdd.getNumPartitions()
-    while True:
+    # A group holds at most FAN_IN summaries, that is FAN_IN * (capacity + 1) rows.
+    while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
-        # A group holds at most FAN_IN summaries, that is FAN_IN * (capacity + 1) rows.
         level = level.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("bigint"))
-        level = level.groupBy("field_name", "node").applyInArrow(_streamed(_merge(capacity)), SUMMARY)
-        if parts <= 1:
-            break
-    total = level.where("item IS NULL").select("field_name", F.col("seen").alias("seen_rows"), F.col("lost").alias("max_error"))
-    counters = level.where("item IS NOT NULL").select("field_name", "item", F.col("kept").alias("approx_count"))
-    joined = counters.join(total, "field_name")
-    return joined.where((F.col("approx_count") + F.col("max_error")) / F.col("seen_rows") >= share).select("field_name", "item", "approx_count", "max_error", "seen_rows")
-
-
-def _streamed(merge):
-    """``merge`` as a function of a group's table, the shape that applyInArrow takes in every version."""
-
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(merge(key, iter(group.combine_chunks().to_batches())), _SCHEMA)
-
-    return run
+        level = level.groupBy("field_name", "node").applyInArrow(_merge(capacity), SUMMARY)
+    return level.groupBy("field_name").applyInArrow(_finish(capacity, share), "field_name string, item string, approx_count bigint, max_error bigint, seen_rows bigint")
 
 
 def exact_frequent(rows: DataFrame, share: float = 0.01, capacity: int | None = None) -> DataFrame:
