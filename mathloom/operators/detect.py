@@ -34,8 +34,8 @@ PATTERNS = (
     ("inline", r"(?s)\\\((.+?)\\\)"),
 )
 ENVIRONMENT = r"\\begin\{(\w+\*?)\}"
-#: What ends each kind of formula; without it in the rest of a text no opener need be tried.
-_FOUND = "ordinal int, start int, end int, math_type string, latex string, raw string"
+_FOUND = "ordinal int, start int, `end` int, math_type string, latex string, raw string"
+#: Type, pattern and what ends a match; after its last occurrence in a text no opener need be tried.
 _compiled = [(kind, re.compile(pattern), pattern.rsplit(")", 1)[1].replace("\\\\", "\0").replace("\\", "").replace("\0", "\\")) for kind, pattern in PATTERNS]
 
 
@@ -99,7 +99,7 @@ def detect(documents: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
 
     docs = documents.select(*keys, F.col(text).alias("__text")).where(F.col("__text").contains("$") | F.col("__text").contains("\\"))
     schema = ", ".join(f"`{k}` {t}" for k, t in documents.select(*keys).dtypes)
-    found = spread(docs).mapInArrow(run, f"{schema}, {_FOUND}".replace(" end int", " `end` int"))
+    found = spread(docs).mapInArrow(run, f"{schema}, {_FOUND}")
     found = found.withColumns({"confidence": confidence(F.col("raw")), "page_number": F.lit(page_number), "position": position(F.col("start"))})
     return found if min_confidence is None else found.where(F.col("confidence") >= min_confidence)
 

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import json
 import sys
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathloom.runtime import shared_dir
+from mathloom.runtime import shared_dir, spread
 
 #: Fields whose value is a list, though a single object may stand bare in its place.
 LIST_FIELDS = frozenset(
@@ -109,30 +110,35 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str, str]]:
             stack.extend(reversed(below))
 
 
-def _emit(key: str, payload: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(_DEPTH)
-        schema = pa.schema([("content_id", pa.int64()), *((c, pa.string()) for c in ("tag", "object_path", "parent_path", "body"))])
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            size = 0
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for row in visit(text.as_py()):
-                    for column, x in zip(rows, (k, *row), strict=True):
-                        column.append(x)
-                    size += len(row[3])
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-                    rows, size = ([], [], [], [], []), 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+_SCHEMA = pa.schema([("content_id", pa.int64()), *((c, pa.string()) for c in ("tag", "object_path", "parent_path", "body"))])
+#: Characters of bodies after which a batch is given on.
+_BATCH = 8_000_000
 
-    return run
+
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(_DEPTH)
+
+    def batch_of(rows: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+    for batch in batches:
+        rows: tuple[list, ...] = ([], [], [], [], [])
+        size = 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for row in visit(text.as_py()):
+                for column, x in zip(rows, (key, *row), strict=True):
+                    column.append(x)
+                size += len(row[3])
+            if size > _BATCH:
+                yield batch_of(rows)
+                rows, size = ([], [], [], [], []), 0
+        yield batch_of(rows)
 
 
 def emit_tagged(records: DataFrame, key: str = "content_id", payload: str = "payload") -> DataFrame:
     """All list items of all payloads as tagged rows (schema ``EMITTED``), repeated deliveries included."""
     df = records.select(F.col(key).cast("bigint").alias("content_id"), F.col(payload).alias("payload")).where("payload IS NOT NULL")
-    return df.mapInArrow(_emit(key, payload), EMITTED)
+    return spread(df).mapInArrow(_emit, EMITTED)
 
 
 def object_links(records: DataFrame, key: str = "content_id", payload: str = "payload") -> DataFrame:
@@ -146,8 +152,6 @@ def write_tables(records: DataFrame, folder: str | None = None, key: str = "cont
     Without ``folder`` a new one in the shared checkpoint folder is used.
     """
     if folder is None:
-        import uuid
-
         folder = f"{shared_dir(records.sparkSession)}/flat-{uuid.uuid4().hex}"
     emit_tagged(records, key, payload).write.mode("overwrite").partitionBy("tag").parquet(folder)
     return folder
