@@ -29,10 +29,9 @@ from mathloom.runtime import cut, spread
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТХУЅІЈҮԚԜӀ", "aeopcyxsijhdqwlABEKMHOPCTXYSIJYQWI", strict=True))
 GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϹϳͿ", "oABEZHIKMNOPTYXcCjJ", strict=True))
-ARMENIAN = dict(zip("օսոհցքզԼՏՕ", "ounhgpqLSO", strict=True))
+ARMENIAN = dict(zip("օսոհԼՏՕ", "ounhLSO", strict=True))
 CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᎳᏃ", "ABCDEHJKLMPRSTVWWZ", strict=True))
-LETTERLIKE = {"ſ": "s"}
-LOOKALIKES = CYRILLIC | GREEK | {k: v for k, v in ARMENIAN.items() if k in "օսոհԼՏՕ"} | CHEROKEE
+LOOKALIKES = CYRILLIC | GREEK | ARMENIAN | CHEROKEE
 #: Operators of MathML that are invisible on purpose.
 OPERATORS = "⁡⁢⁣⁤"
 #: Stand-ins with weights of their own, as the collation would ignore the operators.
