@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,33 +44,85 @@ def _last(text: str, closer: str) -> int:
     return text.rfind("matrix}" if "matrix" in closer else closer)
 
 
+#: The blocks, by opener: type and closer.  Nothing but another block holds them.
+_BLOCKS = {"$$": ("display", "$$"), r"\[": ("display", r"\]")} | {
+    rf"\begin{{{name}}}": (name.rstrip("*"), rf"\end{{{name}}}") for name in ("equation", "equation*", "align", "align*")
+}
+_OPENERS = re.compile(r"\$\$?|\\\[|\\\(|\\begin\{(?:equation\*?|align\*?|[pvbBV]?matrix)\}")
+_MATRIX_END = re.compile(r"\\end\{[pvbBV]?matrix\}")
+#: A row break with a space after it, as in a matrix, is no opener inside a formula.
+_INNER = re.compile(r"(?<!\\)\\[\[(]|\$\$|\\begin\{(?:equation|align)\*?\}")
+
+
+def _find_outermost(text: str) -> list[tuple[int, int, str, int, int]]:
+    """Start, end, type, and start and end of the inside, of the outermost formulas, in one scan."""
+    closers: dict[str, int] = {}  # where the next closer of each kind is; only looked for again once passed
+
+    def closed(closer: str, at: int) -> tuple[int, int]:
+        if closers.get(closer, -1) < at:
+            if closer == "matrix":
+                m = _MATRIX_END.search(text, at)
+                closers[closer] = m.start() if m else len(text) + 1
+            else:
+                where = text.find(closer, at)
+                closers[closer] = len(text) + 1 if where < 0 else where
+        where = closers[closer]
+        if where > len(text):
+            return -1, -1
+        return where, text.index("}", where) + 1 if closer == "matrix" else where + len(closer)
+
+    inner: dict[str, list[int]] = {}
+    last = {opener: text.rfind(closer) for opener, (_, closer) in _BLOCKS.items()}
+    for m in _INNER.finditer(text):
+        if last.get(m[0], len(text)) > m.end():
+            inner.setdefault(m[0], []).append(m.start())
+
+    def holds(openers: Iterable[str], a: int, b: int) -> bool:
+        return any(at < len(inner[o]) and inner[o][at] < b for o in openers if o in inner for at in [bisect_left(inner[o], a)])
+
+    strong = [o for o in _BLOCKS if o != "$$"]
+    found, at = [], 0
+    while m := _OPENERS.search(text, at):
+        opener, a, inside = m[0], m.start(), m.end()
+        at = inside
+        if opener == "$$" and (end := closed("$$", inside + 1))[0] < 0:
+            at = a + 1  # its second dollar may open an inline formula
+            continue
+        if opener == "$":
+            b = text.find("$", inside)
+            end = (b, b + 1)
+            if b <= inside or text.find("\n", inside, b) >= 0 or holds(strong, inside, b):
+                continue
+            # On "$$": the end, unless those dollars open a display of their own.
+            if text.startswith("$$", b) and (c := text.find("$", b + 2)) > b + 2 and text.startswith("$$", c):
+                continue
+            kind = "inline"
+        elif opener in _BLOCKS:
+            kind, closer = _BLOCKS[opener]
+            end = closed(closer, inside + 1)
+            if end[0] < 0 or opener != "$$" and holds([opener], inside, end[0]):
+                continue
+        else:
+            kind, closer = ("inline", r"\)") if opener == r"\(" else ("matrix", "matrix")
+            end = closed(closer, inside + 1)
+            if end[0] < 0 or holds(_BLOCKS, inside, end[0]) or kind == "inline" and holds([opener], inside, end[0]):
+                continue
+        found.append((a, end[1], kind, inside, end[0]))
+        at = end[1]
+    return found
+
+
 def find(text: str, semantics: str = "reference") -> list[tuple[int, int, int, str, str, str]]:
     """(ordinal, start, end, type, latex, raw) of the formulas in ``text``, by start."""
+    if semantics == "intended":
+        seen = re.sub(r"\\\$", "\\\\\0", text)
+        return [(i, a, b, kind, text[c:d].strip(), text[c:d]) for i, (a, b, kind, c, d) in enumerate(_find_outermost(seen))]
     found = []
-    begins, ends = [], []  # of the spans already taken, which don't overlap
-    escaped = {m.end() - 1 for m in re.finditer(r"\\\$", text)} if semantics == "intended" else frozenset()
-    if escaped:
-        text = "".join("\0" if i in escaped else c for i, c in enumerate(text))
     for kind, pattern, closer in _compiled:
         # A lazy pattern tries every opener up to the end of the text; after the last closer none can match.
         end = _last(text, closer)
-        if end < 0:
-            continue
-        for m in pattern.finditer(text, 0, end + len(closer) + 16):
-            if semantics == "intended":
-                at = bisect_left(begins, m.end())
-                if at and ends[at - 1] > m.start():
-                    continue
-                begins.insert(at, m.start())
-                ends.insert(at, m.end())
-            found.append((m.start(), m.end(), kind, m[1].replace("\0", "$") if escaped else m[1]))
-        if begins:
-            # Blanked by line ends, so that no dollar of a formula pairs with one outside it.
-            pieces, at = [], 0
-            for a, b in zip(begins, ends, strict=True):
-                pieces += [text[at:a], "\n" * (b - a)]
-                at = b
-            text = "".join([*pieces, text[at:]])
+        if end >= 0:
+            found += [(m.start(), m.end(), kind, m[1]) for m in pattern.finditer(text, 0, end + len(closer) + 16)]
     found.sort(key=lambda f: f[0])
     return [(i, a, b, kind, raw.strip(), raw) for i, (a, b, kind, raw) in enumerate(found)]
 

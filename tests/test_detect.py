@@ -56,6 +56,31 @@ def test_intended_semantics(text, expected):
     assert [(a, k, x.replace("\\$", "$")) for _, a, _, k, x, _ in D.find(text, "intended")] == expected
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        (r"We see $a$ and $M = \begin{pmatrix}1 & 2\end{pmatrix} + q$ for all $c$ here", ["a", r"M = \begin{pmatrix}1 & 2\end{pmatrix} + q", "c"]),
+        (r"\(\begin{bmatrix} 1 \\[2pt] 2 \end{bmatrix} = v\) and $x$", [r"\begin{bmatrix} 1 \\[2pt] 2 \end{bmatrix} = v", "x"]),
+        (r"\begin{pmatrix} $a$ \end{pmatrix} and $b$", ["$a$", "b"]),
+        (r"\begin{equation} x $$y$$ \end{equation} $z$", ["x $$y$$", "z"]),
+        ("$a$$b$ and $$c$$", ["a", "b", "c"]),
+        ("costs $5: $$x$$ and $y$", ["x", "y"]),
+        (r"costs $5. \[ x \] and $y$", ["x", "y"]),
+        (r"\[ a $$b$$ \[ c \] \( d \( e \)", ["b", "c", "e"]),
+        ("$$ open and $x$", ["open and"]),
+    ],
+)
+def test_the_outermost_opener_wins(text, expected):
+    found = D.find(text, "intended")
+    assert [x for *_, x, _ in found] == expected
+    assert all(raw in text[a:b] for _, a, b, _, _, raw in found)
+
+
+def test_unclosed_openers_take_linear_time_as_intended():
+    text = r"\[ x " * 20_000 + r"\( \begin{pmatrix} " * 20_000 + "$$a$$ " * 20_000 + r"\) \end{pmatrix}"
+    assert len(D.find(text, "intended")) == 20_000
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*TEMPLATES, "$", "$$", r"\[", r"\]", r"\(", r"\)", r"\begin{align}", r"\end{align}", r"\end{matrix}", "text", "\n", "é"]), max_size=12))
 def test_skipping_hopeless_openers_changes_nothing(parts):
