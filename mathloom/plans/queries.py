@@ -320,10 +320,10 @@ def parse_warnings(spark: SparkSession, sf: str) -> DataFrame:
 
 def _export(format: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        results = _results(spark, sf)
-        return export.exported(results if format == "json" else results.where("size(formulas) > 0"), format)
+        return export.exported(_results(spark, sf), format)
 
     run.__name__ = f"export_{format}"
+    run.__doc__ = "A document for each result, without a formula too."
     return run
 
 
