@@ -17,6 +17,7 @@ import json
 import sys
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,8 @@ TABLE_SCHEMAS = {
     "revisions": "rev INT, `by` STRING",
 }
 
+#: Partition of the list items under any other field.
+_OTHERS = "others"
 EMITTED = "content_id BIGINT, tag STRING, object_path STRING, parent_path STRING, body STRING"
 _DEPTH = 50_000
 
@@ -141,9 +144,9 @@ def emit_tagged(records: DataFrame, key: str = "content_id", payload: str = "pay
     return spread(df).mapInArrow(_emit, EMITTED)
 
 
-def object_links(records: DataFrame, key: str = "content_id", payload: str = "payload") -> DataFrame:
-    """One row per list item: record, its path and its parent's path, each once."""
-    return emit_tagged(records, key, payload).select("content_id", "object_path", "parent_path").distinct()
+def _read(spark: SparkSession, folder: str, tag: str) -> DataFrame:
+    schema = "content_id BIGINT, object_path STRING, parent_path STRING, body STRING, field STRING, tag STRING"
+    return spark.read.schema(schema).parquet(folder).where(F.col("tag") == tag)
 
 
 def write_tables(records: DataFrame, folder: str | None = None, key: str = "content_id", payload: str = "payload") -> str:
@@ -153,7 +156,10 @@ def write_tables(records: DataFrame, folder: str | None = None, key: str = "cont
     """
     if folder is None:
         folder = f"{shared_dir(records.sparkSession)}/flat-{uuid.uuid4().hex}"
-    emit_tagged(records, key, payload).write.mode("overwrite").partitionBy("tag").parquet(folder)
+    rows = emit_tagged(records, key, payload).withColumn("field", F.col("tag"))
+    # Any name may be a field's, so those without a schema share a partition.
+    rows = rows.withColumn("tag", F.when(F.col("tag").isin(*TABLE_SCHEMAS), F.col("tag")).otherwise(_OTHERS))
+    rows.write.mode("overwrite").partitionBy("tag").parquet(folder)
     return folder
 
 
@@ -163,6 +169,17 @@ def read_table(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     Columns: content_id, object_path, parent_path and those of ``TABLE_SCHEMAS``; of repeated
     deliveries each row comes once.
     """
-    schema = "content_id BIGINT, object_path STRING, parent_path STRING, body STRING, tag STRING"
-    rows = spark.read.schema(schema).parquet(folder).where(F.col("tag") == tag)
+    rows = _read(spark, folder, tag)
     return rows.select("content_id", "object_path", "parent_path", F.from_json("body", TABLE_SCHEMAS[tag]).alias("b")).select("content_id", "object_path", "parent_path", "b.*").distinct()
+
+
+def read_others(spark: SparkSession, folder: str) -> DataFrame:
+    """The list items under fields without a schema: content_id, object_path, parent_path, field and body."""
+    return _read(spark, folder, _OTHERS).select("content_id", "object_path", "parent_path", "field", "body").distinct()
+
+
+def object_links(records: DataFrame, key: str = "content_id", payload: str = "payload") -> DataFrame:
+    """One row per list item: record, its path and its parent's path, each once; read from the tables, which are written first."""
+    spark, folder = records.sparkSession, write_tables(records, None, key, payload)
+    tables = [read_table(spark, folder, tag) for tag in sorted(TABLE_SCHEMAS)] + [read_others(spark, folder)]
+    return reduce(DataFrame.unionByName, (t.select("content_id", "object_path", "parent_path") for t in tables)).distinct()

@@ -89,3 +89,15 @@ def test_frames(spark):
     plan = FL.read_table(spark, folder, "alternatives")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tag" in plan
     assert FL.object_links(df.limit(0)).count() == 0
+
+
+def test_links_come_from_the_tables(spark, monkeypatch):
+    p = json.dumps({"formulas": [{"latex": "a"}], "": [{"x": 1}, [{}]], "k" * 300: [{"refs": {}}], "others": [{}]})
+    df = spark.createDataFrame([(1, p), (1, p), (None, p), (None, '{"formulas": [{"latex": "b"}]}')], "content_id bigint, payload string")
+    folders = []
+    monkeypatch.setattr(FL, "write_tables", lambda *x, write=FL.write_tables: folders.append(write(*x)) or folders[-1])
+    links = sorted(map(str, map(tuple, FL.object_links(df).collect())))
+    assert links == sorted(str((i, path, parent)) for i in (1, None) for path, parent in brute(p)) and len(links) == 12
+    (folder,) = folders
+    assert FL.read_others(spark, folder).where("content_id = 1").count() == 4
+    assert FL.read_table(spark, folder, "formulas").where("content_id IS NULL").count() == 2
