@@ -2,7 +2,8 @@
 
 A depth-first visitor walks each payload once and emits, for every object that is an item
 of a list, a row with a table tag, its own path, the path of the nearest enclosing item and
-its scalar fields as JSON.  The rows are written partitioned by tag; each table is read back
+its scalar fields as JSON, those of plain objects in it included; of two fields of one name the
+inner one is named by its path within the item.  The rows are written partitioned by tag; each table is read back
 with its schema.
 
 Defined results: a NULL, empty or invalid payload gives no row; a bare object where a list
@@ -48,7 +49,7 @@ TABLE_SCHEMAS = {
 
 #: Partition of the list items under any other field.
 _OTHERS = "others"
-EMITTED = "content_id BIGINT, tag STRING, object_path STRING, parent_path STRING, body STRING"
+EMITTED = "content_id BIGINT, tag STRING, object_path STRING, parent_path STRING, body STRING, rest STRING"
 _DEPTH = 50_000
 
 
@@ -73,8 +74,56 @@ def load_json(text: str | None):
         raise ValueError("nested too deeply") from e
 
 
+#: Of each tag the fields its schema names, and their types.
+_FIELDS = {tag: {name.strip("`"): kind for name, kind in (f.split(" ") for f in schema.split(", "))} for tag, schema in TABLE_SCHEMAS.items()}
+_FITS = {
+    "STRING": lambda x: isinstance(x, str),
+    "INT": lambda x: type(x) is int and -(2**31) <= x < 2**31,
+    "DOUBLE": lambda x: type(x) is float or type(x) is int and abs(x) <= 2**53,
+    "ARRAY<STRING>": lambda x: isinstance(x, list) and all(y is None or _FITS["STRING"](y) for y in x),
+    "ARRAY<INT>": lambda x: isinstance(x, list) and all(y is None or _FITS["INT"](y) for y in x),
+}
+
+
+def _rest(tag: str, body: dict) -> dict:
+    """The fields that the tag's schema doesn't name or whose values its types can't hold."""
+    if (fields := _FIELDS.get(tag)) is None:
+        return {}  # all of it is read
+    return {k: x for k, x in body.items() if x is not None and not (k in fields and _FITS[fields[k]](x))}
+
+
+def _without_objects(values: list) -> list | None:
+    """A list with NULL for each object, which has its own row; None where nothing else is left."""
+    top: list = []
+    todo, kept = [(values, top)], False
+    while todo:
+        source, target = todo.pop()
+        for x in source:
+            if isinstance(x, list):
+                target.append([])
+                todo.append((x, target[-1]))
+            else:
+                target.append(None if isinstance(x, dict) else x)
+                kept = kept or target[-1] is not None
+    return top if kept else None
+
+
+def _put(body: dict, name: str, path: str, x) -> None:
+    """Give ``x`` its name or, where another field has it, its path within the item."""
+    if name in body:
+        name = path
+        while name in body:
+            name = "/" + name
+    body[name] = x
+
+
 def visit(payload: str | None) -> Iterator[tuple[str, str, str, str]]:
     """Tag, path, parent path and body of each list item in a payload, depth first."""
+    for tag, path, parent, body in _items(payload):
+        yield tag, path, parent, json.dumps(body, ensure_ascii=False)
+
+
+def _items(payload: str | None) -> Iterator[tuple[str, str, str, dict]]:
     try:
         root = load_json(payload)
     except ValueError:
@@ -88,6 +137,7 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str, str]]:
             stack.extend((x, f"{at}{i}", parent, tag, True) for i, x in reversed([*enumerate(value)]) if isinstance(x, (dict, list)))
         elif isinstance(value, dict):
             body, below = {}, []
+            skip = len(path) + 1 if path else 0
             owner = path if item else parent
             todo = [(value, path)]
             while todo:  # the object and the plain objects in it form one row
@@ -104,16 +154,18 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str, str]]:
                         below.append((x, to + "/0", owner, key, True))
                     elif isinstance(x, list) and any(isinstance(y, (dict, list)) for y in x):
                         below.append((x, to, owner, key, False))
+                        if item and (scalars := _without_objects(x)) is not None:
+                            _put(body, key, to[skip:], scalars)
                     elif isinstance(x, dict):
                         todo.append((x, to))
-                    elif key not in LIST_FIELDS or x:
-                        body.setdefault(key, x)
+                    elif key not in LIST_FIELDS or x not in (None, []):
+                        _put(body, key, to[skip:], x)
             if item:
-                yield tag, path, parent, json.dumps(body, ensure_ascii=False)
+                yield tag, path, parent, body
             stack.extend(reversed(below))
 
 
-_SCHEMA = pa.schema([("content_id", pa.int64()), *((c, pa.string()) for c in ("tag", "object_path", "parent_path", "body"))])
+_SCHEMA = pa.schema([("content_id", pa.int64()), *((c, pa.string()) for c in ("tag", "object_path", "parent_path", "body", "rest"))])
 #: Characters of bodies after which a batch is given on.
 _BATCH = 8_000_000
 
@@ -125,16 +177,17 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [], [], [])
         size = 0
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for row in visit(text.as_py()):
-                for column, x in zip(rows, (key, *row), strict=True):
+            for tag, path, parent, body in _items(text.as_py()):
+                whole, rest = json.dumps(body, ensure_ascii=False), _rest(tag, body)
+                for column, x in zip(rows, (key, tag, path, parent, whole, json.dumps(rest, ensure_ascii=False) if rest else None), strict=True):
                     column.append(x)
-                size += len(row[3])
+                size += len(whole)
             if size > _BATCH:
                 yield batch_of(rows)
-                rows, size = ([], [], [], [], []), 0
+                rows, size = ([], [], [], [], [], []), 0
         yield batch_of(rows)
 
 
@@ -145,7 +198,7 @@ def emit_tagged(records: DataFrame, key: str = "content_id", payload: str = "pay
 
 
 def _read(spark: SparkSession, folder: str, tag: str) -> DataFrame:
-    schema = "content_id BIGINT, object_path STRING, parent_path STRING, body STRING, field STRING, tag STRING"
+    schema = "content_id BIGINT, object_path STRING, parent_path STRING, body STRING, rest STRING, field STRING, tag STRING"
     return spark.read.schema(schema).parquet(folder).where(F.col("tag") == tag)
 
 
@@ -166,11 +219,11 @@ def write_tables(records: DataFrame, folder: str | None = None, key: str = "cont
 def read_table(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     """The flat table of one tag, read by partition and with its schema.
 
-    Columns: content_id, object_path, parent_path and those of ``TABLE_SCHEMAS``; of repeated
-    deliveries each row comes once.
+    Columns: content_id, object_path, parent_path, those of ``TABLE_SCHEMAS`` and ``rest``, the
+    fields beyond the schema as a JSON object, or NULL; of repeated deliveries each row comes once.
     """
     rows = _read(spark, folder, tag)
-    return rows.select("content_id", "object_path", "parent_path", F.from_json("body", TABLE_SCHEMAS[tag]).alias("b")).select("content_id", "object_path", "parent_path", "b.*").distinct()
+    return rows.select("content_id", "object_path", "parent_path", F.from_json("body", TABLE_SCHEMAS[tag]).alias("b"), "rest").select("content_id", "object_path", "parent_path", "b.*", "rest").distinct()
 
 
 def read_others(spark: SparkSession, folder: str) -> DataFrame:

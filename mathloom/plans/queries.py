@@ -426,13 +426,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p3_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat tables written by tag and read with their schemas: rows, parents and filled columns of each."""
+    """The flat tables written by tag and read with their schemas: rows, parents and filled columns of each, ``rest`` being one; and those of items without a schema, if any."""
     folder = flatten.write_tables(table(spark, sf, "stem_content"))
     parts = []
     for tag in sorted(flatten.TABLE_SCHEMAS):
         rows = flatten.read_table(spark, folder, tag)
         filled = sum((F.col(c).isNotNull().cast("int") for c in rows.columns[3:]), F.lit(0))
         parts.append(rows.agg(F.lit(tag).alias("tag"), F.count("*").alias("n"), F.count_if(F.col("parent_path") == "").alias("roots"), F.sum(filled).alias("filled")))
+    parts.append(flatten.read_others(spark, folder).agg(F.lit("others").alias("tag"), F.count("*").alias("n"), F.count_if(F.col("parent_path") == "").alias("roots"), F.count_if(F.col("body") != "{}").alias("filled")).where("n > 0"))
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)

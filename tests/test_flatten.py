@@ -101,3 +101,17 @@ def test_links_come_from_the_tables(spark, monkeypatch):
     (folder,) = folders
     assert FL.read_others(spark, folder).where("content_id = 1").count() == 4
     assert FL.read_table(spark, folder, "formulas").where("content_id IS NULL").count() == 2
+
+
+def test_no_value_of_an_item_is_lost(spark):
+    item = {"latex": "a", "page_number": "7a", "odd": 1, "tags": ["t"], "metadata": {"latex": "b", "x": {"odd": 2}}, "refs": [5, {"page": 1}, [None, 6]], "grid": [[1, 2], [3]]}
+    payload = json.dumps({"formulas": [item], "extras": [{"k": 3}]})
+    df = spark.createDataFrame([(1, payload), (1, payload)], "content_id bigint, payload string")
+    folder = FL.write_tables(df)
+    (row,) = FL.read_table(spark, folder, "formulas").collect()
+    assert (row.latex, row.page_number, row.tags) == ("a", None, ["t"])
+    assert json.loads(row.rest) == {"page_number": "7a", "odd": 1, "metadata/latex": "b", "metadata/x/odd": 2, "refs": [5, None, [None, 6]], "grid": [[1, 2], [3]]}
+    (row,) = FL.read_table(spark, folder, "refs").collect()
+    assert (row.object_path, row.page, row.rest) == ("formulas/0/refs/1", 1, None)
+    (row,) = FL.read_others(spark, folder).collect()
+    assert (row.field, json.loads(row.body)) == ("extras", {"k": 3})
