@@ -15,7 +15,7 @@ of the same record give each row once; an empty input gives empty tables.
 from __future__ import annotations
 
 import json
-import sys
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -50,7 +50,6 @@ TABLE_SCHEMAS = {
 #: Partition of the list items under any other field.
 _OTHERS = "others"
 EMITTED = "content_id BIGINT, tag STRING, object_path STRING, parent_path STRING, body STRING, rest STRING"
-_DEPTH = 50_000
 
 
 def _no_constant(name: str) -> float:
@@ -65,13 +64,98 @@ _DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_int=_whole)
 
 
 def load_json(text: str | None):
-    """The value of a strict JSON text; raises ValueError where there is none."""
+    """The value of a strict JSON text, nested to any depth; raises ValueError where there is none."""
     if not text:
         raise ValueError("empty")
     try:
         return _DECODER.decode(text)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+    except RecursionError:  # the C decoder's bound, which no setting moves
+        return _decode(text)
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _decode(text: str):
+    """The same by a stack of open containers, which is slower."""
+    scalar, space = _DECODER.raw_decode, _SPACE.match
+    top: list = []
+    stack: list[tuple[list | dict, str | None]] = [(top, None)]  # containers with the name that the next value gets
+    at, expect = space(text).end(), "value"  # or "first": a value or an end
+    while True:
+        into, name = stack[-1]
+        c = text[at : at + 1]
+        if isinstance(into, dict) and expect != "next" and name is None:
+            if c == "}" and expect == "first":
+                stack.pop()
+                at, expect = space(text, at + 1).end(), "next"
+                continue
+            if c != '"':
+                raise ValueError("name expected")
+            name, at = scalar(text, at)
+            at = space(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("colon expected")
+            stack[-1] = (into, name)
+            at, expect = space(text, at + 1).end(), "value"
+            continue
+        if expect == "next":
+            if into is top:
+                if at != len(text):
+                    raise ValueError("more than one value")
+                return top[0]
+            if c == ",":
+                at, expect = space(text, at + 1).end(), "value"
+            elif c == ("}" if isinstance(into, dict) else "]"):
+                stack.pop()
+                at = space(text, at + 1).end()
+            else:
+                raise ValueError("comma or end expected")
+            continue
+        if c == "]" and expect == "first":
+            stack.pop()
+            at, expect = space(text, at + 1).end(), "next"
+            continue
+        opened = {"{": {}, "[": []}.get(c)
+        if opened is None:
+            value, at = scalar(text, at)
+        else:
+            value, at = opened, at + 1
+        if isinstance(into, dict):
+            into[name] = value
+            stack[-1] = (into, None)
+        else:
+            into.append(value)
+        if opened is not None:
+            stack.append((opened, None))
+        at, expect = space(text, at).end(), "next" if opened is None else "first"
+
+
+def _dumped(value) -> str:
+    """JSON of a value nested to any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    parts: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, value)]  # whether it is text already
+    while todo:
+        done, x = todo.pop()
+        if done:
+            parts.append(x)
+        elif isinstance(x, dict):
+            todo.append((True, "}"))
+            for i, (k, y) in reversed([*enumerate(x.items())]):
+                todo += [(False, y), (True, (", " if i else "") + json.dumps(k, ensure_ascii=False) + ": ")]
+            todo.append((True, "{"))
+        elif isinstance(x, list):
+            todo.append((True, "]"))
+            for i, y in reversed([*enumerate(x)]):
+                todo += [(False, y), (True, ", " if i else "")]
+            todo.append((True, "["))
+        else:
+            parts.append(json.dumps(x, ensure_ascii=False))
+    return "".join(parts)
 
 
 #: Of each tag the fields its schema names, and their types.
@@ -120,7 +204,7 @@ def _put(body: dict, name: str, path: str, x) -> None:
 def visit(payload: str | None) -> Iterator[tuple[str, str, str, str]]:
     """Tag, path, parent path and body of each list item in a payload, depth first."""
     for tag, path, parent, body in _items(payload):
-        yield tag, path, parent, json.dumps(body, ensure_ascii=False)
+        yield tag, path, parent, _dumped(body)
 
 
 def _items(payload: str | None) -> Iterator[tuple[str, str, str, dict]]:
@@ -166,13 +250,11 @@ def _items(payload: str | None) -> Iterator[tuple[str, str, str, dict]]:
 
 
 _SCHEMA = pa.schema([("content_id", pa.int64()), *((c, pa.string()) for c in ("tag", "object_path", "parent_path", "body", "rest"))])
-#: Characters of bodies after which a batch is given on.
+#: Characters after which a batch is given on.
 _BATCH = 8_000_000
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(_DEPTH)
-
     def batch_of(rows: tuple[list, ...]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCHEMA, strict=True)], schema=_SCHEMA)
 
@@ -181,13 +263,16 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             for tag, path, parent, body in _items(text.as_py()):
-                whole, rest = json.dumps(body, ensure_ascii=False), _rest(tag, body)
-                for column, x in zip(rows, (key, tag, path, parent, whole, json.dumps(rest, ensure_ascii=False) if rest else None), strict=True):
+                if rest := _rest(tag, body):
+                    body = {k: x for k, x in body.items() if k not in rest}
+                row = (tag, path, parent, _dumped(body), _dumped(rest) if rest else None)
+                for column, x in zip(rows, (key, *row), strict=True):
                     column.append(x)
-                size += len(whole)
-            if size > _BATCH:
-                yield batch_of(rows)
-                rows, size = ([], [], [], [], [], []), 0
+                # Of deep payloads the paths are most.
+                size += sum(len(x) for x in row if x)
+                if size > _BATCH:
+                    yield batch_of(rows)
+                    rows, size = ([], [], [], [], [], []), 0
         yield batch_of(rows)
 
 

@@ -115,3 +115,36 @@ def test_no_value_of_an_item_is_lost(spark):
     assert (row.object_path, row.page, row.rest) == ("formulas/0/refs/1", 1, None)
     (row,) = FL.read_others(spark, folder).collect()
     assert (row.field, json.loads(row.body)) == ("extras", {"k": 3})
+
+
+def test_nesting_beyond_the_decoders_bound():
+    depth = 20_000
+    payload = '{"formulas": [' * depth + "{}" + "]}" * depth
+    assert sum(1 for _ in FL.visit(payload)) == depth
+    assert list(FL.visit(payload[:-1])) == list(FL.visit(payload + "]")) == []
+    nested = "[" * depth + "1" + "]" * depth
+    ((_, path, _, body),) = FL.visit('{"formulas": [{"x": ' + nested + "}]}")
+    assert (path, body) == ("formulas/0", '{"x": ' + nested + "}")
+    objects = '{"x": ' * depth + "1" + "}" * depth
+    assert [body for *_, body in FL.visit('{"formulas": [' + objects + "]}")] == ['{"x": 1}']
+
+
+def test_tables_of_deep_payloads(spark):
+    nested = "[" * 20_000 + "1" + "]" * 20_000
+    df = spark.createDataFrame([(1, '{"formulas": [{"latex": "a", "x": ' + nested + "}]}"), (2, '{"formulas": [' * 4_000 + "{}" + "]}" * 4_000)], "content_id bigint, payload string")
+    row = FL.read_table(spark, FL.write_tables(df.where("content_id = 1")), "formulas").first()
+    assert (row.latex, row.rest) == ("a", '{"x": ' + nested + "}")
+    assert FL.emit_tagged(df.where("content_id = 2")).count() == 4_000
+
+
+@settings(max_examples=400, deadline=None)
+@given(nested.map(json.dumps), st.integers(0, 60), st.sampled_from(["", ",", "]", "}", ":", '"', " ", "[", "NaN", "1"]))
+def test_decoding_by_a_stack(text, at, put):
+    def result(decode, x):
+        try:
+            return decode(x)
+        except ValueError:
+            return ValueError
+
+    for x in (text, text[:at], text[:at] + put + text[at:], f" {text}\n", json.dumps(json.loads(text), indent=1)):
+        assert result(FL._decode, x) == result(FL._DECODER.decode, x)
