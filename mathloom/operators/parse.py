@@ -170,6 +170,18 @@ def macro_definitions(formulas: DataFrame, keys: tuple[str, ...], latex: str = "
     return formulas.where(F.col(latex).contains("\\")).select(*keys, F.inline(F.concat(new, old)))
 
 
+def is_latex_code(code: Column, language: Column) -> Column:
+    """Whether a block of code is LaTeX.
+
+    Of the language the first word counts, as in ``LaTeX``, ``latex-0.10`` and ``{.latex 0_3}``.  Where there
+    is none or it names no language (``lang``, ``text`` and the like), the code is LaTeX if it defines a macro, begins an environment, loads
+    a class or package or has a command with an argument.
+    """
+    name = F.regexp_extract(F.lower(F.coalesce(language, F.lit(""))), r"^[^a-z]*([a-z]*)", 1)
+    marks = code.rlike(r"\\(?:(?:re)?newcommand|providecommand|def\\|let\\|begin\{|documentclass|usepackage|[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?\{)")
+    return name.isin("latex", "tex") | (name.isin("", "lang", "language", "text", "txt", "plain", "plaintext", "none", "unknown", "code") & F.coalesce(marks, F.lit(False)))
+
+
 def _macros_before(formulas: DataFrame, chunk: int) -> DataFrame:
     """(document, place, macros) of the formulas that use macros defined before them; macros is a JSON object.
 

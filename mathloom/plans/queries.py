@@ -268,8 +268,11 @@ def macro_definitions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def document_macros(spark: SparkSession, sf: str) -> DataFrame:
-    """LaTeX code parsed with the macros of its document."""
-    code = table(spark, sf, "code_blocks").where("lower(language) = 'latex'")
+    """LaTeX code parsed with the macros of its document.
+
+    A block is LaTeX by its language, however spelled; where that is missing or names none, by its commands.
+    """
+    code = table(spark, sf, "code_blocks").where(parse.is_latex_code(F.col("code"), F.col("language")))
     return parse.parse_with_document_macros(code, "doc_id", "ordinal", "code").select("doc_id", "ordinal", "is_valid", "macro_count")
 
 

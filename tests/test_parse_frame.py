@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathloom.operators import grammar, parse
+from mathloom.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,14 @@ def test_document_macros(spark, chunk):
         macros = p.macros
         folded[1, r.ordinal] = (not p.errors, p.counts["macros"])
     assert folded == {k: v for k, v in got.items() if k[0] == 1}
+
+
+def test_latex_code_by_language_or_content(spark, tmp_path):
+    rows = [
+        (1, 0, r"\newcommand{\rate}[1]{#1}", None), (1, 1, r"\rate{15} + 127", "latex-0.10"), (1, 2, r"\rate{2}", "{.latex 0_3}"), (1, 3, r"\rate{3}", "Latex"), (1, 4, r"\rate{4}", "lang 0/16"),
+        (1, 5, r"print('\n')", None), (1, 6, r"re.sub(r'\\frac{1}{2}', x)", "python"), (1, 7, "x = 1", "text-0.12"), (1, 8, "a {b}", ""), (1, 9, None, None), (1, 10, "x", "tex"),
+    ]
+    spark.createDataFrame(rows, "doc_id bigint, ordinal int, code string, language string").write.parquet(str(tmp_path / "code_blocks.parquet"))
+    got = {r.ordinal: r.macro_count for r in queries.QUERIES["document_macros"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 10]
+    assert got[1] == got[2] == got[3] == got[4] == 1
