@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.llm.visual import one_form
+from mathloom.llm.visual import BASE, Forms, forms_for
 from mathloom.runtime import spread
 
 #: Most rated documents of either kind in the sample, taken by the hash of their ids.
@@ -58,9 +58,9 @@ def _unleet(match) -> str:
     return core.translate(_LEET) + match[0][len(core) :]
 
 
-def plain_text(text: str) -> str:
+def plain_text(text: str, forms: Forms = BASE) -> str:
     """``text`` in lower case without the usual disguises: look-alikes, digits for letters, spelling out, repetition."""
-    text = one_form(text).lower()
+    text = forms.one_form(text).lower()
     text = _spelled.sub(lambda m: re.sub(r"[.\-_*]", "", m[0]), text)
     text = _repeated.sub(r"\1", _leet.sub(_unleet, text))
     return " " + " ".join(re.sub(r"\d+", "0", text).split()) + " "

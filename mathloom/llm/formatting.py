@@ -14,7 +14,6 @@ form one group; equal stored strings are copies that differ in nothing.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.llm.visual import _PLAIN, one_form
+from mathloom.llm.visual import _PLAIN, BASE, Forms, forms_for
 from mathloom.runtime import cut, spread
 
 # What formatting is, as patterns for both Java and Python.
@@ -49,45 +48,53 @@ def _bare(text: str, marks: str) -> str:
     return "".join(c for c in text if not c.isspace() and c not in marks).lower()
 
 
-def odd_latex_text(latex: str) -> str:
+def odd_latex_text(latex: str, forms: Forms = BASE) -> str:
     """Canonical text of LaTeX whose characters may need the form of problem 1."""
-    return _bare(_spacing.sub(lambda m: m[1] or "", one_form(latex)), _LATEX_MARKS)
+    return _bare(_spacing.sub(lambda m: m[1] or "", forms.one_form(latex)), _LATEX_MARKS)
 
 
-_TOKEN = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+)', re.S)
+_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|([{}\[\],:]))', re.I)
 
 
 def json_text(code: str) -> str | None:
     """Canonical text of a JSON object with its members in order of their text, or None if ``code`` isn't one.
 
-    Scalars keep their spelling: 1.0 and 1.00 differ.
+    Words and escapes count in any letter case.  Scalars keep their spelling: 1.0 and 1.00 differ.  One
+    scan without recursion or conversion: nesting and numbers have no bound.
     """
-    for text in (code, code.lower()):
-        try:
-            if not isinstance(json.loads(text), dict):
-                return None
-            break
-        except (ValueError, RecursionError):
-            continue
-    else:
-        return None
-    # Innermost first, without recursion: each open container gathers the texts of its members.
+    # Innermost first: each open container gathers the texts of its members.
     stack: list[tuple[str, list[str]]] = [("", [""])]
-    for m in _TOKEN.finditer(code):
-        token = m[1]
-        if token in "{[":
-            stack.append((token, [""]))
-        elif token in "}]":
-            kind, parts = stack.pop()
-            stack[-1][1][-1] += kind + "".join(sorted(parts) if kind == "{" else parts) + token
-        elif token == ",":
-            stack[-1][1].append("")
-        elif token != ":":
-            stack[-1][1][-1] += _bare(token, _CODE_MARKS)
-    return stack[0][1][0]
-
-
-def odd_code_text(code: str) -> str:
+    at, expect = 0, "value"  # or "first": a value or an end; "name"; "colon"; "next"
+    while m := _TOKEN.match(code, at):
+        at, (string, scalar, sign) = m.end(), m.groups()
+        kind, parts = stack[-1]
+        if sign == ":" and expect == "colon":
+            expect = "value"
+        elif sign == "," and expect == "next" and kind:
+            parts.append("")
+            expect = "name" if kind == "{" else "value"
+        elif sign and sign in "}]" and expect in ("next", "first") and kind == {"}": "{", "]": "["}[sign]:
+            stack.pop()
+            stack[-1][1][-1] += kind + "".join(sorted(parts) if kind == "{" else parts) + sign
+            expect = "next"
+        elif string and (expect == "name" or expect == "first" and kind == "{"):
+            parts[-1] += _bare(string, _CODE_MARKS)
+            expect = "colon"
+        elif sign and sign in "{[" and (expect == "value" or expect == "first" and kind == "["):
+            stack.append((sign, [""]))
+            expect = "first"
+        elif (string or scalar) and (expect == "value" or expect == "first" and kind == "["):
+            parts[-1] += _bare(string or scalar, _CODE_MARKS)
+            expect = "next"
+        else:
+            return None
+        if len(stack) == 1 and expect == "next":
+            # A whole value: nothing but white space may follow, and it must be an object.
+            return stack[0][1][0] if sign == "}" and not code[at:].strip(" \t\n\r") else None
+    return None
+
+
+def odd_code_text(code: str, forms: Forms = BASE) -> str:
     """Canonical text of code that looks like a JSON object."""
     text = json_text(code)
     return _bare(code, _CODE_MARKS) if text is None else text
@@ -103,10 +110,11 @@ KINDS = {
 def canonical(records: DataFrame, kind: str) -> DataFrame:
     """(id, value, canonical) of records (id, value) that aren't NULL."""
     plain, odd, text = KINDS[kind]
+    forms = forms_for(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = pa.array([text(x) for x in batch.column(1).to_pylist()], pa.string())
+            done = pa.array([text(x, forms) for x in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), done], names=["id", "value", "canonical"])
 
     records = records.select(F.col("id").cast("bigint").alias("id"), "value").where("value IS NOT NULL")

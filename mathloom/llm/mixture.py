@@ -24,39 +24,49 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mathloom.runtime import cut, spread
 
 TOKENIZER = os.environ.get("MATHLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-# Fixed value: the vocabulary's own pattern for splitting text, as published with it.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+try:
+    from public_tokenizers import PATTERN
+except ImportError:
+    # Fixed value: the pattern that splits text before the merges of the rank files.
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bits of the hash that one histogram tells apart, and bits in all.
 BITS, ALL_BITS = 12, 60
 SIZED = "doc_id bigint, source string, tokens bigint"
-_encodings: dict[str, object] = {}
+_encodings: dict[tuple[str, str], object] = {}
 
 
-def encoding(path: str):
+def _served(spark: SparkSession, path: str) -> str:
+    """The name under which executors fetch the file of ranks from the driver, which alone needs to have it."""
+    if not os.path.exists(path):  # the same file where the vocabularies are a package
+        import public_tokenizers
+
+        path = public_tokenizers.path(os.path.basename(path))
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def encoding(path: str, pattern: str = PATTERN):
     """The tokenizer of a file of ranks, loaded once in each worker."""
-    if path not in _encodings:
+    if (path, pattern) not in _encodings:
         import tiktoken
 
-        place = path
-        if not os.path.exists(place):  # the same file where the vocabularies are a package
-            import public_tokenizers
-
-            place = public_tokenizers.path(os.path.basename(path))
-        with open(place, "rb") as f:
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        _encodings[path, pattern] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path, pattern]
 
 
-def _tokens(path: str):
+def _tokens(name: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        from pyspark import SparkFiles
+
+        encode = encoding(SparkFiles.get(name), pattern).encode_ordinary
         for batch in batches:
             sizes = pa.array([len(encode(x.as_py())) for x in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], names=["doc_id", "source", "tokens"])
@@ -64,10 +74,10 @@ def _tokens(path: str):
     return run
 
 
-def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def sized(documents: DataFrame, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, source, tokens) of documents (doc_id, source, text) that have a source and a text."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").where("source IS NOT NULL AND text <> ''")
-    return spread(docs).mapInArrow(_tokens(path), SIZED)
+    return spread(docs).mapInArrow(_tokens(_served(documents.sparkSession, path), pattern), SIZED)
 
 
 def _place() -> Column:
@@ -75,56 +85,64 @@ def _place() -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit("mixture"), "doc_id"), 64 - ALL_BITS)
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of one row a source, which is broadcast; ``mixture`` bounds how many there are."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 def thresholds(sizes: DataFrame, budgets: dict[str, float], tolerance: float = 1e-4) -> dict[str, int]:
     """By source, the place under which its documents hold as near to its budget as the tolerance asks.
 
-    Each round reads only the documents of the boundary buckets and collects at most
-    2**BITS rows a source.
+    A round reads only the documents of the boundary buckets, sums them by source and bucket and
+    finds the next boundary by running sums over the at most 2**BITS buckets of each source;
+    one row a source comes to the driver.
     """
-    # Of a source: the bits fixed so far, the prefix they form, the tokens under it.
-    state = {s: (0, 0, 0) for s, b in budgets.items() if b > 0}
+    # Of a source: the prefix that the bits fixed so far form, and the tokens under it.
+    state = {s: (0, 0) for s, b in budgets.items() if b > 0}
     done = {s: 0 for s, b in budgets.items() if b <= 0}
-    while state:
-        bucket = F.lit(None).cast("bigint")
-        for source, (bits, prefix, _) in state.items():
-            inside = (F.col("source") == source) & (F.shiftrightunsigned("place", ALL_BITS - bits) == prefix) if bits else F.col("source") == source
-            bucket = F.when(inside, F.shiftrightunsigned("place", ALL_BITS - bits - BITS).bitwiseAND(2**BITS - 1)).otherwise(bucket)
-        histogram: dict[str, dict[int, int]] = {}
-        rows = sizes.withColumn("bucket", bucket).where("bucket IS NOT NULL").groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
-        for r in rows.collect():
-            histogram.setdefault(r.source, {})[r.bucket] = r.n
-        for source, (bits, prefix, under) in [*state.items()]:
-            budget, counts = budgets[source], histogram.get(source, {})
-            bits, boundary = bits + BITS, None
-            for b in sorted(counts):
-                if under + counts[b] > budget:
-                    boundary = b
-                    break
-                under += counts[b]
-            if boundary is None:
-                done[source] = (prefix + 1) << (ALL_BITS - bits + BITS)
+    for bits in range(0, ALL_BITS, BITS):
+        if not state:
+            break
+        asked = _local(sizes.sparkSession, [(s, *x, float(budgets[s])) for s, x in state.items()], "source string, prefix bigint, under bigint, budget double")
+        inside = sizes.join(asked, "source").where(F.shiftrightunsigned("place", ALL_BITS - bits) == F.col("prefix")) if bits else sizes.join(asked, "source")
+        bucket = F.shiftrightunsigned("place", ALL_BITS - bits - BITS).bitwiseAND(2**BITS - 1)
+        histogram = inside.groupBy("source", "under", "budget", bucket.alias("bucket")).agg(F.sum("tokens").alias("n"))
+        upto = F.col("under") + F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        beyond = F.when(F.col("upto") > F.col("budget"), F.struct("bucket", (F.col("upto") - F.col("n")).alias("under"), "n"))
+        found = {r.source: r.b for r in histogram.withColumn("upto", upto).groupBy("source").agg(F.min(beyond).alias("b")).collect()}
+        for source, (prefix, _) in [*state.items()]:
+            boundary, budget = found.get(source), budgets[source]
+            if boundary is None:  # the budget takes all of the bucket
+                done[source] = (prefix + 1) << (ALL_BITS - bits)
             else:
-                prefix = (prefix << BITS) + boundary
-                if bits >= ALL_BITS or budget - under <= tolerance * budget:
-                    # The boundary bucket is left out, or taken if that comes nearer.
-                    near = under + counts[boundary] - budget < budget - under
-                    done[source] = (prefix + near) << (ALL_BITS - bits)
-                else:
-                    state[source] = (bits, prefix, under)
+                prefix, left = (prefix << BITS) + boundary.bucket, budget - boundary.under
+                if bits + BITS < ALL_BITS and left > tolerance * budget:
+                    state[source] = (prefix, boundary.under)
                     continue
+                # The boundary bucket is left out, or taken if that comes nearer.
+                done[source] = (prefix + (boundary.n - left < left)) << (ALL_BITS - bits - BITS)
             del state[source]
     return done
 
 
-def plan(sizes: DataFrame, targets: list[tuple[str, float, int]], total: float | None = None, tolerance: float = 1e-4) -> dict[str, dict]:
-    """By source with a target: target_share, max_repeats, available and budget tokens, whole copies, threshold."""
+def _wanted(targets: list[tuple[str, float, int]]) -> dict[str, tuple[float, int]]:
+    """By source the sum of its positive shares and the least of its ``max_repeats``."""
     wanted: dict[str, tuple[float, int]] = {}
     for source, share, most in targets:
         if source is not None and share is not None and share > 0:
             old = wanted.get(source, (0.0, None))
             most = 1 if most is None else most
             wanted[source] = (old[0] + share, most if old[1] is None else min(most, old[1]))
-    held = {r.source: r.n for r in sizes.where(F.col("source").isin([*wanted])).groupBy("source").agg(F.sum("tokens").alias("n")).collect()} if wanted else {}
+    return wanted
+
+
+def plan(sizes: DataFrame, targets: list[tuple[str, float, int]], total: float | None = None, tolerance: float = 1e-4) -> dict[str, dict]:
+    """By source with a target: target_share, max_repeats, available and budget tokens, whole copies, threshold."""
+    wanted = _wanted(targets)
+    if not wanted:
+        return {}
+    named = _local(sizes.sparkSession, [(s,) for s in wanted], "source string")
+    held = {r.source: r.n for r in sizes.join(named, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     usable = {s: x for s, x in wanted.items() if held.get(s) and x[1] > 0}
     shares = sum(x[0] for x in usable.values())
     largest = min((most * held[s] / (share / shares) for s, (share, most) in usable.items()), default=0)
@@ -139,22 +157,22 @@ def plan(sizes: DataFrame, targets: list[tuple[str, float, int]], total: float |
     return result
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, tolerance: float = 1e-4, path: str = TOKENIZER, most_sources: int = 10_000) -> tuple[DataFrame, dict[str, dict]]:
+def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, tolerance: float = 1e-4, path: str = TOKENIZER, pattern: str = PATTERN, most_sources: int = 100_000) -> tuple[DataFrame, dict[str, dict]]:
     """The mixture (doc_id, source, tokens, repeats) and the plan it follows.
 
     ``total`` is the size in tokens, by default the largest possible.  The targets, of which
-    there may be ``most_sources``, go to the driver; the documents' sizes are written once.
+    there may be ``most_sources``, go to the driver; only documents of their sources are read on.  The documents' sizes are written once.
     """
     rows = targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).limit(most_sources + 1).collect()
     if len(rows) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
-    sizes = cut(sized(documents, path).withColumn("place", _place()))
-    by = plan(sizes, [tuple(r) for r in rows], total, tolerance)
-    repeats = F.lit(0)
-    for source, r in by.items():
-        repeats = F.when(F.col("source") == source, F.lit(r["copies"]) + (F.col("place") < F.lit(r["threshold"])).cast("int")).otherwise(repeats)
-    mixed = sizes.withColumn("repeats", repeats).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
-    return mixed, by
+    spark, asked = documents.sparkSession, [tuple(r) for r in rows]
+    named = _local(spark, [(s,) for s in _wanted(asked)], "source string")
+    sizes = cut(sized(documents.join(named, "source", "left_semi"), path, pattern).withColumn("place", _place()))
+    by = plan(sizes, asked, total, tolerance)
+    planned = _local(spark, [(s, r["copies"], r["threshold"]) for s, r in by.items()], "source string, copies int, threshold bigint")
+    mixed = sizes.join(planned, "source").withColumn("repeats", F.col("copies") + (F.col("place") < F.col("threshold")).cast("int"))
+    return mixed.where("repeats > 0").select("doc_id", "source", "tokens", "repeats"), by
 
 
 def shares(mixed: DataFrame, by: dict[str, dict]) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mathloom.llm import abuse, formatting, heavy, leaks, mixture, terms, visual
+from mathloom.llm.oracle import SQL  # noqa: F401
 from mathloom.runtime import table
 
 
@@ -37,6 +36,16 @@ def p2_frequent(spark: SparkSession, sf: str) -> DataFrame:
     return heavy.frequent_items(_items(spark, sf))
 
 
+def p2_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The frequent values with their exact counts, and whether these lie within the bounds of the approximate ones."""
+    items = _items(spark, sf)
+    exact, rough = heavy.exact_frequent(items), heavy.frequent_items(items)
+    within = (F.col("n") >= F.col("approx_count")) & (F.col("n") <= F.col("approx_count") + F.col("max_error"))
+    # Two tables of at most some 100 rows a field.
+    both = exact.drop("seen_rows").join(rough, ["field_name", "item"], "left")
+    return both.select("field_name", "item", "n", F.coalesce(within, F.lit(False)).alias("within_bounds"))
+
+
 def p2_exact_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The frequent values with their exact counts."""
     return heavy.exact_frequent(_items(spark, sf)).select("field_name", "item", "n", "seen_rows")
@@ -106,6 +115,24 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.shares(*mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets")))
 
 
+def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source with a target: its documents, and whether the mixture keeps to ``max_repeats`` and, but for one document or one in ten thousand, to the share.
+
+    The target of a source without documents falls to the others in proportion.
+    """
+    documents = table(spark, sf, "documents")
+    mixed, by = mixture.mixture(documents, table(spark, sf, "mix_targets"))
+    held = documents.where("source IS NOT NULL AND text <> ''").groupBy("source").agg(F.count("*").alias("available"))
+    largest = mixed.groupBy("source").agg(F.max("tokens").alias("largest"))
+    # One row a source, at most as many as there are targets.
+    rows = mixture.shares(mixed, by).join(held, "source", "left").join(largest, "source", "left").fillna(0, ["available", "largest"])
+    everything = Window.partitionBy(F.lit(1))
+    wanted = F.when(F.col("available") > 0, F.col("target_share")).otherwise(0.0) / F.sum(F.when(F.col("available") > 0, F.col("target_share"))).over(everything)
+    total = F.sum("tokens").over(everything)
+    on_target = F.abs(F.col("tokens") - wanted * total) <= F.greatest(F.max("largest").over(everything), total * 1e-4)
+    return rows.select("source", "target_share", "max_repeats", "available", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"), on_target.alias("on_target"))
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -125,71 +152,4 @@ def p8_source_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.source_rates(_scored(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_frequent, p2_exact_counts, p4_found, p4_copies, p4_collisions, p5_found, p5_terms, p6_found, p6_passages, p7_mixture, p7_shares, p8_found, p8_scores, p8_source_rates)}
-
-_ITEMS = """
-WITH items AS (
-  SELECT 'latex' AS field_name, latex AS item FROM formulas WHERE latex IS NOT NULL
-  UNION ALL SELECT 'chem_text', text FROM chemicals WHERE text IS NOT NULL),
-total AS (SELECT field_name, count(*) AS seen_rows FROM items GROUP BY field_name),
-counted AS (SELECT field_name, item, count(*) AS n FROM items GROUP BY field_name, item),
-found AS (SELECT c.field_name, c.item, c.n, t.seen_rows FROM counted c JOIN total t ON c.field_name = t.field_name WHERE c.n * 100 >= t.seen_rows)
-"""
-_TERMS = r"""
-WITH found AS (
-  SELECT 'latex' AS field_name, formula_id AS id, unnest(regexp_extract_all(latex, '\\[A-Za-z]+')) AS term FROM formulas WHERE latex IS NOT NULL
-  UNION ALL SELECT 'math_type', formula_id, math_type FROM formulas WHERE math_type IS NOT NULL
-  UNION ALL SELECT 'language', code_id, language FROM code_blocks WHERE language IS NOT NULL),
-total AS (
-  SELECT 'latex' AS field_name, count(*) AS total FROM formulas
-  UNION ALL SELECT 'math_type', count(*) FROM formulas
-  UNION ALL SELECT 'language', count(*) FROM code_blocks),
-counted AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM found GROUP BY field_name, term),
-marked AS (
-  SELECT c.field_name, c.term, c.occurrences, c.records,
-         CASE WHEN c.records <= 2 THEN 'rare' WHEN c.records * 100 >= 15 * t.total THEN 'common' END AS mark
-  FROM counted c JOIN total t ON c.field_name = t.field_name)
-"""
-_LEAKS = r"""
-WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
-doc_runs AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 11), ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM doc_words WHERE len(w) >= 12) x),
-item_runs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11), ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM item_words WHERE len(w) >= 12) x)
-SELECT DISTINCT d.doc_id, i.item_id FROM doc_runs d JOIN item_runs i ON d.run = i.run
-"""
-
-
-
-def _visual_sql() -> str:
-    """Problem 1 by patterns of the stored text: no form is made, only what makes a value a case is looked for."""
-    invisible = [*range(9), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0), 0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180F), *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, *range(0x2065, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0]
-    spaces = [0x0B, 0x0C, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
-    def one_of(codes) -> str:
-        return "[" + "".join(rf"\x{{{c:X}}}" for c in codes) + "]"
-
-    marks: dict[str, list[str]] = {}
-    for code in range(0xC0, 0x2000):
-        parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) == 2 and unicodedata.normalize("NFC", parts) == chr(code) and parts[0].isalpha():
-            marks.setdefault(parts[1], []).append(parts[0])
-    composable = "|".join(f"{one_of(map(ord, bases))}{one_of(invisible)}*{one_of([ord(mark)])}" for mark, bases in sorted(marks.items()))
-    alike = one_of(ord(c) for c in (*visual.CYRILLIC, *visual.GREEK))
-    letter = rf"(?:[\p{{L}}\p{{M}}]|{one_of(invisible)})"
-    latin = r"[A-Za-z\x{C0}-\x{24F}]"
-    word = rf"{latin}{letter}*{alike}|{alike}{letter}*{latin}|(?:^|[^\p{{L}}\p{{M}}])(?:{alike}\p{{M}}*)+(?:$|[^\p{{L}}\p{{M}}])"
-    plain = "|".join((r"[\x{FF01}-\x{FF5E}]", one_of(invisible), one_of(spaces), composable, word))
-    codes = [*range(0xFF01, 0xFF5F), *invisible[1:], *spaces]
-    references = rf"&#(?:0*(?:{'|'.join(map(str, codes))})|[xX]0*(?i:{'|'.join(f'{c:X}' for c in codes)}));"
-    rows = ("latex", plain), ("mathml", f"{plain}|{references}")
-    return " UNION ALL ".join(f"SELECT formula_id, '{f}' AS field_name FROM formulas WHERE regexp_matches({f}, '{p}')" for f, p in rows)
-
-
-SQL = {
-    "p1_found": _visual_sql(),
-    "p2_found": _ITEMS + "SELECT field_name, item FROM found",
-    "p2_exact_counts": _ITEMS + "SELECT field_name, item, n, seen_rows FROM found",
-    "p5_found": _TERMS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
-    "p5_terms": _TERMS + "SELECT field_name, term, occurrences, records, mark FROM marked",
-    "p6_found": _LEAKS,
-}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_frequent, p2_bounds, p2_exact_counts, p4_found, p4_copies, p4_collisions, p5_found, p5_terms, p6_found, p6_passages, p7_mixture, p7_shares, p7_checked, p8_found, p8_scores, p8_source_rates)}

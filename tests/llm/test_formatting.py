@@ -48,6 +48,15 @@ def test_code(one, two, same):
 def test_deep_json():
     assert D.json_text("{" + '"a": {' * 500 + "}" * 501) is not None
     assert D.json_text('{"a": "b\\"{c"}') == "{ab\\{c}"
+    deep = "[" * 50_000 + "]" * 50_000
+    assert D.json_text(f'{{"a": {deep}, "b": 1}}') == D.json_text(f'{{"b": 1, "a": {deep}}}') is not None
+    long = "7" * 5_000
+    assert D.json_text(f'{{"a": 1, "b": {long}}}') == D.json_text(f'{{"b": {long}, "a": 1}}') is not None
+
+
+@pytest.mark.parametrize("code", ["", "{", "{}}", "{} {}", "[]", "1", '{"a"}', '{"a": }', '{"a": 1,}', '{"a": 01}', "{'a': 1}", '{"a": [1 2]}', '{"a": "\n"}', '{"a": NaN}', '{, "a": 1}', '{"a": 1 "b": 2}', '{"a": 1]', "{:}"])
+def test_not_a_json_object(code):
+    assert D.json_text(code) is None
 
 
 VALUES = ["x + y", "X+Y.", "x+y", "x+y", "a", "a", r"\left(b\right)", "(B)", "", " ", None, "１+x", "1 + x", "z" * 100_000, "Z" * 100_000 + ";"]

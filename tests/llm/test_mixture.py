@@ -61,3 +61,15 @@ def test_tokens(spark):
     d = spark.createDataFrame([(1, "s", "hello world"), (2, "s", "<|endoftext|>"), (3, "s", "x" * 200_000)], "doc_id int, source string, text string")
     got = {r.doc_id: r.tokens for r in X.sized(d).collect()}
     assert got[1] == 2 and got[2] > 1 and got[3] > 1000
+
+
+def test_many_sources(spark):
+    """Ten thousand sources, one of which holds a third of all documents."""
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "concat('s', IF(id % 3 = 0, 0, id % 10000)) AS source", "id % 17 + 1 AS tokens")
+    sizes = rows.withColumn("place", X._place()).persist()
+    held = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    found = X.thresholds(sizes, {s: n / 2 for s, n in held.items()})
+    limits = spark.createDataFrame([*found.items()], "source string, threshold bigint")
+    got = {r.source: r.n for r in sizes.join(limits, "source").groupBy("source").agg(F.sum(F.when(F.col("place") < F.col("threshold"), F.col("tokens")).otherwise(0)).alias("n")).collect()}
+    assert len(got) > 6_000 and all(abs(got[s] - n / 2) <= max(17, n * 1e-4) for s, n in held.items())
+    sizes.unpersist()
