@@ -8,15 +8,21 @@ feature.
 Ratings hold for whole documents and some are wrong.  So the ratios of one part of the sample,
 counted on the other parts, pick the most suspicious window of each of its documents: a
 document rated toxic is a positive example only if its window stands out from those of the
-documents rated clean, whose own windows are the hard negative examples.  Two rounds of
-training follow, the second with the windows that the first finds worst.
+documents rated clean.  In further rounds the classifier itself picks the windows: those of
+documents rated toxic that it finds toxic, and as hard negative examples the worst windows of the
+documents rated clean.
 
-The classifier is fitted in one task on a bounded sample of rated documents, ``MOST_TOXIC`` and
-``MOST_CLEAN`` of either kind; scoring covers every document and its whole text.
+All work on whole texts - counting n-grams, looking for the worst windows, scoring - is spread
+over tasks that take texts in pieces of bounded length.  Only windows of some fifty characters go
+to the one task that learns weights.  The sample is bounded: at most about ``MOST_TOXIC`` and ``MOST_CLEAN``
+documents of either kind, of the latter the windows of the ``HARD`` worst and ``HARD`` others; scoring covers every
+document and its whole text.
+
+The level from which documents are flagged is set on held-out ratings (``level_of``).
 
 Defined results: a NULL text has the score NULL and is not flagged; a text that shows
 nothing, such as an empty one, has the score BIAS; a document rated differently by different people, or not at all, trains nothing;
-without ratings of both kinds no document is flagged.
+without ratings of both kinds, or with fewer than 2 * FOLDS in all, no document is flagged and all scores are BIAS.
 """
 
 from __future__ import annotations
@@ -30,25 +36,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.llm.visual import BASE, Forms, forms_for
-from mathloom.runtime import spread
+from mathloom.runtime import cut, spread
 
 #: Most rated documents of either kind in the sample, taken by the hash of their ids.
-MOST_TOXIC, MOST_CLEAN = 4_000, 10_000
-BITS, LENGTHS, WINDOW, FOLDS = 20, (2, 3, 4, 5), 48, 4
+MOST_TOXIC, MOST_CLEAN = 8_000, 40_000
+#: Windows of clean documents that are learned from, the worst and as many others.
+HARD = 6_000
+BITS, LENGTHS, WINDOW, FOLDS, TURNS = 20, (2, 3, 4, 5), 48, 4, 3
 #: Weight of the class-wide rate in a log-count ratio.
 PRIOR = 4.0
 #: Logit of a window that shows nothing; it is not learned, so that short texts, which show little,
-#: stay below ``FLAG``.
+#: stay below the level.
 BIAS = -6.0
-#: Logit from which a document is flagged.  The worst of many windows decides and training weighs
-#: a window rated clean several times one rated toxic, so the odds are not even at 0.
-FLAG = -4.0
+#: Characters of a piece of text that is taken at once.
+PIECE = 1_000_000
 
 # Digits and signs written for the letters they look like.
 _LEET = str.maketrans("4310571@$!", "aeiostiasi")
-_leet = re.compile(r"\S*[4310571@$!]\S*")
+_leet = re.compile(r"(?<!\S)[^\s4310571@$!]*[4310571@$!]\S*")
 _spelled = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[.\-_*][^\W\d_]){2,}(?![^\W\d_])")
+_may_be_spelled = re.compile(r"[.\-_*].[.\-_*]")
 _repeated = re.compile(r"([^\W\d_])\1{2,}")
+_may_repeat = re.compile(r"(.)\1\1")
 
 
 def _unleet(match) -> str:
@@ -61,131 +70,203 @@ def _unleet(match) -> str:
 def plain_text(text: str, forms: Forms = BASE) -> str:
     """``text`` in lower case without the usual disguises: look-alikes, digits for letters, spelling out, repetition."""
     text = forms.one_form(text).lower()
-    text = _spelled.sub(lambda m: re.sub(r"[.\-_*]", "", m[0]), text)
-    text = _repeated.sub(r"\1", _leet.sub(_unleet, text))
+    if _may_be_spelled.search(text):
+        text = _spelled.sub(lambda m: re.sub(r"[.\-_*]", "", m[0]), text)
+    text = _leet.sub(_unleet, text)
+    if _may_repeat.search(text):
+        text = _repeated.sub(r"\1", text)
     return " " + " ".join(re.sub(r"\d+", "0", text).split()) + " "
 
 
-def ngrams(text: str) -> list[np.ndarray]:
-    """Hashed n-grams by length; the i-th entry of each begins at character i."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out, run = [], code.copy()
-    with np.errstate(over="ignore"):
-        for n in range(2, max(LENGTHS) + 1):
-            if len(code) < n:
-                break
-            run = (run[:-1] * np.uint64(0x100000001B3)) ^ (code[n - 1 :] * np.uint64(0x9E3779B97F4A7C15))
-            if n in LENGTHS:
-                out.append(((run * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int32))
-    return out
-
-
-def features(text: str) -> np.ndarray:
-    found = ngrams(text)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
-
-
-def worst_window(text: str, weights: np.ndarray) -> tuple[float, int]:
-    """Sum of the weights of the n-grams that begin in the worst window of ``text``, and where it begins."""
-    value = np.zeros(max(len(text), 1))
-    for ids in ngrams(text):
-        value[: len(ids)] += weights[ids]
-    sums = np.concatenate(([0.0], np.cumsum(value)))
-    size = min(WINDOW, len(value))
-    windows = sums[size:] - sums[:-size]
-    best = int(windows.argmax())
-    return float(windows[best]), best
-
-
-def _window(text: str, start: int) -> str:
-    return text[start : start + WINDOW + max(LENGTHS) - 1]
+class Texts:
+    """Texts one after another, with the hashed n-grams that begin at each character.
 
+    ``first`` and ``size`` are where each begins and how long it is; n-grams that reach over an
+    end have the number 2**BITS, which no weight is given to.
+    """
 
-def log_count_ratios(examples: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    def __init__(self, texts: list[str]):
+        self.size = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(self.size)
+        self.first = ends - self.size
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.grams: list[np.ndarray] = []
+        run = code.copy()
+        with np.errstate(over="ignore"):
+            for n in range(2, max(LENGTHS) + 1):
+                run = (run[:-1] * np.uint64(0x100000001B3)) ^ (code[n - 1 :] * np.uint64(0x9E3779B97F4A7C15))
+                if n in LENGTHS:
+                    ids = np.full(len(code), 2**BITS, np.int32)
+                    ids[: len(run)] = ((run * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int32)
+                    for k in range(1, n):
+                        ids[(ends - k)[self.size >= k]] = 2**BITS
+                    self.grams.append(ids)
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the text and feature, each pair once, in order."""
+        which = np.repeat(np.arange(len(self.size)), self.size)
+        pairs = np.concatenate([which[ids < 2**BITS] << (BITS + 1) | ids[ids < 2**BITS] for ids in self.grams] or [which[:0]])
+        pairs = np.unique(pairs)
+        return pairs >> (BITS + 1), (pairs & (2 ** (BITS + 1) - 1)).astype(np.int32)
+
+    def worst_windows(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the weights of the n-grams that begin in the worst window of each text, and where in it that begins."""
+        weights = np.append(weights, np.float32(0))
+        value = np.zeros(int(self.size.sum()))
+        for ids in self.grams:
+            value += weights[ids]
+        sums = np.concatenate(([0.0], np.cumsum(value)))
+        window = sums[np.minimum(np.arange(len(value)) + WINDOW, len(value))] - sums[:-1]
+        short = self.size <= WINDOW
+        score, begin = np.zeros(len(self.size)), np.zeros(len(self.size), np.int64)
+        score[short] = sums[(self.first + self.size)[short]] - sums[self.first[short]]
+        if not short.all():
+            at = self.first[~short]
+            # Every other sum of reduceat is over what lies between the starts of two texts' windows.
+            bounds = np.stack([at, at + (self.size[~short] - WINDOW + 1)], axis=1).ravel()
+            best = np.maximum.reduceat(window, bounds[:-1])[::2] if bounds[-1] >= len(value) else np.maximum.reduceat(window, bounds)[::2]
+            score[~short] = best
+            inside = np.repeat(best, self.size[~short] - WINDOW + 1)
+            places = np.repeat(at - np.cumsum(np.append(0, self.size[~short] - WINDOW + 1))[:-1], self.size[~short] - WINDOW + 1) + np.arange(len(inside))
+            of = np.repeat(np.arange(len(at)), self.size[~short] - WINDOW + 1)
+            hits = np.flatnonzero(window[places] == inside)
+            owners, where = np.unique(of[hits], return_index=True)
+            found = np.zeros(len(at), np.int64)
+            found[owners] = places[hits[where]] - at[owners]
+            begin[~short] = found
+        return score, begin
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Groups of pieces of texts, some ``PIECE`` characters each: which text, at which character, the piece.
+
+    Pieces of one text overlap by a window and the n-grams that begin in it.
+    """
+    which, starts, group, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        for start in range(0, max(1, len(text)), PIECE):
+            piece = text[start : start + PIECE + WINDOW + max(LENGTHS)]
+            which.append(i)
+            starts.append(start)
+            group.append(piece)
+            size += len(piece)
+            if size >= PIECE:
+                yield which, starts, group
+                which, starts, group, size = [], [], [], 0
+    if group:
+        yield which, starts, group
+
+
+def worst_windows(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Score of the worst window of each text, and the window's text, n-grams that begin in it included."""
+    scores, windows = np.full(len(texts), -np.inf), [""] * len(texts)
+    for which, starts, group in _pieces(texts):
+        found, at = Texts(group).worst_windows(weights)
+        # Sums over many texts differ in the last digits by what stands before a text.
+        for i, start, piece, score, place in zip(which, starts, group, np.round(found, 6).tolist(), at.tolist(), strict=True):
+            if score > scores[i] and (start == 0 or len(piece) > WINDOW + max(LENGTHS)):
+                scores[i], windows[i] = score, piece[place : place + WINDOW + max(LENGTHS) - 1]
+    return scores, windows
+
+
+def gram_counts(texts: list[str], rows: list[int], n: int) -> np.ndarray:
+    """How often each feature occurs in the texts of each of ``n`` rows."""
+    counts = np.zeros((n, 2**BITS + 1), np.float32)
+    for row in sorted(set(rows)):
+        for _, _, group in _pieces([t for t, r in zip(texts, rows, strict=True) if r == row]):
+            # Where pieces of a text overlap, some fifty characters count twice.
+            for ids in Texts(group).grams:
+                counts[row] += np.bincount(ids, minlength=2**BITS + 1)
+    return counts[:, :-1]
+
+
+def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
     """Naive Bayes log-count ratio of each feature, 0 where nothing is known."""
-    counts = np.zeros((2, 2**BITS), np.float32)
-    for ids, y in zip(examples, toxic, strict=True):
-        counts[int(y), ids] += 1
-    return _ratios(counts[1], counts[0], float(np.mean(toxic)))
-
-
-def _ratios(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
     return (np.log((toxic + PRIOR * rate) / (clean + PRIOR * (1 - rate))) - np.log(rate / (1 - rate))).astype(np.float32)
 
 
-def logistic(examples: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, steps: int = 60) -> np.ndarray:
+def logistic(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray, often: np.ndarray, ratios: np.ndarray, steps: int = 80) -> np.ndarray:
     """Weights of a logistic regression on features scaled by ``ratios``, by full-batch AdaGrad.
 
-    Only features that occur are carried; an example without any is left out.
+    ``rows`` and ``ids`` are the features of each example, in order; ``often`` is how often an example stands
+    in the sample.  Only features that occur are carried.
     """
-    sizes = np.array([len(e) for e in examples])
-    y = toxic[sizes > 0].astype(np.float32)
-    starts = np.concatenate(([0], np.cumsum(sizes[sizes > 0])))
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
-    known, ids = np.unique(np.concatenate(examples), return_inverse=True)
-    scaled = ratios[known][ids]
-    cost = np.where(y > 0, 0.15 / max(y.mean(), 1e-9), 1.0) / len(y)
+    known, ids = np.unique(ids, return_inverse=True)
+    scale = ratios[known]
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    kept = rows[starts]
+    y, often = toxic[kept].astype(np.float32), often[kept].astype(np.float32)
+    size = np.diff(np.append(starts, len(rows)))
+    rate = float((y * often).sum() / often.sum())
+    cost = np.where(y > 0, 0.15 / max(rate, 1e-9), 1.0) * often / often.sum()
     start = 0.1
     v, seen = np.full(len(known), start), np.full(len(known), 1e-8)
     for _ in range(steps):
-        z = np.add.reduceat(scaled * v[ids], starts[:-1]) + BIAS
+        z = np.add.reduceat((scale * v)[ids], starts) + BIAS
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        slope = np.bincount(ids, error[rows] * scaled, len(known)) + 1e-6 * (v - start)
+        slope = scale * np.bincount(ids, np.repeat(error, size), len(known)) + 1e-6 * (v - start)
         seen += slope**2
         v -= 0.05 * slope / np.sqrt(seen)
     weights = np.zeros(2**BITS, np.float32)
-    weights[known] = ratios[known] * v
+    weights[known] = scale * v
     return weights
 
 
-def fit(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float]:
-    """Weights and bias from plain texts and their ratings (0 or 1)."""
-    y = np.asarray(toxic, bool)
-    if not y.any() or y.all() or len(y) < 2 * FOLDS:
-        return np.zeros(2**BITS, np.float32), BIAS
-    fold = np.arange(len(texts)) % FOLDS
-    # Rated toxic and clean each spread evenly over the folds.
-    order = np.argsort(~y, kind="stable")
-    folds = np.empty(len(texts), int)
-    folds[order] = fold
-    counts = np.zeros((FOLDS, 2, 2**BITS), np.float32)
-    for text, k, label in zip(texts, folds, y, strict=True):
-        counts[k, int(label), features(text)] += 1
-    whole = counts.sum(axis=0)
-    worst: list[tuple[float, int]] = [(0.0, 0)] * len(texts)
-    for k in range(FOLDS):
-        other = whole - counts[k]
-        ratios = _ratios(other[1], other[0], max(float(y[folds != k].mean()), 1e-6))
-        for i in np.flatnonzero(folds == k):
-            worst[i] = worst_window(texts[i], ratios)
-    del counts, whole
-    score = np.array([s for s, _ in worst])
-    # A small sample repeats little, so fewer of its toxic windows stand out far.
+def learned(windows: list[str], toxic: list[bool]) -> np.ndarray | None:
+    """Weights from windows and their ratings, or None without a toxic one; equal examples are taken together."""
+    counted: dict[tuple[str, bool], int] = {}
+    for w, y in zip(windows, toxic, strict=True):
+        if w.strip():
+            counted[w, bool(y)] = counted.get((w, bool(y)), 0) + 1
+    examples = sorted(counted)
+    y, often = np.array([t for _, t in examples], bool), np.array([counted[e] for e in examples])
+    if not y.any() or y.all():
+        return None
+    rows, ids = Texts([w for w, _ in examples]).features()
+    counts = [np.bincount(ids[mine[rows]], often[rows[mine[rows]]], 2**BITS) for mine in (y, ~y)]
+    rate = float(often[y].sum() / often.sum())
+    return logistic(rows, ids, y, often, log_count_ratios(*counts, rate))
+
+
+def level_of(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The logit from which documents are flagged, given held-out scores.
+
+    Wrong ratings are missed by any sensible level, so of the levels that miss hardly more ratings than the
+    best does, the one in the middle of the widest gap between scores is taken.
+    """
+    steps = np.unique(scores)
+    bad, clean = np.sort(scores[toxic]), np.sort(scores[~toxic])
+    # What a level just above each step misses.
+    missed = np.searchsorted(bad, steps, "right") + len(clean) - np.searchsorted(clean, steps, "right")
+    gaps = np.append(np.diff(steps), 0.0)
+    gaps[missed > missed.min() + 0.01 * len(bad)] = -1.0
+    widest = int(gaps.argmax())
+    return float(steps[widest] + gaps[widest] / 2)
+
+
+def _stands_out(score: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Windows, picked by ratios, that few of those rated clean are as suspicious as.
+
+    A small sample repeats little, so fewer of its toxic windows stand out far.
+    """
     for level in (0.995, 0.95, 0.8, 0.0):
-        stands_out = score >= np.quantile(score[~y], level)
-        if 3 * (stands_out & y).sum() >= y.sum():
+        far = score >= np.quantile(score[~toxic], level)
+        if 3 * (far & toxic).sum() >= toxic.sum():
             break
-    rng = np.random.default_rng(7)
-    weights = np.zeros(2**BITS, np.float32)
-    for turn in range(2):
-        if turn:
-            worst = [worst_window(t, weights) for t in texts]
-            stands_out = np.array([s for s, _ in worst]) + BIAS > 0
-        chosen = [(i, worst[i][1]) for i in range(len(texts)) if stands_out[i] or not y[i]]
-        chosen += [(i, int(rng.integers(max(1, len(texts[i]) - WINDOW)))) for i in np.flatnonzero(~y)]
-        labels = np.array([y[i] for i, _ in chosen])
-        if not labels.any():
-            return np.zeros(2**BITS, np.float32), BIAS
-        examples = [features(_window(texts[i], at)) for i, at in chosen]
-        weights = logistic(examples, labels, log_count_ratios(examples, labels))
-    # Of a small sample the classifier knows too little for a fixed level; then hardly any of the
-    # documents rated clean may be above it.
-    level = np.quantile([worst_window(t, weights)[0] for t, toxic_ in zip(texts, y, strict=True) if not toxic_], 0.995)
-    return weights, BIAS - max(0.0, float(level) + BIAS - FLAG)
+    return far
+
+
+def examples(toxic: np.ndarray, score: np.ndarray, window: list[str], other: list[str], stands_out: np.ndarray) -> tuple[list[str], list[bool]]:
+    """The windows to learn from: toxic ones that stand out, the worst of the clean ones, and others of clean documents."""
+    clean = np.flatnonzero(~toxic)
+    hard = clean[np.argsort(-score[clean], kind="stable")][:HARD]
+    rest = np.random.default_rng(7).permutation(clean)[:HARD]
+    bad = np.flatnonzero(stands_out & toxic)
+    return [window[i] for i in (*bad, *hard)] + [other[i] for i in rest], [True] * len(bad) + [False] * (len(hard) + len(rest))
 
 
 def rated_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, y, text) of the sample, plain texts: about MOST_TOXIC and MOST_CLEAN documents at most.
+    """(doc_id, y, fold, text) of the sample, plain texts: about MOST_TOXIC and MOST_CLEAN documents at most.
 
     The hash of its id alone decides about a document: of either kind the share of the hashes
     is kept that holds as many as wanted.
@@ -195,41 +276,133 @@ def rated_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     held = {r.y: r["count"] for r in rated.groupBy("y").count().collect()}
     keep = {y: min(1.0, most / held[y]) * 1e6 if held.get(y) else 0.0 for y, most in ((True, MOST_TOXIC), (False, MOST_CLEAN))}
     sample = rated.where(F.col("h") < F.when(F.col("y"), keep[True]).otherwise(keep[False])).select("doc_id", "y")
+    forms = forms_for(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([plain_text(x) for x in batch.column(2).to_pylist()], pa.string())], names=["doc_id", "y", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([plain_text(x, forms) for x in batch.column(3).to_pylist()], pa.string())], names=["doc_id", "y", "fold", "text"])
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    return docs.join(sample, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y boolean, text string")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    # About MOST_TOXIC + MOST_CLEAN ids of 8 bytes.
+    return docs.join(F.broadcast(sample), "doc_id").select("doc_id", "y", fold, "text").mapInArrow(run, "doc_id bigint, y boolean, fold int, text string")
 
 
-def fitted(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and bias, fitted in one task on the sample; only they come to the driver."""
+_WINDOWS = "doc_id bigint, y boolean, fold int, score double, window string, other string"
+Batches = Iterator[pa.RecordBatch]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("y", pa.bool_()), ("text", pa.string())])).sort_by("doc_id")
-        weights, bias = fit(rows["text"].to_pylist(), rows["y"].to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
-    row = rated_sample(documents, labels).repartition(1).mapInArrow(run, "weights binary, bias double").first()
-    if row is None:
-        return np.zeros(2**BITS, np.float32), BIAS
-    return np.frombuffer(bytes(row.weights), np.float32), row.bias
+def _ratios(sample: DataFrame) -> np.ndarray | None:
+    """For each fold the ratios counted on the others: counts are summed in one task, a row of features a fold and kind."""
+
+    def count(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = [2 * f + y for f, y in zip(batch.column("fold").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            for row, counts in enumerate(gram_counts(batch.column("text").to_pylist(), rows, 2 * FOLDS)):
+                ids = np.flatnonzero(counts).astype(np.int32)
+                columns = [pa.array([row]), pa.array([rows.count(row)]), pa.array([ids.tobytes()], pa.binary()), pa.array([counts[ids].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "texts", "ids", "counts"])
+
+    def total(batches: Batches) -> Batches:
+        counts, texts = np.zeros((FOLDS, 2, 2**BITS), np.float32), np.zeros((FOLDS, 2))
+        for batch in batches:
+            for row, n, ids, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[row // 2, row % 2, np.frombuffer(ids, np.int32)] += np.frombuffer(k, np.float32)
+                texts[row // 2, row % 2] += n
+        if texts.sum() < 2 * FOLDS or not texts.sum(axis=0).all():
+            return
+        for fold in range(FOLDS):
+            (clean, toxic), (n, m) = counts.sum(axis=0) - counts[fold], texts.sum(axis=0) - texts[fold]
+            rate = min(max(m / max(n + m, 1), 1e-6), 1 - 1e-6)
+            yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([log_count_ratios(toxic, clean, rate).tobytes()], pa.binary())], names=["fold", "ratios"])
+
+    counted = sample.mapInArrow(count, "row bigint, texts bigint, ids binary, counts binary").repartition(1)
+    rows = sorted((r.fold, bytes(r.ratios)) for r in counted.mapInArrow(total, "fold bigint, ratios binary").collect())
+    return np.stack([np.frombuffer(r, np.float32) for _, r in rows]) if rows else None
+
+
+def _windows(sample: DataFrame, models: np.ndarray) -> DataFrame:
+    """The worst window of each document of the sample by the model of its fold, and another one that its id decides."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            ids, folds, texts = (batch.column(c).to_pylist() for c in ("doc_id", "fold", "text"))
+            score, window = np.zeros(len(ids)), [""] * len(ids)
+            for fold in {f % len(shared.value) for f in folds}:
+                mine = [i for i, f in enumerate(folds) if f % len(shared.value) == fold]
+                found, at = worst_windows([texts[i] for i in mine], shared.value[fold])
+                score[mine] = found
+                for i, w in zip(mine, at, strict=True):
+                    window[i] = w
+            starts = [i * 2654435761 % max(1, len(t) - WINDOW) for i, t in zip(ids, texts, strict=True)]
+            other = [t[a : a + WINDOW + max(LENGTHS) - 1] for t, a in zip(texts, starts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score), pa.array(window, pa.string()), pa.array(other, pa.string())], names=["doc_id", "y", "fold", "score", "window", "other"])
+
+    return sample.mapInArrow(run, _WINDOWS)
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+    group = group.sort_by("doc_id")
+    return np.array(group["y"].to_pylist(), bool), np.array(group["score"].to_pylist()), group["window"].to_pylist(), group["other"].to_pylist()
+
+
+def _learn(windows: DataFrame, first: bool, parts: int) -> list[np.ndarray] | None:
+    """Weights learned from all windows and, with ``parts`` of 3, from either half of the folds, each in its own task."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        toxic, score, window, other = _columns(group)
+        weights = None
+        if toxic.any() and not toxic.all():
+            weights = learned(*examples(toxic, score, window, other, _stands_out(score, toxic) if first else score + BIAS > 0))
+        rows = [] if weights is None else [weights.tobytes()]
+        return pa.table({"part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "weights": pa.array(rows, pa.binary())})
+
+    # Part 0 learns from all, part 1 from odd folds, to be held against the even ones, part 2 the other way round.
+    part = F.explode(F.array(F.lit(0), F.lit(2) - F.col("fold") % 2) if parts == 3 else F.array(F.lit(0))).alias("part")
+    found = windows.select("*", part).groupBy("part").applyInArrow(run, "part int, weights binary").collect()
+    by = {r.part: np.frombuffer(bytes(r.weights), np.float32) for r in found}
+    return [by.get(p, by[0]) for p in range(parts)] if 0 in by else None
+
+
+def _level(windows: DataFrame) -> float:
+    def run(batches: Batches) -> Batches:
+        toxic, score, _, _ = _columns(pa.Table.from_batches(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([level_of(score + BIAS, toxic)])], names=["level"])
+
+    return windows.repartition(1).mapInArrow(run, "level double").first().level
+
+
+def fitted(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
+    """Weights and the level from which documents are flagged; None if the ratings teach nothing."""
+    sample = cut(rated_sample(documents, labels))
+    models, weights = _ratios(sample), None
+    for turn in range(TURNS):
+        if models is None:
+            return None
+        weights = _learn(_windows(sample, models), turn == 0, 3 if turn == TURNS - 1 else 1)
+        models = None if weights is None else np.stack(weights[:1])
+    if weights is None:
+        return None
+    # Even folds are scored by what odd ones taught, odd ones by what even ones did.
+    return weights[0], _level(_windows(sample, np.stack(weights[1:])))
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score, flagged) of every document (doc_id, text, source); the score is a logit."""
-    weights, bias = fitted(documents, labels)
-    known = bool(weights.any())
+    known = fitted(documents, labels)
+    weights, level = known or (np.zeros(2**BITS, np.float32), np.inf)
+    forms = forms_for(documents.sparkSession)
     # A fixed 2**BITS numbers of 4 bytes.
     model = documents.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            scores = [None if t is None else worst_window(plain_text(t), model.value)[0] + bias for t in batch.column(2).to_pylist()]
-            flags = [known and s is not None and s > FLAG for s in scores]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", "source", "score", "flagged"])
+            texts = batch.column(2)
+            plain = [plain_text(t, forms) for t in texts.drop_null().to_pylist()]
+            scores = np.full(len(texts), np.nan)
+            scores[texts.is_valid().to_numpy(zero_copy_only=False)] = worst_windows(plain, model.value)[0] + BIAS
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64(), from_pandas=True), pa.array(scores > level)], names=["doc_id", "source", "score", "flagged"])
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
     return spread(docs).mapInArrow(run, "doc_id bigint, source string, score double, flagged boolean")

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -93,6 +93,27 @@ def _spans(codes: Iterable[int]) -> str:
     return "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in spans)
 
 
+_beyond = re.compile("[\U00010000-\U0010ffff]")
+
+
+@lru_cache(maxsize=4)
+def _suspect(lookalikes: str) -> Callable[[str], bool]:
+    """The test for suspects, made once in each worker.
+
+    A class of characters up to U+FFFF is a table, one that goes beyond is a list of spans, which takes many times as long.
+    """
+    codes = {*map(ord, lookalikes), *_FULL_WIDTH}
+    for code in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x10000, 0x12000), *range(0x1D100, 0x1D200), *range(0x2F800, 0x2FA20)):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind[0] == "M" or kind in ("Cf", "Cc") or unicodedata.normalize("NFC", c) != c:
+            codes.add(code)
+    codes = {c for c in codes if _invisible.match(chr(c)) or unicodedata.category(chr(c)) not in ("Cf", "Cc")}
+    codes |= {*_SPACES, *range(9), *range(0x0E, 0x20), 0x7F, 0x115F, 0x1160, 0x3164, 0xFFA0}
+    low, high = re.compile(f"[{_spans(c for c in codes if c < 0x10000)}]").search, re.compile(f"[{_spans(c for c in codes if c >= 0x10000)}" + r"\U000E0000-\U000E0FFF]").search
+    return lambda text: bool(low(text)) or not text.isascii() and bool(_beyond.search(text)) and bool(high(text))
+
+
 class Forms:
     """The one form of texts, given look-alikes besides those of Cyrillic and Greek."""
 
@@ -133,19 +154,13 @@ class Forms:
 
     def one_form(self, value: str, markup: bool = False) -> str:
         """The form of a single value, for use outside the grouping."""
-        return self.polished(self.mapped(decode_references(value) if markup else value, markup), markup)
+        text = decode_references(value) if markup else value
+        return self.polished(self.mapped(text, markup), markup) if self.suspect(text) else text
 
-    def suspect_class(self) -> str:
-        """Pattern class of the characters that can make equal-looking values differ."""
-        codes = {*map(ord, self.lookalikes), *_FULL_WIDTH, *_SPACES}
-        for code in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x10000, 0x12000), *range(0x1D100, 0x1D200), *range(0x2F800, 0x2FA20)):
-            c = chr(code)
-            kind = unicodedata.category(c)
-            if kind[0] == "M" or kind in ("Cf", "Cc") or unicodedata.normalize("NFC", c) != c:
-                codes.add(code)
-        codes = {c for c in codes if _invisible.match(chr(c)) or unicodedata.category(chr(c)) not in ("Cf", "Cc")}
-        codes |= {*range(9), *range(0x0E, 0x20), 0x7F, 0x115F, 0x1160, 0x3164, 0xFFA0}
-        return f"[{_spans(codes)}" + r"\U000E0000-\U000E0FFF]"
+    @property
+    def suspect(self) -> Callable[[str], bool]:
+        """Whether a text holds a character that can make equal-looking values differ; without one, a value is its own form."""
+        return _suspect("".join(self.lookalikes))
 
 
 #: The forms where no session tells the other look-alikes.
@@ -211,13 +226,13 @@ def suspects(rows: DataFrame) -> DataFrame:
     forms = forms_for(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suspect = re.compile(forms.suspect_class())
+        suspect = forms.suspect
         for batch in batches:
             kept, decoded, keys = [], [], []
             for i, (field, value) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 markup = field == "mathml"
                 text = decode_references(value) if markup else value
-                if text is not value or suspect.search(text):
+                if text is not value or suspect(text):
                     kept.append(i)
                     decoded.append(text)
                     keys.append(_spelled_out(forms.mapped(text, markup)))
@@ -290,10 +305,10 @@ def all_forms(rows: DataFrame) -> DataFrame:
     forms = forms_for(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suspect = re.compile(forms.suspect_class())
+        suspect = forms.suspect
         for batch in batches:
             pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            own = [i for i, (field, value) in enumerate(pairs) if not suspect.search(value) and (field != "mathml" or decode_references(value) is value)]
+            own = [i for i, (field, value) in enumerate(pairs) if not suspect(value) and (field != "mathml" or decode_references(value) is value)]
             yield batch.take(pa.array(own, pa.int32())).rename_columns(["row_id", "field_name", "form"])
 
     rows = rows.select("row_id", "field_name", "value").where("value IS NOT NULL")
