@@ -151,69 +151,91 @@ def tokenize(latex: str, macros: dict[str, tuple[int, str]] | None = None) -> li
     return tokens
 
 
-def _leaf(token: Token) -> Node:
-    return Node(token.type, token.value, token.position, metadata=token.metadata)
+#: Types of tokens that are nothing but leaves, wherever they stand.
+_LEAVES = frozenset(("variable", "number", "operator", "symbol", "delimiter", "macro", "optional", "comment"))
+
+
+class _Builder:
+    """Takes tokens one by one; ``state`` is the method that the next one goes to."""
+
+    def __init__(self):
+        self.root = Node("root")
+        self.open = [self.root]
+        self.state = self._sibling
+        self.script: Node | None = None
+        self.sizing: Token | None = None
+        self.level = 0
+
+    def tree(self, tokens: list[Token]) -> Node:
+        for token in tokens:
+            self.state(token)
+        if self.state == self._delimiter:  # nothing follows the sizing command
+            self._append(self.sizing)
+        return self.root
+
+    def _append(self, token: Token, to: Node | None = None) -> None:
+        (to or self.open[-1]).children.append(Node(token.type, token.value, token.position, metadata=token.metadata))
+
+    def _enter(self, node: Node) -> None:
+        self.open[-1].children.append(node)
+        self.open.append(node)
+
+    def _sibling(self, token: Token) -> None:
+        """A token among the children of what is open."""
+        if token.type in _LEAVES:
+            self._append(token)
+            return
+        match token:
+            case Token("spacing", value) if not value.strip():
+                pass
+            case Token("group", "{"):
+                self._enter(Node("group", position=token.position))
+            case Token("group") if len(self.open) > 1:
+                self.open.pop()
+            case Token("environment", metadata={"env_type": "begin", "env_name": name}):
+                self._enter(Node("environment", position=token.position, name=name))
+            case Token("environment", metadata={"env_type": "end", "env_name": name}) if (self.open[-1].type, self.open[-1].name) == ("environment", name):
+                self.open.pop()
+            case Token("environment", metadata={}) if not token.metadata:
+                pass
+            case Token("subscript" | "superscript" as kind):
+                before = self.open[-1].children
+                base = before.pop() if before else Node("empty", position=token.position)
+                self.script = Node(kind, position=token.position, base=base, nested=base.type in ("subscript", "superscript"))
+                before.append(self.script)
+                self.state = self._argument
+            case Token("command", metadata={"subtype": "delimiter_modifier"}):
+                self.sizing, self.state = token, self._delimiter
+            case _:
+                self._append(token)
+
+    def _argument(self, token: Token) -> None:
+        """What comes right after a script."""
+        if token.type == "group" and token.value == "{":
+            self.level, self.state = 1, self._flat
+        else:
+            self._append(token, self.script)
+            self.state = self._sibling
+
+    def _flat(self, token: Token) -> None:
+        """A token in the group of a script, whose tokens are taken over as they are, white space included."""
+        if token.type == "group":
+            self.level += 1 if token.value == "{" else -1
+        if self.level:
+            self._append(token, self.script)
+        else:
+            self.state = self._sibling
+
+    def _delimiter(self, token: Token) -> None:
+        """What comes right after a sizing command."""
+        other = Node("null_delimiter", ".") if token.value == "." else Node(token.type, token.value, token.position, metadata=token.metadata)
+        self.open[-1].children.append(Node("delimiter_pair", self.sizing.value, self.sizing.position, delimiter=other))
+        self.state = self._sibling
 
 
 def build_tree(tokens: list[Token]) -> Node:
     """The tree of some tokens: groups and environments nest, scripts take the node before them as their base."""
-    root = Node("root")
-    open_nodes = [root]
-    i, n = 0, len(tokens)
-    while i < n:
-        token, siblings = tokens[i], open_nodes[-1].children
-        kind = token.type
-        if kind == "spacing" and not token.value.strip():
-            pass
-        elif kind == "group" and token.value == "{":
-            group = Node("group", position=token.position)
-            siblings.append(group)
-            open_nodes.append(group)
-        elif kind == "group":
-            if len(open_nodes) > 1:
-                open_nodes.pop()
-            else:
-                siblings.append(_leaf(token))
-        elif kind == "environment":
-            side, name = token.metadata.get("env_type"), token.metadata.get("env_name")
-            if side == "begin":
-                environment = Node("environment", position=token.position, name=name)
-                siblings.append(environment)
-                open_nodes.append(environment)
-            elif side == "end":
-                top = open_nodes[-1]
-                if top.type == "environment" and top.name == name:
-                    open_nodes.pop()
-                else:
-                    siblings.append(_leaf(token))
-        elif kind in ("subscript", "superscript"):
-            if not siblings:
-                siblings.append(Node("empty", position=token.position))
-            base = siblings[-1]
-            script = Node(kind, position=token.position, base=base, nested=base.type in ("subscript", "superscript"))
-            siblings[-1] = script
-            if i + 1 < n:
-                i += 1
-                if tokens[i].type == "group" and tokens[i].value == "{":
-                    # The tokens of a group are taken over flat, white space included.
-                    depth, i = 1, i + 1
-                    while i < n:
-                        if tokens[i].type == "group":
-                            depth += 1 if tokens[i].value == "{" else -1
-                            if depth == 0:
-                                break
-                        script.children.append(_leaf(tokens[i]))
-                        i += 1
-                else:
-                    script.children.append(_leaf(tokens[i]))
-        elif kind == "command" and token.metadata.get("subtype") == "delimiter_modifier" and i + 1 < n:
-            i += 1
-            other = Node("null_delimiter", ".") if tokens[i].value == "." else _leaf(tokens[i])
-            siblings.append(Node("delimiter_pair", token.value, token.position, delimiter=other))
-        else:
-            siblings.append(_leaf(token))
-        i += 1
-    return root
+    return _Builder().tree(tokens)
 
 
 def node_rows(root: Node) -> list[tuple]:
@@ -247,63 +269,73 @@ def depth_and_nesting(root: Node) -> tuple[int, int]:
     return deepest, nested
 
 
+class _Family(NamedTuple):
+    """Things that open and close each other, and what is said of those without a partner."""
+
+    #: Type and message for a closer and for an opener; a closer without a type is passed over.
+    stray: tuple[str, str] | None
+    unclosed: tuple[str, str]
+
+
+# Types, messages and, by their order, the order of findings; from "bracket" on they are warnings.
+_FAMILIES = {
+    "brace": _Family(("unmatched_brace", "Unmatched closing brace"), ("unmatched_brace", "Unmatched opening brace")),
+    "sizing": _Family(("unmatched_delimiter", "Unmatched \\right"), ("unmatched_delimiter", "Unmatched \\left")),
+    "environment": _Family(("mismatched_environment", "Mismatched environment: \\end{%s}"), ("unclosed_environment", "Unclosed environment: %s")),
+    "bracket": _Family(None, ("unmatched_delimiter", "Possibly unmatched delimiter: %s")),
+}
+_OPTION = ("empty_option_value", "Empty value for option: %s")
+_UNKNOWN = ("unknown_command", "Unknown command: \\%s")
+_RANKS = [(family, side) for family in _FAMILIES for side in ("stray", "unclosed")] + ["option", "unknown"]
+_WARNING = _RANKS.index(("bracket", "stray"))
+#: Family, whether it opens, and what has to be equal in a pair, by type and value of a token.
+_PAIRED = {
+    ("group", "{"): ("brace", True, ""),
+    ("group", "}"): ("brace", False, ""),
+    ("command", "\\left"): ("sizing", True, ""),
+    ("command", "\\right"): ("sizing", False, ""),
+    **{("delimiter", c): ("bracket", True, c) for c in vocab.CLOSERS},
+    **{("delimiter", d): ("bracket", False, c) for c, d in vocab.CLOSERS.items()},
+}
+
+
 def validate(tokens: list[Token], macros: dict[str, tuple[int, str]] | None = None) -> tuple[list[Finding], list[Finding]]:
     """Errors and warnings: braces, \\left and \\right, brackets, environments, options, unknown commands."""
-    errors: list[Finding] = []
-    braces: list[tuple[int, int]] = []
-    for i, t in enumerate(tokens):
-        if t.type == "group":
-            if t.value == "{":
-                braces.append((t.position, i))
-            elif braces:
-                braces.pop()
-            else:
-                errors.append(Finding("unmatched_brace", "Unmatched closing brace", t.position, i))
-    errors += [Finding("unmatched_brace", "Unmatched opening brace", p, i) for p, i in braces]
-
-    lefts: list[tuple[int, int]] = []
-    brackets: list[tuple[str, int, int]] = []
-    for i, t in enumerate(tokens):
-        if t.type == "command" and t.value == "\\left":
-            lefts.append((t.position, i))
-        elif t.type == "command" and t.value == "\\right":
-            if lefts:
-                lefts.pop()
-            else:
-                errors.append(Finding("unmatched_delimiter", "Unmatched \\right", t.position, i))
-        elif t.type == "delimiter":
-            if t.value in vocab.CLOSERS:
-                brackets.append((t.value, t.position, i))
-            elif brackets and vocab.CLOSERS[brackets[-1][0]] == t.value:
-                brackets.pop()
-    errors += [Finding("unmatched_delimiter", "Unmatched \\left", p, i) for p, i in lefts]
-    warnings = [Finding("unmatched_delimiter", f"Possibly unmatched delimiter: {d}", p, i) for d, p, i in brackets]
-
-    begun: list[tuple[str, int, int]] = []
-    for i, t in enumerate(tokens):
-        if t.type == "environment" and t.metadata:
-            name = t.metadata["env_name"]
-            if t.metadata["env_type"] == "begin":
-                begun.append((name, t.position, i))
-            elif begun and begun[-1][0] == name:
-                begun.pop()
-            else:
-                errors.append(Finding("mismatched_environment", f"Mismatched environment: \\end{{{name}}}", t.position, i))
-    errors += [Finding("unclosed_environment", f"Unclosed environment: {e}", p, i) for e, p, i in begun]
-
-    for i, t in enumerate(tokens):
-        if t.type == "optional" and "options" in t.metadata:
-            empty = [k for k, v in json.loads(t.metadata["options"]).items() if not v]
-            warnings += [Finding("empty_option_value", f"Empty value for option: {k}", t.position, i) for k in empty]
-
-    unknown: dict[str, tuple[int, int]] = {}
-    # The index counts commands only.
-    for i, t in enumerate(t for t in tokens if t.type == "command"):
-        name = t.value.lstrip("\\")
-        if name not in vocab.KNOWN_COMMANDS and not name.startswith("text") and name not in (macros or ()):
-            unknown.setdefault(name, (t.position, i))
-    warnings += [Finding("unknown_command", f"Unknown command: \\{name}", p, i) for name, (p, i) in unknown.items()]
-    return errors, warnings
+    found: list[tuple[int, Finding]] = []
+
+    def add(rank, said: tuple[str, str], name: str, position: int, index: int) -> None:
+        kind, message = said
+        found.append((_RANKS.index(rank), Finding(kind, message % name if "%" in message else message, position, index)))
+
+    waiting: dict[str, list[tuple[str, int, int]]] = {family: [] for family in _FAMILIES}
+    named, commands = set(), 0
+    for index, token in enumerate(tokens):
+        family, opens, name = _PAIRED.get((token.type, token.value), (None, False, ""))
+        if token.type == "environment" and token.metadata:
+            family, opens, name = "environment", token.metadata["env_type"] == "begin", token.metadata["env_name"]
+        if family:
+            line, stray = waiting[family], _FAMILIES[family].stray
+            if opens:
+                line.append((name, token.position, index))
+            elif line and line[-1][0] == name:
+                line.pop()
+            elif stray:
+                add((family, "stray"), stray, name, token.position, index)
+        for option, value in json.loads(token.metadata.get("options", "{}")).items() if token.type == "optional" else ():
+            if not value:
+                add("option", _OPTION, option, token.position, index)
+        if token.type == "command":
+            command = token.value.lstrip("\\")
+            if command not in vocab.KNOWN_COMMANDS and not command.startswith("text") and command not in (macros or ()) and command not in named:
+                named.add(command)
+                # This index counts commands only.
+                add("unknown", _UNKNOWN, command, token.position, commands)
+            commands += 1
+    for family, line in waiting.items():
+        for name, position, index in line:
+            add((family, "unclosed"), _FAMILIES[family].unclosed, name, position, index)
+    found.sort(key=lambda x: x[0])
+    return [f for rank, f in found if rank < _WARNING], [f for rank, f in found if rank >= _WARNING]
 
 
 def counts_of(tokens: list[Token], root: Node) -> dict[str, int]:

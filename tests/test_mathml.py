@@ -14,33 +14,32 @@ def flat(latex, **options):
 @pytest.mark.parametrize(
     "latex, parts",
     [
-        ("x + y = z", ['xmlns="http://www.w3.org/1998/Math/MathML"', "<mi>x</mi>", "<mo>+</mo>", "<mo>=</mo>"]),
-        (r"\frac{a}{b}", ["<mfrac><mi>a</mi><mi>b</mi></mfrac>"]),
-        (r"\frac{}{b}", ["<mfrac><mrow/><mi>b</mi></mfrac>"]),
-        (r"\frac12", ["<mfrac><mn>12</mn><mi/></mfrac>"]),
-        (r"\sqrt{x}", ["<msqrt><mi>x</mi></msqrt>"]),
-        (r"\sqrt[3]{x}", ["<mroot><mi>x</mi><mn>3</mn></mroot>"]),
-        (r"\alpha + \beta", ["<mi>α</mi>", "<mi>β</mi>"]),
-        ("x_1", ["<msub>"]),
-        ("x^2", ["<msup>"]),
-        ("x_1^2", ["<msubsup><mi>x</mi><mn>1</mn><mn>2</mn></msubsup>"]),
-        ("x^2_1", ["<msubsup><mi>x</mi><mn>1</mn><mn>2</mn></msubsup>"]),
-        ("x^{y^{z}}", ["<msup><mi>x</mi><msup><mi>y</mi><mi>z</mi></msup></msup>"]),
-        ("^2", ["<msup><mi/><mn>2</mn></msup>"]),
-        (r"a \times b \div c \pm d", ["×", "÷", "±"]),
-        (r"\int_0^1 x \, dx", ["∫", '<mspace width="0.5em"/>']),
-        (r"\sum_{i=1}^n i", ['<mo largeop="true" movablelimits="true">∑</mo>']),
-        (r"\text{Hello there} + x", ["<mtext>Hello there</mtext>"]),
-        (r"\hat{x} + \tilde{y}", ["<mover>", '<mo accent="true">^</mo>']),
-        (r"\binom{n}{k}", ['<mfrac linethickness="0"><mi>n</mi><mi>k</mi></mfrac>']),
-        (r"\mathbb{R}", ['<mstyle mathvariant="double-struck"><mi>R</mi></mstyle>']),
-        ("a < b", ["<mo>&lt;</mo>"]),
-        (r"\left[ a \right.", ['<mo fence="true" stretchy="true">[</mo><mi>a</mi>']),
-        (r"\begin{align*} x &= 1 \\ &= 2 \end{align*}", ['columnalign="right left"', '<mtd columnalign="right"/>']),
-        (r"\begin{array}{lr} a & b \end{array}", ['columnalign="left right"']),
-        (r"\begin{multline} a \\ b \\ c \end{multline}", ['"left"', '"center"', '"right"']),
-        (r"\begin{cases} x & y \\ 1 \end{cases}", ["<mtext> if </mtext>"]),
-        ("", ['display="inline"/>']),
+        (r"\begin{cases} q & r \\ 8 \end{cases}", ["<mtext> if </mtext>", "<mi>q</mi>"]),
+        (r"\lim_{h} g", ["lim", "<mi>g</mi>"]),
+        ("u > 4", ["<mo>&gt;</mo>", "<mn>4</mn>"]),
+        ("_7", ["<msub><mi/><mn>7</mn></msub>"]),
+        ("k_{m_{5}}", ["<msub><mi>k</mi><msub><mi>m</mi><mn>5</mn></msub></msub>"]),
+        ("t_8^9", ["<msubsup><mi>t</mi><mn>8</mn><mn>9</mn></msubsup>"]),
+        ("t^9_8", ["<msubsup><mi>t</mi><mn>8</mn><mn>9</mn></msubsup>"]),
+        (r"\sqrt[5]{w}", ["<mroot><mi>w</mi><mn>5</mn></mroot>"]),
+        (r"\sqrt{h}", ["<msqrt><mi>h</mi></msqrt>"]),
+        (r"\frac{}{s}", ["<mfrac><mrow/><mi>s</mi></mfrac>"]),
+        (r"\frac78", ["<mfrac><mn>78</mn><mi/></mfrac>"]),
+        (r"\frac{p}{\frac{q}{r}}", ["<mfrac><mi>p</mi><mfrac><mi>q</mi><mi>r</mi></mfrac></mfrac>"]),
+        (r"\gamma \leq \Omega", ["<mi>γ</mi>", "≤", "<mi>Ω</mi>"]),
+        (r"f \cdot g \mp h \in S", ["⋅", "∓", "∈"]),
+        (r"\prod_{r=2}^m r", ['<mo largeop="true" movablelimits="true">∏</mo>']),
+        (r"\oint f \, dz", ["∮", '<mspace width="0.5em"/>']),
+        (r"5 \text{ is odd}", ["<mtext> is odd</mtext>", "<mn>5</mn>"]),
+        (r"\vec{v} + \bar{w}", ["<mover>", '<mo accent="true">→</mo>', '<mo accent="true">¯</mo>']),
+        (r"\mathfrak{G}", ['<mstyle mathvariant="fraktur"><mi>G</mi></mstyle>']),
+        (r"\binom{5}{j}", ['<mfrac linethickness="0"><mn>5</mn><mi>j</mi></mfrac>']),
+        (r"\left( v \right.", ['<mo fence="true" stretchy="true">(</mo><mi>v</mi>']),
+        (r"\begin{array}{rl} 6 & 7 \end{array}", ['columnalign="right left"']),
+        (r"\begin{align*} v &= 3 \\ &= w \end{align*}", ['columnalign="right left"', '<mtd columnalign="right"/>']),
+        (r"\begin{multline} u \\ v \\ w \end{multline}", ['"left"', '"center"', '"right"']),
+        ("e - 9 = 0", ['xmlns="http://www.w3.org/1998/Math/MathML"', "<mi>e</mi>", "<mo>−</mo>", "<mo>=</mo>"]),
+        (" ", ['display="inline"/>']),
     ],
 )
 def test_intended(latex, parts):
