@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -9,27 +11,30 @@ from pyspark.sql.functions import pandas_udf, udtf
 
 from mathloom.operators import grammar, mathml
 from mathloom.operators.detect import find
-from mathloom.runtime import ship
+from mathloom.runtime import memoised, ship
 
 
-@pandas_udf(T.DoubleType())
-def latex_complexity(latex: pd.Series) -> pd.Series:
-    return latex.map(lambda x: None if x is None else grammar.parse(x).complexity)
+def _remembering(function: Callable) -> Callable:
+    """A function of iterators of batches; one task has one bounded memory of the values it met."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = memoised(function)
+        for values in batches:
+            yield pd.Series([None if x is None else known(x) for x in values], dtype="object")
 
-@pandas_udf(T.BooleanType())
-def latex_is_valid(latex: pd.Series) -> pd.Series:
-    return latex.map(lambda x: None if x is None else not grammar.parse(x).errors)
+    return run
 
 
-@pandas_udf(T.StringType())
-def latex_to_mathml(latex: pd.Series, display: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else mathml.convert(x, bool(b)) for x, b in zip(latex, display, strict=True)], dtype="object")
+latex_complexity = pandas_udf(_remembering(lambda x: grammar.parse(x).complexity), T.DoubleType())
+latex_is_valid = pandas_udf(_remembering(lambda x: not grammar.parse(x).errors), T.BooleanType())
+mathml_is_valid = pandas_udf(_remembering(lambda x: not mathml.validate_mathml(x)), T.BooleanType())
 
 
-@pandas_udf(T.BooleanType())
-def mathml_is_valid(document: pd.Series) -> pd.Series:
-    return document.map(lambda x: None if x is None else not mathml.validate_mathml(x))
+@pandas_udf(T.StringType())
+def latex_to_mathml(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    known = memoised(lambda x, display: mathml.convert(x, display))
+    for latex, display in batches:
+        yield pd.Series([None if x is None else known(x, bool(b)) for x, b in zip(latex, display, strict=True)], dtype="object")
 
 
 @udtf(returnType=T.StructType([T.StructField(n, k) for n, k in (("ordinal", T.IntegerType()), ("start", T.IntegerType()), ("end_", T.IntegerType()), ("math_type", T.StringType()), ("latex", T.StringType()))]))
@@ -44,6 +49,7 @@ class DetectFormulas:
 def register(spark: SparkSession) -> None:
     """Make the functions known to the session's SQL."""
     ship(spark)
-    for function in (latex_complexity, latex_is_valid, latex_to_mathml, mathml_is_valid):
-        spark.udf.register(function.__name__, function)
+    functions = {"latex_complexity": latex_complexity, "latex_is_valid": latex_is_valid, "latex_to_mathml": latex_to_mathml, "mathml_is_valid": mathml_is_valid}
+    for name, function in functions.items():
+        spark.udf.register(name, function)
     spark.udtf.register("detect_formulas", DetectFormulas)

@@ -7,6 +7,7 @@ Image libraries and services are not part of this engine.  A backend is any obje
 from __future__ import annotations
 
 import base64
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mathloom.functions.latex import text_to_latex
+from mathloom.runtime import spread
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,7 @@ class OCRConfig:
     max_retries: int = 3
     retry_delay: float = 1.0
     min_confidence: float = 0.7
+    max_image_bytes: int = 10_000_000
     enable_fallback: bool = True
 
 
@@ -59,8 +62,10 @@ class HttpOCR:
         return bool(self.url and self.headers and all(self.headers.values()))
 
     def recognize(self, content: bytes) -> dict:
+        from mathloom.operators.pixels import prepared_png
+
         body = {
-            "src": "data:image/png;base64," + base64.b64encode(content).decode(),
+            "src": "data:image/png;base64," + base64.b64encode(prepared_png(content, self.config)).decode(),
             "formats": ["latex_styled", "mathml", "asciimath"],
             "ocr": ["math", "text"],
         }
@@ -78,6 +83,8 @@ class LocalOCR:
     """Text recognition by an installed program, if its library is there; the text becomes LaTeX in ``recognize``."""
 
     name = "local"
+    # Fixed value: the program's modes and the characters it may find.
+    options = r"--oem 3 --psm 6 -c tessedit_char_whitelist=0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+-*/=()[]{}.,<>^_\\"
 
     def is_available(self) -> bool:
         try:
@@ -97,10 +104,12 @@ class LocalOCR:
 
         image = Image.open(io.BytesIO(content))
         words = [float(c) for c in pytesseract.image_to_data(image, output_type=pytesseract.Output.DICT)["conf"] if float(c) > 0]
-        text = pytesseract.image_to_string(image, config="--oem 3 --psm 6")
+        text = pytesseract.image_to_string(image, config=self.options)
         return {"text": text, "confidence": sum(words) / len(words) / 100 if words else 0.0}
 
 
+#: Results that a task remembers.
+MOST_REMEMBERED = 1000
 RESULT = "latex string, confidence double, text string, mathml string, asciimath string, error string, backend string"
 _FIELDS = ("latex", "confidence", "text", "mathml", "asciimath", "error", "backend")
 _TYPES = (pa.string(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
@@ -168,8 +177,9 @@ def with_retries(call: Callable[[], dict], config: OCRConfig = OCRConfig(), slee
 def recognize(images: DataFrame, backends: list[OCRBackend], config: OCRConfig = OCRConfig()) -> DataFrame:
     """``images`` (content) with the result of the first backend that gives a valid one.
 
-    Each distinct image is recognised once.  An unavailable or failing backend gives way to the
-    next if fallback is on; the last error stays.
+    Images stay where they are: a task remembers the results of those it met by their hash, so
+    an image that many rows hold is recognised once a task, and no content is shuffled.  An unavailable or failing backend gives way to the
+    next if fallback is on; the last error stays.  NULL content has the result NULL.
     """
 
     def one(content: bytes) -> dict:
@@ -185,13 +195,30 @@ def recognize(images: DataFrame, backends: list[OCRBackend], config: OCRConfig =
                 break
         return result
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[bytes, dict] = {}
         for batch in batches:
-            rows = [one(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.get(f) for r in rows], t) for f, t in zip(_FIELDS, _TYPES, strict=True))], names=["__hash", *_FIELDS])
-
-    keyed = images.drop(*_FIELDS).withColumn("__key", F.sha2("content", 256))
-    distinct = keyed.groupBy(F.col("__key").alias("__hash")).agg(F.first("content").alias("content"))
-    done = distinct.mapInArrow(run, f"__hash string, {RESULT}")
-    done = done.withColumn("latex", F.coalesce("latex", text_to_latex(F.col("text"))))
-    return keyed.join(done, keyed["__key"] == done["__hash"], "left").drop("__key", "__hash")
+            rows = []
+            for content in batch.to_pylist():
+                if content is None:
+                    rows.append(None)
+                    continue
+                key = hashlib.sha256(content).digest()
+                if key not in known:
+                    if len(known) >= MOST_REMEMBERED:
+                        known.clear()
+                    known[key] = one(content)
+                rows.append({f: known[key].get(f) for f in _FIELDS})
+            yield pa.array(rows, pa.struct([*zip(_FIELDS, _TYPES, strict=True)]))
+
+    done = F.arrow_udf(run, f"struct<{RESULT.replace(' ', ':').replace(',:', ',')}>")(F.col("content"))
+    rows = spread(images.drop(*_FIELDS)).withColumn("__done", done)
+    text = F.when(F.col("__done").isNotNull(), F.coalesce("__done.latex", text_to_latex(F.col("__done.text"))))
+    return rows.select(*(c for c in rows.columns if c != "__done"), text.alias("latex"), *(F.col("__done")[f].alias(f) for f in _FIELDS[1:]))
+
+
+def recognize_regions(images: DataFrame, keys: tuple[str, ...], backends: list[OCRBackend], config: OCRConfig = OCRConfig()) -> DataFrame:
+    """keys, x, y, width and height of each formula region of each image, in reading order, with its result."""
+    from mathloom.operators.pixels import math_regions
+
+    return recognize(math_regions(images, keys, config), backends, config).drop("content")

@@ -26,6 +26,34 @@ _NODE = pa.struct(
     [("id", pa.int32()), ("parent", pa.int32()), ("role", pa.string()), ("ord", pa.int32()), ("depth", pa.int32())]
     + [("type", pa.string()), ("value", pa.string()), ("name", pa.string()), ("position", pa.int32()), ("nested", pa.bool_())]
 )
+#: The kinds of parts of a formula.
+COMPONENTS = (
+    "commands", "greek_letters", "operators", "variables", "numbers", "environments", "fractions", "matrices", "integrals",
+    "sums_products", "delimiters", "accents", "macros", "optional_args",
+)
+
+
+def _components(p: grammar.Parsed) -> dict[str, list[str]]:
+    """The distinct parts of a formula, taken in the parser, so that no token leaves it."""
+    parts: dict[str, dict[str, None]] = {c: {} for c in COMPONENTS}
+    kinds = {"symbol": "", "command": "commands", "operator": "operators", "variable": "variables", "number": "numbers", "delimiter": "delimiters", "macro": "macros", "optional": "optional_args"}
+    special = {"\\frac": "fractions"} | dict.fromkeys(vocab.INTEGRALS, "integrals") | dict.fromkeys(vocab.SUMS_PRODUCTS, "sums_products")
+    for t in p.tokens:
+        subtype = t.metadata.get("subtype")
+        if subtype == "greek":
+            parts["greek_letters"][t.value] = None
+        elif kind := kinds.get(t.type):
+            parts[kind][t.value] = None
+        if t.type == "command" and (kind := "accents" if subtype == "accent" else special.get(t.value)):
+            parts[kind][t.value] = None
+        if t.metadata.get("env_type") == "begin":
+            name = t.metadata["env_name"]
+            parts["environments"][name] = None
+            if "matrix" in name:
+                parts["matrices"][name] = None
+    return {c: [*x] for c, x in parts.items()}
+
+
 _COUNTS = [name for name, _ in vocab.COMPLEXITY]
 _F = "ARRAY<STRUCT<type:STRING,message:STRING,position:INT,token_index:INT>>"
 #: Parts of a parse: Arrow type, SQL type, value.
@@ -40,6 +68,11 @@ PARTS = {
     "counts": (pa.struct([(c, pa.int32()) for c in _COUNTS]), "STRUCT<" + ",".join(f"{c}:INT" for c in _COUNTS) + ">", lambda p: p.counts),
     "errors": (pa.list_(_FINDING), _F, lambda p: [f._asdict() for f in p.errors]),
     "warnings": (pa.list_(_FINDING), _F, lambda p: [f._asdict() for f in p.warnings]),
+    "components": (
+        pa.struct([(c, pa.list_(pa.string())) for c in COMPONENTS]),
+        "STRUCT<" + ",".join(f"{c}:ARRAY<STRING>" for c in COMPONENTS) + ">",
+        _components,
+    ),
     "tokens": (
         pa.list_(_TOKEN),
         "ARRAY<STRUCT<type:STRING,value:STRING,position:INT,length:INT,metadata:MAP<STRING,STRING>>>",

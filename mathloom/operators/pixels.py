@@ -11,6 +11,8 @@ no region.
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +39,40 @@ def encode(image: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
 
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png(image: np.ndarray) -> bytes:
+    """A grey or colour image of 8 bits as PNG."""
+    height, width = image.shape[:2]
+    lines = np.hstack([np.zeros((height, 1), np.uint8), image.reshape(height, -1).astype(np.uint8)])
+    header = struct.pack(">IIBBBBB", width, height, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 9)) + _chunk(b"IEND", b"")
+
+
+def thumbnail(image: np.ndarray, side: int = 2048) -> np.ndarray:
+    """The image with its longer side at most ``side``."""
+    height, width = image.shape[:2]
+    if max(height, width) <= side:
+        return image
+    new = [max(1, round(x * side / max(height, width))) for x in (height, width)]
+    down, across = _lanczos(height, new[0]), _lanczos(width, new[1])
+    planes = [down @ plane @ across.T for plane in np.atleast_3d(image).transpose(2, 0, 1)]
+    out = np.clip(np.round(np.stack(planes, axis=2)), 0, 255).astype(np.uint8)
+    return out[:, :, 0] if image.ndim == 2 else out
+
+
+def prepared_png(content: bytes, config: OCRConfig = OCRConfig(), read: Callable[[bytes], np.ndarray] | None = None) -> bytes:
+    """An image as a service takes it: as PNG and, if that is too large, with sides of 2,048 at most; what can't be read goes as it is."""
+    try:
+        image = (read or decode)(content)
+    except ValueError:
+        return content
+    done = png(image)
+    return png(thumbnail(image)) if len(done) > config.max_image_bytes else done
+
+
 def grey(image: np.ndarray) -> np.ndarray:
     """Luma of a colour image."""
     return image if image.ndim == 2 else np.round(image @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)

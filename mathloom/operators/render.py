@@ -1,7 +1,8 @@
 """The rendering branch: keys, dispatch and data of plots as expressions, drawing by backends.
 
 A renderer is any object with ``name``, ``is_available`` and ``render(latex, config) -> dict``
-giving image, svg or pdf bytes, or an error.  Equal requests are rendered once.
+giving image, svg or pdf bytes, or an error.  Results stay beside their formulas, nothing is
+shuffled; a task renders equal formulas once, as far as its memory of results goes.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.functions.latex import compile_cache_key
+from mathloom.runtime import memoised, spread
 
+#: Renderings that a task remembers.
+MOST_REMEMBERED = 1000
 PLOTS = ("function", "scatter", "vector_field")
 
 
@@ -72,16 +75,15 @@ def render(formulas: DataFrame, renderers: list[Renderer], config: RenderConfig
             result = result if result.get("renderer") else attempt
         return result
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = memoised(one, MOST_REMEMBERED)
         for batch in batches:
-            rows = [one(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.get(f) for r in rows], t) for f, t in zip(_FIELDS, _TYPES, strict=True))], names=["__hash", *_FIELDS])
+            rows = [None if x is None else known(x) for x in batch.to_pylist()]
+            yield pa.array([r and {f: r.get(f) for f in _FIELDS} for r in rows], pa.struct([*zip(_FIELDS, _TYPES, strict=True)]))
 
-    key = compile_cache_key(F.col(latex), config.dpi, config.font_size, config.font_family, config.text_color, config.background_color, config.padding)
-    keyed = formulas.drop(*_FIELDS).withColumn("__key", F.when(F.col(latex).isNotNull(), key))
-    distinct = keyed.where("__key IS NOT NULL").groupBy(F.col("__key").alias("__hash")).agg(F.first(latex).alias("__latex"))
-    done = distinct.mapInArrow(run, f"__hash string, {RESULT}")
-    return keyed.join(done, keyed["__key"] == done["__hash"], "left").drop("__key", "__hash")
+    done = F.arrow_udf(run, f"struct<{RESULT.replace(' ', ':').replace(',:', ',')}>")(F.col(latex))
+    rows = spread(formulas.drop(*_FIELDS)).withColumn("__done", done)
+    return rows.select(*(c for c in rows.columns if c != "__done"), *(F.col("__done")[f].alias(f) for f in _FIELDS))
 
 
 def valid(result: dict) -> bool:
@@ -144,3 +146,33 @@ def svg_plot(kind: Column, points: Column, title: Column, width: int = 800, heig
     body = F.when(kind == "function", F.concat(F.lit('<polyline fill="none" stroke="black" points="'), pair, F.lit('"/>'))).when(kind == "scatter", dots)
     svg = F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><title>'), text, F.lit("</title>"), body, F.lit("</svg>"))
     return F.when(F.size(points) > 0, svg)
+
+
+def svg_vectors(arrows: Column, title: Column, width: int = 800, height: int = 600, density: int = 20) -> Column:
+    """A vector field of arrows (x, y, u, v) as SVG, a JVM expression; NULL without arrows.
+
+    Both axes have one scale, y goes upwards; the longest arrow is as long as a cell of a grid of ``density``.
+    """
+
+    def of(name: str) -> Column:
+        return F.transform(arrows, lambda a: a[name])
+
+    x, y = of("x"), of("y")
+    longest = F.array_max(F.transform(arrows, lambda a: F.sqrt(a["u"] * a["u"] + a["v"] * a["v"])))
+    across, along = F.array_max(x) - F.array_min(x), F.array_max(y) - F.array_min(y)
+    span = F.greatest(across / width, along / height)
+    scale = F.when(span > 0, F.lit(1.0) / span).otherwise(1.0)
+    length = F.when(longest > 0, F.lit(min(width, height) / density) / longest).otherwise(0.0)
+
+    def number(value: Column) -> Column:
+        return F.format_string("%.2f", value)
+
+    def line(a: Column) -> Column:
+        left, top = (a["x"] - F.array_min(x)) * scale, F.lit(float(height)) - (a["y"] - F.array_min(y)) * scale
+        ends = (("x1", left), ("y1", top), ("x2", left + a["u"] * length), ("y2", top - a["v"] * length))
+        return F.concat(F.lit("<line"), *(F.concat(F.lit(f' {n}="'), number(v), F.lit('"')) for n, v in ends), F.lit(' marker-end="url(#a)"/>'))
+
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), "&", "&amp;"), "<", "&lt;")
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" stroke="blue"><title>'
+    tip = '</title><defs><marker id="a" orient="auto" markerWidth="6" markerHeight="6" refX="5" refY="3"><path d="M0,0L6,3L0,6z"/></marker></defs>'
+    return F.when(F.size(arrows) > 0, F.concat(F.lit(head), text, F.lit(tip), F.array_join(F.transform(arrows, line), ""), F.lit("</svg>")))

