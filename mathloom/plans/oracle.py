@@ -169,15 +169,16 @@ SQL = {
     "macro_definitions": r"""SELECT code_id, regexp_extract(m, '\{\\([a-zA-Z]+)\}', 1) AS macro, coalesce(TRY_CAST(regexp_extract(m, '\}\[(\d+)\]\{', 1) AS INT), 0) AS args, regexp_extract(m, '(?s)\{([^}]+)\}$', 1) AS body
       FROM (SELECT code_id, unnest(regexp_extract_all(code, '\\newcommand\{\\[a-zA-Z]+\}(?:\[\d+\])?\{[^}]+\}')) AS m FROM code_blocks WHERE code IS NOT NULL) x""",
     "mathml_reference": f"SELECT formula_id, {_mathml('latex', 'coalesce(math_type = ' + _quoted('display') + ', FALSE)')} AS mathml FROM formulas",
-    "export_latex": DETECTED + _NUMBERED + f"""SELECT doc_id, '\\documentclass{{article}}' || chr(10) || '\\usepackage{{amsmath}}' || chr(10) || '\\usepackage{{amssymb}}' || chr(10) || '\\begin{{document}}' || chr(10) || chr(10)
-      || '\\section{{Extracted Mathematical Content}}' || chr(10) || chr(10)
-      || string_agg('\\subsection{{Formula ' || i || '}}' || chr(10) || 'Type: ' || math_type || chr(10) || chr(10) || {_SHOWN} || chr(10) || chr(10), '' ORDER BY i) || '\\end{{document}}' AS document
-      FROM numbered GROUP BY doc_id""",
+    "export_latex": DETECTED + _NUMBERED + f""", body AS (
+        SELECT doc_id, string_agg('\\subsection{{Formula ' || i || '}}' || chr(10) || 'Type: ' || math_type || chr(10) || chr(10) || {_SHOWN} || chr(10) || chr(10), '' ORDER BY i) AS body FROM numbered GROUP BY doc_id)
+      SELECT d.doc_id, '\\documentclass{{article}}' || chr(10) || '\\usepackage{{amsmath}}' || chr(10) || '\\usepackage{{amssymb}}' || chr(10) || '\\begin{{document}}' || chr(10) || chr(10)
+      || '\\section{{Extracted Mathematical Content}}' || chr(10) || chr(10) || coalesce(b.body, '') || '\\end{{document}}' AS document
+      FROM documents d LEFT JOIN body b ON d.doc_id = b.doc_id""",
     "export_markdown": DETECTED + _NUMBERED + f""", types AS (SELECT doc_id, '{{' || string_agg('''' || math_type || ''': ' || n, ', ' ORDER BY first, math_type) || '}}' AS types FROM first_seen GROUP BY doc_id),
       body AS (SELECT doc_id, count(*) AS total, string_agg('### Formula ' || i || chr(10) || '- Type: ' || math_type || chr(10) || '- Confidence: ' || printf('%.2f', confidence) || chr(10) || chr(10) || {_SHOWN} || chr(10) || chr(10), '' ORDER BY i) AS body FROM numbered GROUP BY doc_id)
-      SELECT b.doc_id, '# Extracted STEM Content' || chr(10) || chr(10) || 'Source: ' || coalesce(d.source, 'Unknown') || chr(10) || 'Processing time: n/a' || chr(10) || chr(10) || '## Mathematical Formulas' || chr(10) || chr(10)
-        || b.body || '## Statistics' || chr(10) || chr(10) || '- Total formulas: ' || b.total || chr(10) || '- Formula types: ' || t.types || chr(10) AS document
-      FROM body b JOIN types t ON b.doc_id = t.doc_id JOIN documents d ON b.doc_id = d.doc_id""",
+      SELECT d.doc_id, '# Extracted STEM Content' || chr(10) || chr(10) || 'Source: ' || coalesce(d.source, 'Unknown') || chr(10) || 'Processing time: n/a' || chr(10) || chr(10) || '## Mathematical Formulas' || chr(10) || chr(10)
+        || coalesce(b.body, '') || '## Statistics' || chr(10) || chr(10) || '- Total formulas: ' || coalesce(b.total, 0) || chr(10) || '- Formula types: ' || coalesce(t.types, '{{}}') || chr(10) AS document
+      FROM documents d LEFT JOIN body b ON d.doc_id = b.doc_id LEFT JOIN types t ON d.doc_id = t.doc_id""",
     "stats_report": DETECTED + _NUMBERED + f""", q AS (SELECT doc_id, {_QUALITY} FROM detected GROUP BY doc_id),
       t AS (SELECT doc_id, string_agg('  - ' || math_type || ': ' || n, chr(10) ORDER BY first, math_type) AS types FROM first_seen GROUP BY doc_id)
       SELECT q.doc_id, 'Total formulas detected: ' || total || chr(10) || chr(10) || 'By type:' || chr(10) || types || chr(10) || chr(10) || 'Confidence levels:' || chr(10) || '  - High (≥0.8): ' || high
