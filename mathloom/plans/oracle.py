@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from mathloom.functions import vocab
-from mathloom.operators.detect import PATTERNS
-
+from mathloom.plans import oracle_parse as P
+
+# What detection looks for, and the marks of a likely formula.
+PATTERNS = (
+    ("display", r"(?s)\$\$(.+?)\$\$"),
+    ("display", r"(?s)\\\[(.+?)\\\]"),
+    ("equation", r"(?s)\\begin\{equation\}(.+?)\\end\{equation\}"),
+    ("equation", r"(?s)\\begin\{equation\*\}(.+?)\\end\{equation\*\}"),
+    ("align", r"(?s)\\begin\{align\}(.+?)\\end\{align\}"),
+    ("align", r"(?s)\\begin\{align\*\}(.+?)\\end\{align\*\}"),
+    ("matrix", r"(?s)\\begin\{[pvbBV]?matrix\}(.+?)\\end\{[pvbBV]?matrix\}"),
+    ("inline", r"\$([^\$\n]+)\$"),
+    ("inline", r"(?s)\\\((.+?)\\\)"),
+)
+MARKS = ("+", "-", "=", "<", ">", "\\", "{", "}", "^", "_", "frac", "sqrt", "sum", "int", "prod", "alpha", "beta")
+RECOGNISED = (
+    ("sqrt", r"\sqrt"), ("sum", r"\sum"), ("int", r"\int"), ("alpha", r"\alpha"), ("beta", r"\beta"), ("gamma", r"\gamma"), ("pi", r"\pi"),
+    ("+-", r"\pm"), (">=", r"\geq"), ("<=", r"\leq"), ("!=", r"\neq"), ("infinity", r"\infty"),
+)
 # White space as Unicode knows it, in the syntax of RE2.
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -18,7 +34,7 @@ def _strip(x: str) -> str:
 
 
 def _marks(x: str) -> str:
-    return " + ".join(f"contains({x}, {_quoted(m)})::INT" for m in vocab.MATH_MARKS)
+    return " + ".join(f"contains({x}, {_quoted(m)})::INT" for m in MARKS)
 
 
 def _confidence(x: str) -> str:
@@ -93,15 +109,11 @@ def _normal(x: str, aggressive: bool, preserve: bool = False) -> str:
 _LEXER = r"\\(?:begin|end)\{\w+\*?\}|\\[a-zA-Z]+|(?s:\\[^a-zA-Z])|[{}_^]|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\p{L}|[+\-*/=<>]|[()\[\]]|\s+|(?s:.)"
 
 
-def _list(words) -> str:
-    return "(" + ", ".join(_quoted(w) for w in sorted(words)) + ")"
-
-
 _KIND = f"""CASE
   WHEN length(token) > 1 AND token[1] = '\\' THEN CASE
-    WHEN substring(token, 2) IN {_list(vocab.GREEK)} THEN 'symbol'
-    WHEN substring(token, 2) IN {_list(vocab.FUNCTIONS)} THEN 'operator'
-    WHEN substring(token, 2) IN {_list(vocab.SPACING)} THEN 'spacing'
+    WHEN substring(token, 2) IN {P.words(P.GREEK)} THEN 'symbol'
+    WHEN substring(token, 2) IN {P.words(P.FUNCTIONS)} THEN 'operator'
+    WHEN substring(token, 2) IN {P.words(P.SPACES)} THEN 'spacing'
     WHEN regexp_matches(substring(token, 2), '^(begin|end)(\\{{|$)') THEN 'environment' ELSE 'command' END
   WHEN token IN ('{{', '}}') THEN 'group' WHEN token = '_' THEN 'subscript' WHEN token = '^' THEN 'superscript'
   WHEN regexp_matches(token, '^\\d') THEN 'number' WHEN regexp_matches(token, '^\\p{{L}}$') THEN 'variable'
@@ -113,7 +125,7 @@ tokens AS (SELECT formula_id, unnest(tokens) AS token, unnest(range(0, len(token
 
 
 def _mathml(x: str, display: str) -> str:
-    head = f"'<math xmlns=\"{vocab.MATHML_NAMESPACE}\" display=\"' || CASE WHEN {display} THEN 'block' ELSE 'inline' END || '\"'"
+    head = f"'<math xmlns=\"http://www.w3.org/1998/Math/MathML\" display=\"' || CASE WHEN {display} THEN 'block' ELSE 'inline' END || '\"'"
     safe = f"replace(replace(replace(substring({x}, 1, 100), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     return f"""CASE WHEN length({x}) > 10000 OR regexp_matches(substring({x}, 1, 100), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN NULL
       WHEN {_strip(x)} = '' THEN {head} || '/>' || chr(10)
@@ -156,9 +168,9 @@ SQL = {
     "dedup_formulas": f"SELECT hash, min(formula_id) AS first_id, count(*) AS copies FROM (SELECT formula_id, substring(md5({_normal('latex', True)}), 1, 16) AS hash FROM formulas WHERE latex IS NOT NULL) x GROUP BY hash",
     "lexical_tokens": _TOKENS + f"SELECT formula_id, ordinal::INT AS ordinal, token, {_KIND} AS kind FROM tokens",
     "token_type_counts": _TOKENS + f"SELECT {_KIND} AS kind, count(*) AS n FROM tokens GROUP BY 1",
-    "greek_usage": _TOKENS + f"SELECT substring(token, 2) AS letter, count(*) AS n, count(DISTINCT formula_id) AS formulas FROM tokens WHERE token[1] = '\\' AND substring(token, 2) IN {_list(vocab.GREEK)} GROUP BY 1",
+    "greek_usage": _TOKENS + f"SELECT substring(token, 2) AS letter, count(*) AS n, count(DISTINCT formula_id) AS formulas FROM tokens WHERE token[1] = '\\' AND substring(token, 2) IN {P.words(P.GREEK)} GROUP BY 1",
     "unknown_commands": _TOKENS + f"""SELECT substring(token, 2) AS command, count(DISTINCT formula_id) AS formulas FROM tokens
-      WHERE regexp_matches(token, '^\\\\[a-zA-Z]+$') AND substring(token, 2) NOT IN {_list(vocab.KNOWN_COMMANDS)} AND substring(token, 2, 4) <> 'text' GROUP BY 1""",
+      WHERE regexp_matches(token, '^\\\\[a-zA-Z]+$') AND substring(token, 2) NOT IN {P.words(" ".join((P.GREEK, P.FUNCTIONS, P.FONTS, P.ACCENTS, P.SPACES, P.OTHERS)))} AND substring(token, 2, 4) <> 'text' GROUP BY 1""",
     "brace_balance": r"""WITH braces AS (SELECT formula_id, regexp_extract_all(regexp_replace(latex, '(?s)\\.', '', 'g'), '[{}]') AS b FROM formulas WHERE latex IS NOT NULL),
       steps AS (SELECT formula_id, unnest(b) AS brace, unnest(range(1, len(b) + 1)) AS k FROM braces),
       sums AS (SELECT formula_id, sum(CASE WHEN brace = '{' THEN 1 ELSE -1 END) OVER (PARTITION BY formula_id ORDER BY k) AS level FROM steps),
@@ -209,7 +221,7 @@ SQL = {
 
 def _ocr(x: str) -> str:
     out = _strip(x)
-    for old, new in vocab.OCR_REPLACEMENTS:
+    for old, new in RECOGNISED:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
     return out
 
@@ -242,3 +254,30 @@ SQL["p3_found"] = f"""WITH RECURSIVE walk AS (
   ) d WHERE json_type(v) IN ('OBJECT', 'ARRAY')
 )
 SELECT DISTINCT content_id, path AS object_path, parent AS parent_path FROM walk WHERE is_item"""
+_WALK = SQL["p3_found"].rpartition("SELECT DISTINCT")[0] + """, items AS (SELECT DISTINCT content_id, path AS object_path, parent AS parent_path, regexp_extract(path, '([^/]*)/[0-9]+$', 1) AS tag, v FROM walk WHERE is_item)
+"""
+SQL["p3_counts"] = _WALK + """SELECT CASE WHEN tag IN ('formulas', 'chemical_formulas', 'code_blocks', 'diagrams', 'alternatives', 'boxes', 'refs', 'series', 'points', 'outputs', 'frames', 'revisions') THEN tag ELSE 'others' END AS tag,
+  count(*) AS n, count(*) FILTER (WHERE parent_path = '') AS roots, count(DISTINCT content_id) AS records FROM items GROUP BY 1"""
+_HELD = "CASE WHEN json_type(v->'metadata') = 'VARCHAR' AND json_valid(v->>'metadata') THEN (v->>'metadata')::JSON ELSE v->'metadata' END"
+SQL["p3_formulas"] = _WALK + f"""SELECT content_id, object_path, parent_path, v->>'latex' AS latex, v->>'type' AS type, TRY_CAST(v->>'confidence' AS DOUBLE) AS confidence, TRY_CAST(v->>'page_number' AS INT) AS page_number,
+  v->>'mathml' AS mathml, m->>'engine' AS engine, m->'context'->>'section' AS section FROM (SELECT *, {_HELD} AS m FROM items WHERE tag = 'formulas') x"""
+SQL["p3_alternatives"] = _WALK + "SELECT content_id, object_path, parent_path, v->>'latex' AS latex, TRY_CAST(v->>'score' AS DOUBLE) AS score FROM items WHERE tag = 'alternatives'"
+SQL["plot_points"] = """SELECT diagram_id, count(*)::INT AS points, min(y) AS lowest, max(y) AS highest FROM (
+  SELECT diagram_id, a * pow(CASE WHEN i = 999 THEN 10.0::DOUBLE ELSE -10.0::DOUBLE + i * (20.0::DOUBLE / 999.0::DOUBLE) END, p) + c AS y FROM (
+    SELECT diagram_id, regexp_extract(content, '^y = (\\d+)\\*x', 1)::DOUBLE AS a, regexp_extract(content, 'x\\^(\\d+) ', 1)::DOUBLE AS p, replace(regexp_extract(content, '([+-] \\d+)$', 1), ' ', '')::DOUBLE AS c
+    FROM diagrams WHERE regexp_matches(content, '^y = \\d+\\*x\\^\\d+ [+-] \\d+$')) f, range(0, 1000) r(i)) y GROUP BY diagram_id"""
+#: The grammar over the formulas of documents instead of the table.
+_FOUND = DETECTED.replace("WITH", "WITH RECURSIVE", 1).rstrip() + ", " + P.FINDINGS.partition("WITH RECURSIVE")[2].replace("FROM formulas WHERE latex IS NOT NULL", "FROM detected")
+_WRONG = ", wrong AS (SELECT latex, list({'type': type, 'message': message, 'position': position::INT, 'token_index': token_index::INT} ORDER BY CASE WHEN type = 'unmatched_brace' THEN 0 WHEN type = 'unmatched_delimiter' THEN 2 ELSE 4 END + CASE WHEN message LIKE 'Unmatched opening%' OR message LIKE '%left' OR type = 'unclosed_environment' THEN 1 ELSE 0 END, token_index) AS errors FROM findings WHERE level = 'error' GROUP BY latex)"
+SQL["parse_warnings"] = _FOUND + _WRONG + "SELECT d.doc_id, 'parse_warning' AS type, d.latex AS formula, len(w.errors)::INT AS errors FROM detected d JOIN wrong w ON d.latex = w.latex UNION ALL SELECT doc_id, 'mathml_conversion', latex, 0 FROM detected WHERE length(latex) > 10000"
+SQL["export_json"] = _FOUND + _WRONG + f""", warned AS (SELECT d.doc_id, list({{'type': 'parse_warning', 'formula': d.latex, 'errors': w.errors}} ORDER BY d.start, d.k) AS warnings FROM (SELECT *, row_number() OVER () AS k FROM detected) d JOIN wrong w ON d.latex = w.latex GROUP BY d.doc_id),
+  listed AS (SELECT doc_id, count(*) AS n, list({{'latex': latex, 'type': math_type, 'position': [0, start * 10, 100, 20], 'page_number': 1, 'confidence': confidence, 'mathml': {_mathml("latex", "FALSE")}, 'rendered_image': NULL::VARCHAR, 'metadata': MAP {{}}::MAP(VARCHAR, VARCHAR)}} ORDER BY start) AS formulas FROM detected GROUP BY doc_id),
+  kinds AS (SELECT doc_id, map(list(math_type ORDER BY first, math_type), list(n ORDER BY first, math_type)) AS kinds FROM (SELECT doc_id, math_type, count(*) AS n, min(start) AS first FROM detected GROUP BY doc_id, math_type) x GROUP BY doc_id)
+  SELECT d.doc_id, to_json({{'content': {{'formulas': coalesce(l.formulas, []), 'chemical_formulas': []::VARCHAR[], 'code_blocks': []::VARCHAR[], 'diagrams': []::VARCHAR[], 'metadata': MAP {{}}::MAP(VARCHAR, VARCHAR),
+    'statistics': {{'total_formulas': coalesce(l.n, 0), 'total_chemical_formulas': 0, 'total_code_blocks': 0, 'total_diagrams': 0, 'formula_types': coalesce(k.kinds, MAP {{}}::MAP(VARCHAR, BIGINT))}}}},
+    'source_file': d.source, 'processing_time': NULL::DOUBLE, 'errors': []::VARCHAR[], 'warnings': coalesce(w.warnings, []), 'success': TRUE}})::VARCHAR AS document
+  FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN kinds k ON d.doc_id = k.doc_id LEFT JOIN warned w ON d.doc_id = w.doc_id"""
+SQL["isolated_failures"] = DETECTED + """SELECT d.doc_id, coalesce(f.bad, 0) = 0 AND NOT coalesce(contains(d.text, 'lemma'), FALSE) AS success,
+    CASE WHEN coalesce(contains(d.text, 'lemma'), FALSE) THEN 'general' WHEN coalesce(f.bad, 0) > 0 THEN 'formula_extraction' END AS error_type,
+    CASE WHEN coalesce(contains(d.text, 'lemma'), FALSE) THEN 1 ELSE coalesce(f.bad, 0) END::INT AS errors, CASE WHEN coalesce(contains(d.text, 'lemma'), FALSE) THEN 0 ELSE coalesce(f.good, 0) END::INT AS total_formulas
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE contains(latex, 'frac')) AS bad, count(*) FILTER (WHERE NOT contains(latex, 'frac')) AS good FROM detected GROUP BY doc_id) f ON d.doc_id = f.doc_id"""

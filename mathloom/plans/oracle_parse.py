@@ -23,13 +23,13 @@ def words(text: str) -> str:
 
 _LEXER = r"\\(?:begin|end)\{\w+\*?\}|\\[a-zA-Z]+|(?s:\\[^a-zA-Z])|[{}_^]|\p{Nd}+(?:\.\p{Nd}+)?(?:[eE][+-]?\p{Nd}+)?|[+\-*/=<>]|[()\[\]]|" + _SPACE + r"+|(?s:.)"
 #: tokens (latex, k, value, position, type, subtype, side, env) of each distinct formula; k counts from 1.
-TOKENS = rf"""WITH RECURSIVE lexed AS (SELECT latex, regexp_extract_all(latex, '{_LEXER}') AS t FROM (SELECT DISTINCT latex FROM formulas WHERE latex IS NOT NULL) x),
+TOKENS = rf"""WITH RECURSIVE lexed AS MATERIALIZED (SELECT latex, regexp_extract_all(latex, '{_LEXER}') AS t FROM (SELECT DISTINCT latex FROM formulas WHERE latex IS NOT NULL) x),
 placed AS (SELECT latex, unnest(t) AS value, unnest(range(1, len(t) + 1)) AS k, unnest(list_transform(range(0, len(t)), lambda i: length(array_to_string(t[1:i], '')))) AS position FROM lexed),
 kept AS (
   SELECT latex, value, position, row_number() OVER (PARTITION BY latex ORDER BY k) AS k, substring(value, 2) AS name, value[1] = '\' AND length(value) > 1 AS named
   FROM (SELECT *, lead(value) OVER (PARTITION BY latex ORDER BY k) AS next FROM placed) x
   WHERE NOT (value = '.' AND regexp_matches(coalesce(next, ''), '^\p{{Nd}}')) AND NOT regexp_matches(value, '^[²³¹⁰⁴-⁹₀-₉]$')),
-tokens AS (
+tokens AS MATERIALIZED (
   SELECT latex, k, value, position, CASE
       WHEN named THEN CASE WHEN name IN {words(GREEK)} THEN 'symbol' WHEN name IN {words(FUNCTIONS)} THEN 'operator' WHEN name IN {words(FONTS)} OR name IN {words(ACCENTS)} THEN 'command'
         WHEN name IN {words(SPACES)} THEN 'spacing' WHEN regexp_matches(name, '^(begin|end)(\{{|$)') THEN 'environment' ELSE 'command' END

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -327,6 +328,26 @@ def parse_warnings(spark: SparkSession, sf: str) -> DataFrame:
     return _results(spark, sf).select("doc_id", F.inline("warnings")).select("doc_id", "type", "formula", F.size("errors").alias("errors"))
 
 
+def _failing_find(text: str, semantics: str) -> list[tuple]:
+    if "lemma" in text:
+        raise ValueError("planted")
+    return D.find(text, semantics)
+
+
+def _failing_parse(latex: str) -> list[dict]:
+    if "frac" in latex:
+        raise ValueError("planted")
+    return pipeline.errors_of(latex)
+
+
+@query
+def isolated_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Results where detection fails for some documents and the parse for some formulas: the others go on."""
+    steps = pipeline.Steps(find=_failing_find, errors_of=_failing_parse)
+    done = pipeline.process(table(spark, sf, "documents"), steps=steps)
+    return done.select("doc_id", "success", F.get("errors.type", F.lit(0)).alias("error_type"), F.size("errors").alias("errors"), "statistics.total_formulas")
+
+
 def _export(format: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return export.exported(_results(spark, sf), format)
@@ -433,6 +454,29 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.object_links(table(spark, sf, "stem_content"))
 
 
+@query
+def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each flat table, those without a parent and the records they come from."""
+    folder = flatten.write_tables(table(spark, sf, "stem_content"))
+    rows = [flatten.read_table(spark, folder, tag).select(F.lit(tag).alias("tag"), "content_id", "parent_path") for tag in flatten.TABLE_SCHEMAS]
+    rows.append(flatten.read_others(spark, folder).select(F.lit("others").alias("tag"), "content_id", "parent_path"))
+    return reduce(DataFrame.unionByName, rows).groupBy("tag").agg(F.count("*").alias("n"), F.count_if(F.col("parent_path") == "").alias("roots"), F.count_distinct("content_id").alias("records"))
+
+
+@query
+def p3_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of formulas, fields of the objects in them included."""
+    folder = flatten.write_tables(table(spark, sf, "stem_content"))
+    return flatten.read_table(spark, folder, "formulas").select("content_id", "object_path", "parent_path", "latex", "type", "confidence", "page_number", "mathml", "engine", "section")
+
+
+@query
+def p3_alternatives(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of alternatives, which lie below formulas."""
+    folder = flatten.write_tables(table(spark, sf, "stem_content"))
+    return flatten.read_table(spark, folder, "alternatives").select("content_id", "object_path", "parent_path", "latex", "score")
+
+
 @query
 def p3_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The flat tables written by tag and read with their schemas: rows, parents and filled columns of each, ``rest`` being one; and those of items without a schema, if any."""
