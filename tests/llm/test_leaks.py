@@ -2,6 +2,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from mathloom.llm import leaks as K
 
@@ -47,6 +49,22 @@ def test_offsets():
     assert twice.matches("a b a b") == [(1, 0, 7, 4)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text("abc", max_size=40), max_size=4), st.text("abcz", max_size=90), st.integers(1, 12))
+def test_passages_are_the_maximal_ones(items, text, n):
+    """Letters stand for words; passages are runs of places where any part of the item of ``n`` words begins."""
+    doc = " ".join(text)
+    want = set()
+    for item, run in enumerate(items):
+        begins = [k for k in range(len(text) - n + 1) if text[k : k + n] in run]
+        for k in begins:
+            if k - 1 not in begins:
+                end = next(j for j in range(k, len(text) + 1) if j not in begins) + n - 1
+                want.add((item, 2 * k, 2 * end - 1, end - k))
+    got = K.Passages([(i, " ".join(x)) for i, x in enumerate(items)], n).matches(doc)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_long_and_empty(spark):
     item = " ".join(f"w{i}" for i in range(12))
     d = spark.createDataFrame([(1, "x " * 300_000 + item + " y" * 300_000), (1, item)], "doc_id bigint, text string")
