@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from mathloom.runtime import cut, spread
 #: Most rated documents of either kind in the sample, taken by the hash of their ids.
 MOST_TOXIC, MOST_CLEAN = 8_000, 40_000
 #: Windows of clean documents that are learned from, the worst and as many others.
-HARD = 6_000
+HARD = 5_000
 BITS, LENGTHS, WINDOW, FOLDS, TURNS = 20, (2, 3, 4, 5), 48, 4, 3
 #: Weight of the class-wide rate in a log-count ratio.
 PRIOR = 4.0
@@ -62,7 +63,7 @@ _may_repeat = re.compile(r"(.)\1\1")
 
 def _unleet(match) -> str:
     core = match[0].rstrip("!?.,;:")
-    if 2 * sum(c.isalpha() for c in core) < len(core):
+    if 2 * sum(map(str.isalpha, core)) < len(core):
         return match[0]
     return core.translate(_LEET) + match[0][len(core) :]
 
@@ -191,8 +192,10 @@ def logistic(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray, often: np.nda
     ``rows`` and ``ids`` are the features of each example, in order; ``often`` is how often an example stands
     in the sample.  Only features that occur are carried.
     """
-    known, ids = np.unique(ids, return_inverse=True)
-    scale = ratios[known]
+    known = np.flatnonzero(np.bincount(ids, minlength=2**BITS))
+    place = np.zeros(2**BITS, np.int32)
+    place[known] = np.arange(len(known))
+    ids, scale = place[ids], ratios[known]
     starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
     kept = rows[starts]
     y, often = toxic[kept].astype(np.float32), often[kept].astype(np.float32)
@@ -212,7 +215,7 @@ def logistic(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray, often: np.nda
     return weights
 
 
-def learned(windows: list[str], toxic: list[bool]) -> np.ndarray | None:
+def learned(windows: list[str], toxic: list[bool], steps: int = 80) -> np.ndarray | None:
     """Weights from windows and their ratings, or None without a toxic one; equal examples are taken together."""
     counted: dict[tuple[str, bool], int] = {}
     for w, y in zip(windows, toxic, strict=True):
@@ -225,7 +228,7 @@ def learned(windows: list[str], toxic: list[bool]) -> np.ndarray | None:
     rows, ids = Texts([w for w, _ in examples]).features()
     counts = [np.bincount(ids[mine[rows]], often[rows[mine[rows]]], 2**BITS) for mine in (y, ~y)]
     rate = float(often[y].sum() / often.sum())
-    return logistic(rows, ids, y, often, log_count_ratios(*counts, rate))
+    return logistic(rows, ids, y, often, log_count_ratios(*counts, rate), steps)
 
 
 def level_of(scores: np.ndarray, toxic: np.ndarray) -> float:
@@ -354,7 +357,7 @@ def _learn(windows: DataFrame, first: bool, parts: int) -> list[np.ndarray] | No
         toxic, score, window, other = _columns(group)
         weights = None
         if toxic.any() and not toxic.all():
-            weights = learned(*examples(toxic, score, window, other, _stands_out(score, toxic) if first else score + BIAS > 0))
+            weights = learned(*examples(toxic, score, window, other, _stands_out(score, toxic) if first else score + BIAS > 0), 80 if parts > 1 else 40)
         rows = [] if weights is None else [weights.tobytes()]
         return pa.table({"part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "weights": pa.array(rows, pa.binary())})
 
@@ -365,12 +368,23 @@ def _learn(windows: DataFrame, first: bool, parts: int) -> list[np.ndarray] | No
     return [by.get(p, by[0]) for p in range(parts)] if 0 in by else None
 
 
-def _level(windows: DataFrame) -> float:
+def _level(sample: DataFrame, weights: list[np.ndarray]) -> float:
+    """The middle between the level on held-out scores and that on the scores of the final weights.
+
+    The first knows what is not learned by heart, the second has the scale of the scores that it is used on.
+    """
+    held, own = _windows(sample, np.stack(weights[1:])), _windows(sample, np.stack(weights[:1]))
+    both = held.select(F.lit(0).alias("part"), "doc_id", "y", "score").unionByName(own.select(F.lit(1).alias("part"), "doc_id", "y", "score"))
+
     def run(batches: Batches) -> Batches:
-        toxic, score, _, _ = _columns(pa.Table.from_batches(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([level_of(score + BIAS, toxic)])], names=["level"])
+        table = pa.Table.from_batches(batches)
+        levels = []
+        for part in (0, 1):
+            rows = table.filter(pc.equal(table["part"], part)).sort_by("doc_id")
+            levels.append(level_of(np.array(rows["score"].to_pylist()) + BIAS, np.array(rows["y"].to_pylist(), bool)))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(levels) / 2])], names=["level"])
 
-    return windows.repartition(1).mapInArrow(run, "level double").first().level
+    return both.repartition(1).mapInArrow(run, "level double").first().level
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -385,7 +399,7 @@ def fitted(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]
     if weights is None:
         return None
     # Even folds are scored by what odd ones taught, odd ones by what even ones did.
-    return weights[0], _level(_windows(sample, np.stack(weights[1:])))
+    return weights[0], _level(sample, weights)
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
