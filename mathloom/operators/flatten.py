@@ -301,14 +301,18 @@ def write_tables(records: DataFrame, folder: str | None = None, key: str = "cont
     return folder
 
 
+def _typed(spark: SparkSession, folder: str, tag: str) -> DataFrame:
+    rows = _read(spark, folder, tag).select("content_id", "object_path", "parent_path", F.from_json("body", TABLE_SCHEMAS[tag]).alias("b"), "rest")
+    return rows.select("content_id", "object_path", "parent_path", "b.*", "rest")
+
+
 def read_table(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     """The flat table of one tag, read by partition and with its schema.
 
     Columns: content_id, object_path, parent_path, those of ``TABLE_SCHEMAS`` and ``rest``, the
     fields beyond the schema as a JSON object, or NULL; of repeated deliveries each row comes once.
     """
-    rows = _read(spark, folder, tag)
-    return rows.select("content_id", "object_path", "parent_path", F.from_json("body", TABLE_SCHEMAS[tag]).alias("b"), "rest").select("content_id", "object_path", "parent_path", "b.*", "rest").distinct()
+    return _typed(spark, folder, tag).distinct()
 
 
 def read_others(spark: SparkSession, folder: str) -> DataFrame:
@@ -319,5 +323,6 @@ def read_others(spark: SparkSession, folder: str) -> DataFrame:
 def object_links(records: DataFrame, key: str = "content_id", payload: str = "payload") -> DataFrame:
     """One row per list item: record, its path and its parent's path, each once; read from the tables, which are written first."""
     spark, folder = records.sparkSession, write_tables(records, None, key, payload)
-    tables = [read_table(spark, folder, tag) for tag in sorted(TABLE_SCHEMAS)] + [read_others(spark, folder)]
+    # Repeated rows go once, in the end, when only the links are left of them.
+    tables = [_typed(spark, folder, tag) for tag in sorted(TABLE_SCHEMAS)] + [_read(spark, folder, _OTHERS)]
     return reduce(DataFrame.unionByName, (t.select("content_id", "object_path", "parent_path") for t in tables)).distinct()
