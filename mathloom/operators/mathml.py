@@ -288,9 +288,9 @@ def error_document(latex: str, display: bool = False) -> str:
     return serialise(_math([Element("merror", [Element("mtext", f"Failed to convert: {_illegal.sub('', latex[:100])}...")])], display))
 
 
-def convert(latex: str, display: bool = False, optimize: bool = True, symbols: dict | None = None) -> str | None:
-    """MathML of ``latex``; ``symbols`` replaces the built-in table."""
-    if len(latex) > vocab.MATHML_INPUT_LIMIT:
+def convert(latex: str, display: bool = False, optimize: bool = True, symbols: dict | None = None, limit: int | None = vocab.MATHML_INPUT_LIMIT) -> str | None:
+    """MathML of ``latex``, or None beyond ``limit`` characters, if there is a limit; ``symbols`` replaces the built-in table."""
+    if limit is not None and len(latex) > limit:
         return None
     try:
         clean = _illegal.sub("", latex)
@@ -392,14 +392,17 @@ def _function(function, result: pa.DataType, sql: str):
     return F.arrow_udf(run, sql)
 
 
-def to_mathml(formulas: DataFrame, semantics: str = "reference", latex: str = "latex", display: Column | None = None, optimize: bool = True, symbols: dict | None = None) -> DataFrame:
-    """``formulas`` with a column ``mathml``; ``display`` says which are set apart, by default none."""
+def to_mathml(formulas: DataFrame, semantics: str = "reference", latex: str = "latex", display: Column | None = None, optimize: bool = True, symbols: dict | None = None, limit: int | None = vocab.MATHML_INPUT_LIMIT) -> DataFrame:
+    """``formulas`` with a column ``mathml``; ``display`` says which are set apart, by default none.
+
+    Formulas of more than ``limit`` characters give NULL; as meant, the limit may be None.
+    """
     block = F.lit(False) if display is None else F.coalesce(display, F.lit(False))
     if semantics == "reference":
         return formulas.withColumn("mathml", reference_mathml(F.col(latex), block))
     if semantics != "intended":
         raise ValueError(f"unknown semantics: {semantics}")
-    done = _function(lambda x: convert(x, False, optimize, symbols), pa.string(), "string")(F.col(latex))
+    done = _function(lambda x: convert(x, False, optimize, symbols, limit), pa.string(), "string")(F.col(latex))
     rows = spread(formulas.drop("mathml")).withColumn("mathml", done)
     # Only the root element tells the modes apart.
     return rows.withColumn("mathml", F.when(block, F.regexp_replace("mathml", '^(<math [^>]*display=")inline"', '$1block"')).otherwise(F.col("mathml")))

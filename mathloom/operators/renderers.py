@@ -22,8 +22,54 @@ def error_message(output: str) -> str:
     return " ".join(told[:3]) or " ".join(filled[-3:]) or "Unknown error"
 
 
+def svg_to_png(svg: str, config: RenderConfig) -> bytes:
+    """An SVG as PNG by whichever of two libraries is there."""
+    try:
+        import cairosvg
+    except ImportError:
+        try:
+            from reportlab.graphics import renderPM
+            from svglib.svglib import svg2rlg
+        except ImportError:
+            raise RuntimeError("No SVG converter available") from None
+        return renderPM.drawToString(svg2rlg(io.BytesIO(svg.encode())), fmt="PNG", dpi=config.dpi)
+    return cairosvg.svg2png(bytestring=svg.encode(), dpi=config.dpi, output_width=config.max_width, output_height=config.max_height)
+
+
+#: Programs that turn a page into PNG, in the order they are tried: name and arguments between input and output.
+_PAGES = (
+    ("pdftoppm", lambda dpi, source, target: ["-png", "-singlefile", "-r", str(dpi), source, target.removesuffix(".png")]),
+    ("convert", lambda dpi, source, target: ["-density", str(dpi), source, target]),
+    ("gs", lambda dpi, source, target: ["-q", "-dSAFER", "-dBATCH", "-dNOPAUSE", "-sDEVICE=png16m", f"-r{dpi}", f"-sOutputFile={target}", source]),
+)
+
+
+def pdf_to_png(pdf: bytes, config: RenderConfig) -> bytes:
+    """The first page of a PDF as PNG by whichever program is there."""
+    for program, arguments in _PAGES:
+        if shutil.which(program):
+            with tempfile.TemporaryDirectory() as folder:
+                source, target = Path(folder, "page.pdf"), Path(folder, "page.png")
+                source.write_bytes(pdf)
+                subprocess.run([program, *arguments(config.dpi, str(source), str(target))], capture_output=True, timeout=config.timeout)
+                if target.exists():
+                    return target.read_bytes()
+    raise RuntimeError("No PDF converter available")
+
+
+def _with_image(result: dict, config: RenderConfig) -> dict:
+    """A result with a PNG, where that is asked for and can be made; else as it is."""
+    if config.output_format != "png":
+        return result
+    try:
+        image = pdf_to_png(result["pdf"], config) if "pdf" in result else svg_to_png(result["svg"], config)
+    except (RuntimeError, OSError, subprocess.SubprocessError):
+        return result
+    return result | {"image": image}
+
+
 class Pdflatex:
-    """A formula as PDF, compiled by pdflatex in a folder of its own."""
+    """A formula as PDF, compiled by pdflatex in a folder of its own, and as PNG where a program for that is there."""
 
     name = "pdflatex"
     #: Fixed packages and page of the document around a formula.
@@ -44,7 +90,7 @@ class Pdflatex:
             result = source.with_suffix(".pdf")
             if done.returncode or not result.exists():
                 return {"error": error_message(done.stdout)}
-            return {"pdf": result.read_bytes()}
+            return _with_image({"pdf": result.read_bytes()}, config)
 
 
 class Matplotlib:
@@ -70,8 +116,28 @@ class Matplotlib:
         return {"svg": out.getvalue().decode()} if kind == "svg" else {"image": out.getvalue()}
 
 
+class Sympy:
+    """A formula as PNG by SymPy's preview, which uses an installed LaTeX."""
+
+    name = "sympy"
+
+    def is_available(self) -> bool:
+        try:
+            import sympy  # noqa: F401
+        except ImportError:
+            return False
+        return shutil.which("latex") is not None and shutil.which("dvipng") is not None
+
+    def render(self, latex: str, config: RenderConfig) -> dict:
+        from sympy import preview
+
+        out = io.BytesIO()
+        preview(f"$\\displaystyle {latex}$", viewer="BytesIO", outputbuffer=out, output="png", dvioptions=["-D", str(config.dpi)])
+        return {"image": out.getvalue()}
+
+
 class NodeMathML:
-    """MathML as SVG by a typesetting package of Node."""
+    """MathML as SVG by a typesetting package of Node, and as PNG where a library for that is there."""
 
     name = "node"
     script = (
@@ -86,7 +152,7 @@ class NodeMathML:
 
     def render(self, mathml: str, config: RenderConfig) -> dict:
         done = subprocess.run(["node", "-e", self.script], input=mathml, capture_output=True, text=True, timeout=config.timeout)
-        return {"error": done.stderr.strip() or "Unknown error"} if done.returncode else {"svg": done.stdout}
+        return {"error": done.stderr.strip() or "Unknown error"} if done.returncode else _with_image({"svg": done.stdout}, config)
 
 
 class Molecule:
@@ -115,4 +181,4 @@ class Molecule:
 
 
 #: Renderers of LaTeX in the order they are tried.
-LATEX = (Pdflatex(), Matplotlib())
+LATEX = (Pdflatex(), Sympy(), Matplotlib())

@@ -57,6 +57,7 @@ def test_matrix():
 def test_display_and_limits():
     assert 'display="block"' in M.convert("x", display=True)
     assert M.convert("x" * 10_001) is None and M.convert("x" * 10_000) is not None
+    assert M.convert("x" * 10_001, limit=None).count("<mi>") == 10_001
     assert M.convert("a\x01b").count("<mi>") == 2
 
 

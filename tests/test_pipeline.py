@@ -26,6 +26,28 @@ def test_process(docs):
     assert pipeline.process(long).first().warnings[0].type == "mathml_conversion"
 
 
+def failing(part, inside):
+    def run(value, *rest):
+        if part in value:
+            raise ValueError(f"no {part}")
+        return inside(value, *rest)
+
+    return run
+
+
+def test_failures_stay_with_their_document(spark):
+    df = spark.createDataFrame([(1, "$a$ $b$ $c$"), (2, "$b$ boom"), (3, None), (4, "$d{$")], "doc_id int, text string")
+    steps = pipeline.Steps(find=failing("boom", detect.find), errors_of=failing("b", pipeline.errors_of), convert=failing("c", pipeline.convert))
+    config = pipeline.ProcessConfig(semantics="intended", timed=True)
+    got = {r.doc_id: r for r in pipeline.process(df, config, steps=steps).collect()}
+    assert [f.latex for f in got[1].formulas] == ["a", "c"] and [tuple(e) for e in got[1].errors] == [("formula_extraction", "no b")] and not got[1].success
+    assert got[1].formulas[0].mathml and got[1].formulas[1].mathml is None
+    assert [(w.type, w.formula, w.errors[0].message) for w in got[1].warnings] == [("mathml_conversion", "c", "no c")]
+    assert got[2].formulas == [] and [tuple(e) for e in got[2].errors] == [("general", "no boom")]
+    assert got[3].success and got[3].errors == [] and got[4].success and got[4].warnings[0].type == "parse_warning"
+    assert all(r.processing_time >= 0 for r in got.values())
+
+
 def test_options(docs):
     off = pipeline.process(docs, pipeline.build_pipeline(extract_formulas=False)).where("doc_id = 1").first()
     assert off.formulas == []

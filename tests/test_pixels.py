@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +106,33 @@ def test_plots(spark):
     assert 'points="0.00,600.00 800.00,0.00"' in row.f and "<title>a&lt;b</title>" in row.f and row.s.count("<circle") == 2 and row.b is None and row.n is None and row.g == 9
 
 
+def unpacked(png):
+    width, height = struct.unpack(">II", png[16:24])
+    size, kind = struct.unpack(">I4s", png[33:41])
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and kind == b"IDAT"
+    lines = np.frombuffer(zlib.decompress(png[41 : 41 + size]), np.uint8).reshape(height, -1)
+    assert not lines[:, 0].any()
+    return lines[:, 1:].reshape(height, width, -1).squeeze()
+
+
+def test_images_for_services():
+    grey, colour = page(), np.stack([page(), page() // 2, page()], axis=2)
+    assert (unpacked(pixels.png(grey)) == grey).all() and (unpacked(pixels.png(colour)) == colour).all()
+    assert pixels.thumbnail(colour, 40).shape == (30, 40, 3) and pixels.thumbnail(grey, 400) is grey
+    wide = np.full((16, 4096), 200, np.uint8)
+    assert (unpacked(pixels.prepared_png(pixels.encode(wide), images.OCRConfig(max_image_bytes=10))) == 200).all()
+    assert unpacked(pixels.prepared_png(pixels.encode(wide))).shape == (16, 4096) and pixels.prepared_png(b"else") == b"else"
+
+
+def test_vector_field(spark):
+    arrow = F.struct(*(F.lit(v).alias(n) for n, v in (("x", 1.0), ("y", 2.0), ("u", 3.0), ("v", 4.0))))
+    still = F.struct(*(F.lit(0.0).alias(n) for n in "xyuv"))
+    none = F.array().cast("array<struct<x:double,y:double,u:double,v:double>>")
+    row = spark.range(1).select(*(render.svg_vectors(a, F.lit(None).cast("string"), 100, 100, 10).alias(n) for n, a in (("one", F.array(arrow)), ("still", F.array(still)), ("none", none)))).first()
+    # A single arrow begins in the corner and is as long as a cell.
+    assert 'x1="0.00" y1="100.00" x2="6.00" y2="92.00"' in row.one and 'x2="0.00" y2="100.00"' in row.still and row.none is None
+
+
 def test_schemas(spark):
     for name, ddl in schema.SCHEMAS.items():
         assert spark.createDataFrame([], ddl).columns, name
@@ -110,7 +140,7 @@ def test_schemas(spark):
 
 def test_renderers_say_what_is_there(spark):
     there = render.available([*renderers.LATEX, renderers.NodeMathML(), renderers.Molecule()])
-    assert set(there) == {"pdflatex", "matplotlib", "node", "molecule"}
+    assert set(there) == {"pdflatex", "sympy", "matplotlib", "node", "molecule"}
     df = spark.createDataFrame([(1, "x^2")], "id int, latex string")
     row = render.render(df, [*renderers.LATEX]).first()
     assert render.valid(row.asDict()) or (row.error == "No LaTeX renderer available") is not any(there[r.name] for r in renderers.LATEX)
