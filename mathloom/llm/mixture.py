@@ -90,10 +90,16 @@ def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def thresholds(sizes: DataFrame, budgets: dict[str, float], tolerance: float = 1e-4) -> dict[str, int]:
+def _histogram(rows: DataFrame, bits: int) -> DataFrame:
+    """Tokens by source and bucket, a bucket being the ``BITS`` bits of the place after the first ``bits``."""
+    bucket = F.shiftrightunsigned("place", ALL_BITS - bits - BITS).bitwiseAND(2**BITS - 1)
+    return rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("tokens").alias("n"))
+
+
+def thresholds(sizes: DataFrame, budgets: dict[str, float], tolerance: float = 1e-4, first: DataFrame | None = None) -> dict[str, int]:
     """By source, the place under which its documents hold as near to its budget as the tolerance asks.
 
-    A round reads only the documents of the boundary buckets, sums them by source and bucket and
+    ``first`` is the histogram of the first bits, if it is there.  A round reads only the documents of the boundary buckets, sums them by source and bucket and
     finds the next boundary by running sums over the at most 2**BITS buckets of each source;
     one row a source comes to the driver.
     """
@@ -104,9 +110,11 @@ def thresholds(sizes: DataFrame, budgets: dict[str, float], tolerance: float = 1
         if not state:
             break
         asked = _local(sizes.sparkSession, [(s, *x, float(budgets[s])) for s, x in state.items()], "source string, prefix bigint, under bigint, budget double")
-        inside = sizes.join(asked, "source").where(F.shiftrightunsigned("place", ALL_BITS - bits) == F.col("prefix")) if bits else sizes.join(asked, "source")
-        bucket = F.shiftrightunsigned("place", ALL_BITS - bits - BITS).bitwiseAND(2**BITS - 1)
-        histogram = inside.groupBy("source", "under", "budget", bucket.alias("bucket")).agg(F.sum("tokens").alias("n"))
+        if bits:
+            counted = _histogram(sizes.join(asked, "source").where(F.shiftrightunsigned("place", ALL_BITS - bits) == F.col("prefix")), bits)
+        else:
+            counted = _histogram(sizes, 0) if first is None else first
+        histogram = counted.join(asked, "source")
         upto = F.col("under") + F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         beyond = F.when(F.col("upto") > F.col("budget"), F.struct("bucket", (F.col("upto") - F.col("n")).alias("under"), "n"))
         found = {r.source: r.b for r in histogram.withColumn("upto", upto).groupBy("source").agg(F.min(beyond).alias("b")).collect()}
@@ -142,7 +150,9 @@ def plan(sizes: DataFrame, targets: list[tuple[str, float, int]], total: float |
     if not wanted:
         return {}
     named = _local(sizes.sparkSession, [(s,) for s in wanted], "source string")
-    held = {r.source: r.n for r in sizes.join(named, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    # The first histogram, of 2**BITS rows a source at most, also tells what each source holds.
+    first = cut(_histogram(sizes.join(named, "source", "left_semi"), 0))
+    held = {r.source: r.n for r in first.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     usable = {s: x for s, x in wanted.items() if held.get(s) and x[1] > 0}
     shares = sum(x[0] for x in usable.values())
     largest = min((most * held[s] / (share / shares) for s, (share, most) in usable.items()), default=0)
@@ -152,7 +162,7 @@ def plan(sizes: DataFrame, targets: list[tuple[str, float, int]], total: float |
         # The least of max_repeats times what is there may come out a hair above it.
         r["copies"] = min(int(r["budget"] // r["available_tokens"]), r["max_repeats"]) if r["budget"] else 0
     rest = {s: r["budget"] - r["copies"] * r["available_tokens"] if r["copies"] < r["max_repeats"] else 0.0 for s, r in result.items()}
-    for source, threshold in thresholds(sizes, rest, tolerance).items():
+    for source, threshold in thresholds(sizes, rest, tolerance, first).items():
         result[source]["threshold"] = threshold
     return result
 
