@@ -8,7 +8,7 @@ feature.
 Ratings hold for whole documents and some are wrong.  So the ratios of one part of the sample,
 counted on the other parts, pick the most suspicious window of each of its documents: a
 document rated toxic is a positive example only if its window stands out from those of the
-documents rated clean.  In further rounds the classifier itself picks the windows: those of
+documents rated clean.  In the second round the classifier itself picks the windows: those of
 documents rated toxic that it finds toxic, and as hard negative examples the worst windows of the
 documents rated clean.
 
@@ -43,7 +43,7 @@ from mathloom.runtime import cut, spread
 MOST_TOXIC, MOST_CLEAN = 8_000, 40_000
 #: Windows of clean documents that are learned from, the worst and as many others.
 HARD = 5_000
-BITS, LENGTHS, WINDOW, FOLDS, TURNS = 20, (2, 3, 4, 5), 48, 4, 3
+BITS, LENGTHS, WINDOW, FOLDS, TURNS = 20, (2, 3, 4, 5), 48, 4, 2
 #: Weight of the class-wide rate in a log-count ratio.
 PRIOR = 4.0
 #: Logit of a window that shows nothing; it is not learned, so that short texts, which show little,
@@ -369,9 +369,10 @@ def _learn(windows: DataFrame, first: bool, parts: int) -> list[np.ndarray] | No
 
 
 def _level(sample: DataFrame, weights: list[np.ndarray]) -> float:
-    """The middle between the level on held-out scores and that on the scores of the final weights.
+    """The lower of the level on held-out scores and that on the scores of the final weights.
 
-    The first knows what is not learned by heart, the second has the scale of the scores that it is used on.
+    The first knows what is not learned by heart, but has the scale of weights that half the sample taught; of a small
+    sample the second is too high.
     """
     held, own = _windows(sample, np.stack(weights[1:])), _windows(sample, np.stack(weights[:1]))
     both = held.select(F.lit(0).alias("part"), "doc_id", "y", "score").unionByName(own.select(F.lit(1).alias("part"), "doc_id", "y", "score"))
@@ -382,7 +383,7 @@ def _level(sample: DataFrame, weights: list[np.ndarray]) -> float:
         for part in (0, 1):
             rows = table.filter(pc.equal(table["part"], part)).sort_by("doc_id")
             levels.append(level_of(np.array(rows["score"].to_pylist()) + BIAS, np.array(rows["y"].to_pylist(), bool)))
-        yield pa.RecordBatch.from_arrays([pa.array([sum(levels) / 2])], names=["level"])
+        yield pa.RecordBatch.from_arrays([pa.array([min(levels)])], names=["level"])
 
     return both.repartition(1).mapInArrow(run, "level double").first().level
 
