@@ -54,18 +54,33 @@ PIECE = 1_000_000
 
 # Digits and signs written for the letters they look like.
 _LEET = str.maketrans("4310571@$!", "aeiostiasi")
-_leet = re.compile(r"(?<!\S)[^\s4310571@$!]*[4310571@$!]\S*")
 _spelled = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[.\-_*][^\W\d_]){2,}(?![^\W\d_])")
 _may_be_spelled = re.compile(r"[.\-_*].[.\-_*]")
 _repeated = re.compile(r"([^\W\d_])\1{2,}")
-_may_repeat = re.compile(r"(.)\1\1")
+_digits = re.compile(r"\d+")
 
 
-def _unleet(match) -> str:
-    core = match[0].rstrip("!?.,;:")
-    if 2 * sum(map(str.isalpha, core)) < len(core):
-        return match[0]
-    return core.translate(_LEET) + match[0][len(core) :]
+def _plain_word(word: str) -> str:
+    """``word`` with letters for the digits and signs in it, if at least half of it is letters, no letter more than twice in a row, and 0 for any number."""
+    core = word.rstrip("!?.,;:")
+    if 2 * sum(map(str.isalpha, core)) >= len(core):
+        word = core.translate(_LEET) + word[len(core) :]
+    return _digits.sub("0", _repeated.sub(r"\1", word))
+
+
+class _Words(dict):
+    """Words met by a worker with their plain form, up to a bound."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        plain = _plain_word(word)
+        if len(word) < 100:
+            self[word] = plain
+        return plain
+
+
+_words = _Words()
 
 
 def plain_text(text: str, forms: Forms = BASE) -> str:
@@ -73,10 +88,7 @@ def plain_text(text: str, forms: Forms = BASE) -> str:
     text = forms.one_form(text).lower()
     if _may_be_spelled.search(text):
         text = _spelled.sub(lambda m: re.sub(r"[.\-_*]", "", m[0]), text)
-    text = _leet.sub(_unleet, text)
-    if _may_repeat.search(text):
-        text = _repeated.sub(r"\1", text)
-    return " " + " ".join(re.sub(r"\d+", "0", text).split()) + " "
+    return " " + " ".join(map(_words.__getitem__, text.split())) + " "
 
 
 class Texts:
@@ -357,7 +369,7 @@ def _learn(windows: DataFrame, first: bool, parts: int) -> list[np.ndarray] | No
         toxic, score, window, other = _columns(group)
         weights = None
         if toxic.any() and not toxic.all():
-            weights = learned(*examples(toxic, score, window, other, _stands_out(score, toxic) if first else score + BIAS > 0), 80 if parts > 1 else 40)
+            weights = learned(*examples(toxic, score, window, other, _stands_out(score, toxic) if first else score + BIAS > 0), 80 if parts > 1 and key[0].as_py() == 0 else 40)
         rows = [] if weights is None else [weights.tobytes()]
         return pa.table({"part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "weights": pa.array(rows, pa.binary())})
 
