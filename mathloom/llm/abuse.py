@@ -32,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +121,8 @@ class Texts:
         pairs = np.unique(pairs)
         return pairs >> (BITS + 1), (pairs & (2 ** (BITS + 1) - 1)).astype(np.int32)
 
-    def worst_windows(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of the weights of the n-grams that begin in the worst window of each text, and where in it that begins."""
+    def worst_windows(self, weights: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the weights of the n-grams that begin in the worst window of each text, and where in it that begins, if ``places`` are asked for."""
         weights = np.append(weights, np.float32(0))
         value = np.zeros(int(self.size.sum()))
         for ids in self.grams:
@@ -139,13 +138,15 @@ class Texts:
             bounds = np.stack([at, at + (self.size[~short] - WINDOW + 1)], axis=1).ravel()
             best = np.maximum.reduceat(window, bounds[:-1])[::2] if bounds[-1] >= len(value) else np.maximum.reduceat(window, bounds)[::2]
             score[~short] = best
+            if not places:
+                return score, begin
             inside = np.repeat(best, self.size[~short] - WINDOW + 1)
-            places = np.repeat(at - np.cumsum(np.append(0, self.size[~short] - WINDOW + 1))[:-1], self.size[~short] - WINDOW + 1) + np.arange(len(inside))
+            starts = np.repeat(at - np.cumsum(np.append(0, self.size[~short] - WINDOW + 1))[:-1], self.size[~short] - WINDOW + 1) + np.arange(len(inside))
             of = np.repeat(np.arange(len(at)), self.size[~short] - WINDOW + 1)
-            hits = np.flatnonzero(window[places] == inside)
+            hits = np.flatnonzero(window[starts] == inside)
             owners, where = np.unique(of[hits], return_index=True)
             found = np.zeros(len(at), np.int64)
-            found[owners] = places[hits[where]] - at[owners]
+            found[owners] = starts[hits[where]] - at[owners]
             begin[~short] = found
         return score, begin
 
@@ -170,6 +171,17 @@ def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[str]]
         yield which, starts, group
 
 
+def worst_scores(texts: list[str], models: list[np.ndarray]) -> np.ndarray:
+    """Score of the worst window of each text by each model, a row a model; n-grams are hashed once."""
+    scores = np.full((len(models), len(texts)), -np.inf)
+    for which, starts, group in _pieces(texts):
+        use = [k for k, (start, piece) in enumerate(zip(starts, group, strict=True)) if start == 0 or len(piece) > WINDOW + max(LENGTHS)]
+        grams, owner = Texts(group), np.array(which)[use]
+        for row, weights in zip(scores, models, strict=True):
+            np.maximum.at(row, owner, np.round(grams.worst_windows(weights, False)[0], 6)[use])
+    return scores
+
+
 def worst_windows(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """Score of the worst window of each text, and the window's text, n-grams that begin in it included."""
     scores, windows = np.full(len(texts), -np.inf), [""] * len(texts)
@@ -386,17 +398,22 @@ def _level(sample: DataFrame, weights: list[np.ndarray]) -> float:
     The first knows what is not learned by heart, but has the scale of weights that half the sample taught; of a small
     sample the second is too high.
     """
-    held, own = _windows(sample, np.stack(weights[1:])), _windows(sample, np.stack(weights[:1]))
-    both = held.select(F.lit(0).alias("part"), "doc_id", "y", "score").unionByName(own.select(F.lit(1).alias("part"), "doc_id", "y", "score"))
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
+
+    def score(batches: Batches) -> Batches:
+        for batch in batches:
+            own, odd, even = worst_scores(batch.column("text").to_pylist(), shared.value)
+            # Part 1 learned from odd folds, part 2 from even ones.
+            held = np.where(batch.column("fold").to_numpy() % 2 == 0, odd, even)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(held), pa.array(own)], names=["doc_id", "y", "held", "own"])
 
     def run(batches: Batches) -> Batches:
-        table = pa.Table.from_batches(batches)
-        levels = []
-        for part in (0, 1):
-            rows = table.filter(pc.equal(table["part"], part)).sort_by("doc_id")
-            levels.append(level_of(np.array(rows["score"].to_pylist()) + BIAS, np.array(rows["y"].to_pylist(), bool)))
-        yield pa.RecordBatch.from_arrays([pa.array([min(levels)])], names=["level"])
+        rows = pa.Table.from_batches(batches).sort_by("doc_id")
+        toxic = np.array(rows["y"].to_pylist(), bool)
+        level = min(level_of(rows[c].to_numpy() + BIAS, toxic) for c in ("held", "own"))
+        yield pa.RecordBatch.from_arrays([pa.array([level])], names=["level"])
 
+    both = sample.mapInArrow(score, "doc_id bigint, y boolean, held double, own double")
     return both.repartition(1).mapInArrow(run, "level double").first().level
 
 
@@ -411,7 +428,6 @@ def fitted(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]
         models = None if weights is None else np.stack(weights[:1])
     if weights is None:
         return None
-    # Even folds are scored by what odd ones taught, odd ones by what even ones did.
     return weights[0], _level(sample, weights)
 
 
@@ -428,7 +444,7 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
             texts = batch.column(2)
             plain = [plain_text(t, forms) for t in texts.drop_null().to_pylist()]
             scores = np.full(len(texts), np.nan)
-            scores[texts.is_valid().to_numpy(zero_copy_only=False)] = worst_windows(plain, model.value)[0] + BIAS
+            scores[texts.is_valid().to_numpy(zero_copy_only=False)] = worst_scores(plain, [model.value])[0] + BIAS
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64(), from_pandas=True), pa.array(scores > level)], names=["doc_id", "source", "score", "flagged"])
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")

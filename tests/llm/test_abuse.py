@@ -71,6 +71,7 @@ def slow_worst(text, weights):
 def test_windows_of_many_texts_are_those_of_each(texts):
     weights = np.random.default_rng(1).normal(size=2**A.BITS).astype(np.float32)
     scores, windows = A.worst_windows(texts, weights)
+    assert (A.worst_scores(texts, [weights, -weights]) == [scores, A.worst_windows(texts, -weights)[0]]).all()
     for text, score, window in zip(texts, scores, windows, strict=True):
         assert score == pytest.approx(slow_worst(text, weights) if text else 0.0, abs=1e-4) and window in text
 
@@ -85,6 +86,7 @@ def test_windows(monkeypatch, piece):
     for n in (500, 540, 3):
         scores, windows = A.worst_windows(["x" * n + "bad" + "y" * 500, "y" * 9], weights)
         assert scores.tolist() == [3.0, 0.0] and "bad" in windows[0]
+        assert A.worst_scores(["x" * n + "bad" + "y" * 500, "y" * 9], [weights]).tolist() == [[3.0, 0.0]]
 
 
 def test_level_is_in_the_gap():
