@@ -115,11 +115,17 @@ class Texts:
                     self.grams.append(ids)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the text and feature, each pair once, in order."""
+        """Number of the text and feature, each pair once, in order; for windows, as it takes a table as wide as the longest text."""
+        width = int(self.size.max(initial=0))
         which = np.repeat(np.arange(len(self.size)), self.size)
-        pairs = np.concatenate([which[ids < 2**BITS] << (BITS + 1) | ids[ids < 2**BITS] for ids in self.grams] or [which[:0]])
-        pairs = np.unique(pairs)
-        return pairs >> (BITS + 1), (pairs & (2 ** (BITS + 1) - 1)).astype(np.int32)
+        place = np.arange(len(which)) - np.repeat(self.first, self.size)
+        table = np.full((len(self.size), width * len(self.grams)), 2**BITS, np.int32)
+        for n, ids in enumerate(self.grams):
+            table[which, place + n * width] = ids
+        table.sort(axis=1)
+        kept = table < 2**BITS
+        kept[:, 1:] &= table[:, 1:] != table[:, :-1]
+        return np.nonzero(kept)[0], table[kept]
 
     def worst_windows(self, weights: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the weights of the n-grams that begin in the worst window of each text, and where in it that begins, if ``places`` are asked for."""
@@ -200,8 +206,7 @@ def gram_counts(texts: list[str], rows: list[int], n: int) -> np.ndarray:
     for row in sorted(set(rows)):
         for _, _, group in _pieces([t for t, r in zip(texts, rows, strict=True) if r == row]):
             # Where pieces of a text overlap, some fifty characters count twice.
-            for ids in Texts(group).grams:
-                counts[row] += np.bincount(ids, minlength=2**BITS + 1)
+            counts[row] += np.bincount(np.concatenate(Texts(group).grams), minlength=2**BITS + 1)
     return counts[:, :-1]
 
 
