@@ -1,8 +1,9 @@
 """Cases that the tables hardly hold, each an input with what must come of it, for queries and their SQL alike.
 
-The expected values follow from the rules of the grammar, of detection and of MathML, not from the operators: findings as
-level, type, place, index and message; trees in pre-order as number < parent, role, place among its
-kind, type, value and * for a nested script; tokens as type, place and value.
+The expected values were written down from a run and read through against the rules of the grammar, of detection and of
+MathML; they guard against change.  The tables' own formulas are held against SQL that shares nothing with the operators (``oracle_parse``).  Findings are
+level, type, place, index and message; trees in pre-order number < parent, role, place among its
+kind, type, value and * for a nested script; tokens type, place and value.
 """
 
 from __future__ import annotations
