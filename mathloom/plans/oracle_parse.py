@@ -191,3 +191,78 @@ SQL = {
     "components": TOKENS + f", parts AS ({_FIRST}), shown AS (SELECT latex, " + ", ".join(f"coalesce(string_agg(shown, ' ' ORDER BY k) FILTER (WHERE part = '{p}'), '') AS {p}" for p in _PARTS)
     + " FROM parts GROUP BY latex) SELECT f.formula_id, " + ", ".join(f"coalesce(x.{p}, '') AS {p}" for p in _PARTS) + " FROM formulas f LEFT JOIN shown x ON f.latex = x.latex WHERE f.latex IS NOT NULL",
 }
+
+# The tree in pre-order: each node with its level; a script goes in before its base, which with all below it goes down a level.
+_NODE = "STRUCT(lvl BIGINT, role VARCHAR, type VARCHAR, value VARCHAR, name VARCHAR, position BIGINT, nested BOOLEAN)"
+_LAST = "s.st[len(s.st)]"
+_ROOF = "s.st[1:len(s.st) - 1]"
+
+
+def _node(level: str, role: str, kind: str, value: str = "NULL", name: str = "NULL", position: str = "t.position", nested: str = "FALSE") -> str:
+    return f"{{'lvl': {level}, 'role': '{role}', 'type': {kind}, 'value': {value}, 'name': {name}, 'position': {position}, 'nested': {nested}}}"
+
+
+def _added(*nodes: str) -> str:
+    return f"list_concat(s.nodes, [{', '.join(nodes)}]::{_NODE}[])"
+
+
+_CHILD = _added(_node("len(s.st)", "child", "t.type", "t.value"))
+_BELOW_SCRIPT = _added(_node("len(s.st) + 1", "child", "t.type", "t.value"))
+_OPENED = _added(_node("len(s.st)", "child", "t.type", name="CASE WHEN t.type = 'environment' THEN t.env END"))
+_WRAPPED = f"""CASE WHEN {_LAST}.has THEN list_concat(list_concat(s.nodes[1:{_LAST}.first - 1], [{_node("len(s.st)", "child", "t.type", nested=f"{_LAST}.script")}]::{_NODE}[]),
+  list_transform(s.nodes[{_LAST}.first:], lambda x, i: {{'lvl': x.lvl + 1, 'role': CASE WHEN i = 1 THEN 'base' ELSE x.role END, 'type': x.type, 'value': x.value, 'name': x.name, 'position': x.position, 'nested': x.nested}}))
+  ELSE {_added(_node("len(s.st)", "child", "t.type"), _node("len(s.st) + 1", "base", "'empty'"))} END"""
+_PAIRED = f"""list_concat(list_concat(s.nodes[1:len(s.nodes) - 1], [{{'lvl': s.nodes[len(s.nodes)].lvl, 'role': 'child', 'type': 'delimiter_pair', 'value': s.nodes[len(s.nodes)].value, 'name': NULL, 'position': s.nodes[len(s.nodes)].position, 'nested': FALSE}}]::{_NODE}[]),
+  [{_node("len(s.st) + 1", "delimiter", "CASE WHEN t.value = '.' THEN 'null_delimiter' ELSE t.type END", "t.value", position="CASE WHEN t.value <> '.' THEN t.position END")}]::{_NODE}[])"""
+
+
+def _place(at: str, script: str) -> str:
+    return f"list_append({_ROOF}, {{'first': {at}, 'has': TRUE, 'script': {script}, 'env': {_LAST}.env}})"
+
+
+_NEXT = "len(s.nodes)::BIGINT + 1"
+_PLACED = _place(_NEXT, "FALSE")
+_PUSHED = f"list_append({_PLACED}, {{'first': 0::BIGINT, 'has': FALSE, 'script': FALSE, 'env': CASE WHEN t.type = 'environment' THEN t.env ELSE '' END}})"
+_UNDER = "s.st[len(s.st) - 1]"
+_POPPED = f"list_append(s.st[1:len(s.st) - 2], {{'first': {_UNDER}.first, 'has': TRUE, 'script': FALSE, 'env': {_UNDER}.env}})"
+
+
+def _step(leaf: str, enter: str, leave: str, script: str, grown: str, pair: str, same: str) -> str:
+    """What a token does, by the mode: five things among siblings, then what goes below a script or after a sizing command."""
+    return f"""CASE s.mode
+      WHEN 'argument' THEN CASE WHEN t.value = '{{' THEN {same} ELSE {grown} END
+      WHEN 'flat' THEN CASE WHEN t.value = '}}' AND s.level = 1 THEN {same} ELSE {grown} END
+      WHEN 'delimiter' THEN {pair}
+      ELSE CASE
+        WHEN t.type = 'spacing' AND regexp_matches(t.value, '^{_SPACE}*$') THEN {same}
+        WHEN t.value = '{{' THEN {enter}
+        WHEN t.value = '}}' THEN CASE WHEN len(s.st) > 1 THEN {leave} ELSE {leaf} END
+        WHEN t.type = 'environment' AND t.side IS NULL THEN {same}
+        WHEN t.side = 'begin' THEN {enter}
+        WHEN t.side = 'end' THEN CASE WHEN len(s.st) > 1 AND {_LAST}.env = t.env THEN {leave} ELSE {leaf} END
+        WHEN t.type IN ('subscript', 'superscript') THEN {script}
+        ELSE {leaf} END END"""
+
+
+SQL["parse_nodes"] = TOKENS + f""", built AS (
+  SELECT latex, 0::BIGINT AS k, 'sibling' AS mode, 0::BIGINT AS level, [{{'first': 0, 'has': FALSE, 'script': FALSE, 'env': ''}}]::STRUCT(first BIGINT, has BOOLEAN, script BOOLEAN, env VARCHAR)[] AS st,
+    [{{'lvl': 0, 'role': 'root', 'type': 'root', 'value': NULL, 'name': NULL, 'position': NULL, 'nested': FALSE}}]::{_NODE}[] AS nodes FROM lexed
+  UNION ALL
+  SELECT t.latex, t.k,
+    CASE s.mode WHEN 'sibling' THEN CASE WHEN t.type IN ('subscript', 'superscript') THEN 'argument' WHEN t.subtype = 'delimiter_modifier' THEN 'delimiter' ELSE 'sibling' END
+      WHEN 'argument' THEN CASE WHEN t.value = '{{' THEN 'flat' ELSE 'sibling' END
+      WHEN 'flat' THEN CASE WHEN t.value = '}}' AND s.level = 1 THEN 'sibling' ELSE 'flat' END ELSE 'sibling' END,
+    CASE WHEN s.mode = 'argument' AND t.value = '{{' THEN 1 WHEN s.mode = 'flat' AND t.value = '{{' THEN s.level + 1 WHEN s.mode = 'flat' AND t.value = '}}' THEN s.level - 1 ELSE s.level END,
+    {_step(_PLACED, _PUSHED, _POPPED, _place(f"CASE WHEN {_LAST}.has THEN {_LAST}.first ELSE {_NEXT} END", "TRUE"), "s.st", "s.st", "s.st")},
+    {_step(_CHILD, _OPENED, "s.nodes", _WRAPPED, _BELOW_SCRIPT, _PAIRED, "s.nodes")}
+  FROM built s JOIN tokens t ON t.latex = s.latex AND t.k = s.k + 1),
+whole AS (SELECT b.latex, b.nodes FROM built b JOIN (SELECT latex, max(k) AS k FROM built GROUP BY latex) m ON b.latex = m.latex AND b.k = m.k),
+listed AS MATERIALIZED (SELECT latex, unnest(range(0, len(nodes))) AS id, unnest(nodes) AS n FROM whole),
+linked AS MATERIALIZED (SELECT a.latex, a.id, a.n, (SELECT max(b.id) FROM listed b WHERE b.latex = a.latex AND b.id < a.id AND b.n.lvl = a.n.lvl - 1) AS parent FROM listed a),
+deep AS (
+  SELECT latex, id, 0::BIGINT AS depth FROM linked WHERE parent IS NULL
+  UNION ALL
+  SELECT c.latex, c.id, CASE WHEN c.n.role = 'child' THEN d.depth + 1 END FROM deep d JOIN linked c ON c.latex = d.latex AND c.parent = d.id)
+SELECT l.latex, l.id::INT AS id, l.parent::INT AS parent, l.n.role AS role, CASE WHEN l.n.role = 'child' THEN row_number() OVER (PARTITION BY l.latex, l.parent, l.n.role ORDER BY l.id) - 1 ELSE 0 END::INT AS ord,
+  d.depth::INT AS depth, l.n.type AS type, l.n.value AS value, l.n.name AS name, l.n.position::INT AS position, l.n.nested AS nested
+FROM linked l JOIN deep d ON l.latex = d.latex AND l.id = d.id"""
