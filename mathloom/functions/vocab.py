@@ -76,34 +76,42 @@ OCR_REPLACEMENTS = (
 )
 
 
-def _pairs(text: str) -> dict[str, str]:
-    words = text.split()
-    return dict(zip(words[::2], words[1::2], strict=True))
-
-
 #: Symbols for MathML, by category.
 SYMBOLS = {
-    "operators": _pairs(
-        r"""+ + - − * ⋅ / / = = < < > > \pm ± \mp ∓ \times × \div ÷ \cdot ⋅ \circ ∘ \bullet • \star ⋆ \ast ∗ \neq ≠
-        \ne ≠ \leq ≤ \le ≤ \geq ≥ \ge ≥ \ll ≪ \gg ≫ \subset ⊂ \supset ⊃ \subseteq ⊆ \supseteq ⊇ \in ∈ \notin ∉ \ni ∋
-        \sim ∼ \simeq ≃ \approx ≈ \cong ≅ \equiv ≡ \propto ∝ \parallel ∥ \perp ⊥ \mid ∣ \nmid ∤ \vee ∨ \wedge ∧
-        \oplus ⊕ \ominus ⊖ \otimes ⊗ \oslash ⊘ \odot ⊙ \cap ∩ \cup ∪ \sqcap ⊓ \sqcup ⊔ \vdash ⊢ \dashv ⊣ \models ⊨
-        \therefore ∴ \because ∵ \emptyset ∅ \infty ∞ \partial ∂ \nabla ∇"""
-    ),
-    "greek_letters": _pairs(
-        """alpha α beta β gamma γ delta δ epsilon ε varepsilon ϵ zeta ζ eta η theta θ vartheta ϑ iota ι kappa κ
-        lambda λ mu μ nu ν xi ξ pi π varpi ϖ rho ρ varrho ϱ sigma σ varsigma ς tau τ upsilon υ phi φ varphi ϕ chi χ
-        psi ψ omega ω Gamma Γ Delta Δ Theta Θ Lambda Λ Xi Ξ Pi Π Sigma Σ Upsilon Υ Phi Φ Psi Ψ Omega Ω"""
-    ),
-    "functions": _pairs("sin sin cos cos tan tan log log ln ln exp exp lim lim max max min min"),
-    "delimiters": _pairs(r"( ( ) ) [ [ ] ] \{ { \} } \langle ⟨ \rangle ⟩ | | \| ‖"),
-    "accents": _pairs("hat ^ tilde ˜ bar ¯ vec → dot ˙ ddot ¨ overline ¯"),
+    "operators": {
+        "+": "+", "-": "−", "*": "⋅", "/": "/", "=": "=", "<": "<", ">": ">", r"\pm": "±", r"\mp": "∓", r"\times": "×", r"\div": "÷",
+        r"\cdot": "⋅", r"\circ": "∘", r"\bullet": "•", r"\star": "⋆", r"\ast": "∗", r"\neq": "≠", r"\ne": "≠", r"\leq": "≤", r"\le": "≤",
+        r"\geq": "≥", r"\ge": "≥", r"\ll": "≪", r"\gg": "≫", r"\subset": "⊂", r"\supset": "⊃", r"\subseteq": "⊆", r"\supseteq": "⊇",
+        r"\in": "∈", r"\notin": "∉", r"\ni": "∋", r"\sim": "∼", r"\simeq": "≃", r"\approx": "≈", r"\cong": "≅", r"\equiv": "≡",
+        r"\propto": "∝", r"\parallel": "∥", r"\perp": "⊥", r"\mid": "∣", r"\nmid": "∤", r"\vee": "∨", r"\wedge": "∧", r"\oplus": "⊕",
+        r"\ominus": "⊖", r"\otimes": "⊗", r"\oslash": "⊘", r"\odot": "⊙", r"\cap": "∩", r"\cup": "∪", r"\sqcap": "⊓", r"\sqcup": "⊔",
+        r"\vdash": "⊢", r"\dashv": "⊣", r"\models": "⊨", r"\therefore": "∴", r"\because": "∵", r"\emptyset": "∅", r"\infty": "∞",
+        r"\partial": "∂", r"\nabla": "∇",
+    },
+    "greek_letters": {
+        "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "varepsilon": "ϵ", "zeta": "ζ", "eta": "η", "theta": "θ",
+        "vartheta": "ϑ", "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "varpi": "ϖ", "rho": "ρ",
+        "varrho": "ϱ", "sigma": "σ", "varsigma": "ς", "tau": "τ", "upsilon": "υ", "phi": "φ", "varphi": "ϕ", "chi": "χ", "psi": "ψ",
+        "omega": "ω", "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Upsilon": "Υ",
+        "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
+    },
+    "functions": {
+        "sin": "sin", "cos": "cos", "tan": "tan", "log": "log", "ln": "ln", "exp": "exp", "lim": "lim", "max": "max", "min": "min",
+    },
+    "delimiters": {
+        "(": "(", ")": ")", "[": "[", "]": "]", r"\{": "{", r"\}": "}", r"\langle": "⟨", r"\rangle": "⟩", "|": "|", r"\|": "‖",
+    },
+    "accents": {
+        "hat": "^", "tilde": "˜", "bar": "¯", "vec": "→", "dot": "˙", "ddot": "¨", "overline": "¯",
+    },
+}
+LARGE_OPERATORS = {
+    r"\sum": "∑", r"\prod": "∏", r"\int": "∫", r"\iint": "∬", r"\iiint": "∭", r"\oint": "∮",
+}
+MATH_VARIANTS = {
+    "mathbf": "bold", "mathit": "italic", "mathrm": "normal", "mathsf": "sans-serif", "mathtt": "monospace", "mathcal": "script",
+    "mathbb": "double-struck", "mathfrak": "fraktur",
 }
-LARGE_OPERATORS = _pairs(r"\sum ∑ \prod ∏ \int ∫ \iint ∬ \iiint ∭ \oint ∮")
-MATH_VARIANTS = _pairs(
-    """mathbf bold mathit italic mathrm normal mathsf sans-serif mathtt monospace mathcal script mathbb double-struck
-    mathfrak fraktur"""
-)
 FENCES = {"pmatrix": "()", "bmatrix": "[]", "Bmatrix": "{}", "vmatrix": "||", "Vmatrix": "‖‖"}
 
 MATHML_TAGS = frozenset(

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathloom.runtime import shared_dir, spread
+from mathloom.runtime import scratch, spread
 
 #: Fields whose value is a list, though a single object may stand bare in its place.
 LIST_FIELDS = frozenset(
@@ -290,10 +289,10 @@ def _read(spark: SparkSession, folder: str, tag: str) -> DataFrame:
 def write_tables(records: DataFrame, folder: str | None = None, key: str = "content_id", payload: str = "payload") -> str:
     """Write the tagged rows once, partitioned by tag, and give the folder.
 
-    Without ``folder`` a new one in the shared checkpoint folder is used.
+    Without ``folder`` a new one in the shared checkpoint folder is used, which goes with the application.
     """
     if folder is None:
-        folder = f"{shared_dir(records.sparkSession)}/flat-{uuid.uuid4().hex}"
+        folder = scratch(records.sparkSession, "flat")
     rows = emit_tagged(records, key, payload).withColumn("field", F.col("tag"))
     # Any name may be a field's, so those without a schema share a partition.
     rows = rows.withColumn("tag", F.when(F.col("tag").isin(*TABLE_SCHEMAS), F.col("tag")).otherwise(_OTHERS))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,7 +15,7 @@ from mathloom.functions import vocab
 from mathloom.operators import detect as D
 from mathloom.operators import flatten, images, mathml, parse, pixels, render, stats
 from mathloom.plans import cases, oracle, oracle_parse, pipeline
-from mathloom.runtime import shared_dir, table
+from mathloom.runtime import scratch, table
 from mathloom.sources import export, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,7 +474,7 @@ def error_messages(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def scan_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Files of all kinds, read in the order of a list: texts and error rows."""
-    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    folder = scratch(spark, "files")
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     for name, content, *_ in cases.FILES:
         if content is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import lru_cache
@@ -23,12 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
         if not named and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mathloom-"))
-        # The folder made for this application goes with it, intermediate tables included.
-        own = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
-        own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
+        _ends_with_us(spark, sc._jsc.sc().getCheckpointDir().get())
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _ends_with_us(spark: SparkSession, folder: str) -> None:
+    """Have a folder removed when this application ends."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(own)  # what isn't there can't be registered
+    system.deleteOnExit(own)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, for as long as this application runs."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _ends_with_us(spark, folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 
